@@ -62,7 +62,15 @@ FROM (
           l_linenumber AS ln, CAST(ROUND(l_discount*100) AS INT) AS disc, concat(l_returnflag,l_linestatus) AS vc
         FROM lineitem) b JOIN ref_contig r ON b.contig=r.contig)""")
 
-view("maf", "events_maf", "SELECT event_id, patient, chromosome, pos, variant_type, gene, variant_class, impact, t_depth, t_alt_count, barcode FROM events_maf")
+view("maf", "", """
+SELECT l_orderkey*10+l_linenumber AS event_id, concat('TCGA-',lpad(CAST(l_suppkey AS VARCHAR),7,'0')) AS patient,
+  concat('TCGA-',lpad(CAST(l_suppkey AS VARCHAR),7,'0'), CASE WHEN l_linenumber % 5 = 0 THEN '-11A' ELSE '-01A' END) AS barcode,
+  concat('chr',CAST(l_partkey % 300 AS VARCHAR)) AS chromosome, 15 + CAST(ROUND(l_extendedprice*100) AS BIGINT) % 170 AS pos,
+  CASE CAST(l_quantity AS INT) % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DNP' ELSE 'SNP' END AS variant_type,
+  concat('G',CAST(l_partkey % 300 AS VARCHAR)) AS gene, concat(l_returnflag,l_linestatus) AS variant_class,
+  CASE l_linenumber % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'LOW' ELSE 'MODIFIER' END AS impact,
+  CAST(CAST(l_quantity AS INT) + 10*(l_linenumber % 3) AS BIGINT) AS t_depth, CAST(ROUND(l_discount*100) AS BIGINT) AS t_alt_count
+FROM lineitem""")
 
 view("cohort", "", """
 SELECT concat('TCGA-',lpad(CAST(s_suppkey AS VARCHAR),7,'0')) AS patient, s_acctbal AS y_cont,
@@ -155,3 +163,10 @@ def with_views(needs: str, body: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+view("profile_rec", "maf", "SELECT event_id, patient, variant_class||'_'||variant_type AS channel, 'SIG'||(CAST(substr(gene,2) AS INT)%5) AS signature FROM maf")
+view("sample_counts", "profile_rec", "SELECT patient, channel, count(*) AS n FROM profile_rec GROUP BY ALL")
+view("sigref", "profile_rec", """
+SELECT signature, channel, n/CAST(sum(n) OVER (PARTITION BY signature) AS DOUBLE) AS p
+FROM (SELECT signature, channel, count(*) AS n FROM profile_rec GROUP BY ALL)""")

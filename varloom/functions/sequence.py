@@ -6,7 +6,7 @@ that uses them stays inside one code-generated stage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Tokens that mean "no allele".
@@ -122,25 +122,6 @@ def purine_start(ref: Column) -> Column:
     return F.substring(ref, 1, 1).isin("A", "G")
 
 
-def with_canonical_strand(df: DataFrame) -> DataFrame:
-    """``cleft, cright, cref, calt``: single and double substitutions whose reference starts with a
-    purine are moved to the other strand, flanks swapped."""
-    flip = ((F.col("modality") == "SBS") & F.col("ref_c").isin("A", "G")) | (
-        (F.col("modality") == "DBS") & purine_start(F.col("ref_c"))
-    )
-    pick = lambda a, b: F.when(F.col("_flip"), revcomp(F.col(a))).otherwise(F.col(b))
-    return (
-        df.withColumn("_flip", flip)
-        .withColumns(
-            {
-                "cleft": pick("right", "left"), "cright": pick("left", "right"),
-                "cref": pick("ref_c", "ref_c"), "calt": pick("alt_c", "alt_c"),
-            }
-        )
-        .drop("_flip")
-    )
-
-
 def sbs96(ref: Column, alt: Column, left: Column, right: Column) -> Column:
     """``L[R>A]R`` on the pyrimidine strand; null unless all four are single bases and ref <> alt."""
     ok = ref.rlike("^[ACGT]$") & alt.rlike("^[ACGT]$") & left.rlike("^[ACGT]$") & right.rlike("^[ACGT]$")

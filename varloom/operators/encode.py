@@ -18,11 +18,37 @@ REJECT_REASONS = [
 
 
 def classify(events: DataFrame) -> DataFrame:
-    """Clean alleles and the event class (declared SNP/DNP types win over lengths)."""
-    ref, alt = sequence.clean_allele(F.col("ref")), sequence.clean_allele(F.col("alt"))
-    return events.withColumns({"ref_c": ref, "alt_c": alt}).withColumn(
-        "modality",
-        sequence.event_modality(F.col("ref_c"), F.col("alt_c"), F.col("variant_type"), snp_first=True),
+    """Clean alleles, event class (declared SNP/DNP types win over lengths) and canonical alleles.
+
+    ``body`` is the part of the channel label that needs no flanks: ``[C>T]`` for single
+    substitutions, the whole label for pairs and indels, null outside the catalogue. It is computed
+    here, before the reference lookup: a filter on the channel is pushed down to the lookup join by
+    substitution, and what is already a column below the join is not repeated in it.
+    """
+    col = F.col
+    ref, alt = sequence.clean_allele(col("ref")), sequence.clean_allele(col("alt"))
+    kind = sequence.event_modality(col("ref_c"), col("alt_c"), col("variant_type"), snp_first=True)
+    flip = (col("modality").isin("SBS") & col("ref_c").isin("A", "G")) | (
+        col("modality").isin("DBS") & sequence.purine_start(col("ref_c"))
+    )
+    strand = lambda c: F.when(col("flip"), sequence.revcomp(col(c))).otherwise(col(c))
+    pair = F.concat("cref", F.lit(">"), "calt")
+    body = (
+        F.when(
+            col("modality") == "SBS",
+            F.when((F.length("cref") == 1) & (F.length("calt") == 1), F.concat(F.lit("["), pair, F.lit("]"))),
+        )
+        .when(col("modality") == "DBS", F.when(pair.isin(catalogues.DBS78), F.concat(F.lit("DBS78:"), pair)))
+        .when(col("modality") == "ID", F.concat(F.lit("ID83:"), sequence.id83_plain(col("_pair"))))
+    )
+    return (
+        events.withColumns({"ref_c": ref, "alt_c": alt})
+        .withColumn("modality", kind)
+        .withColumn("flip", flip)
+        .withColumns({"cref": strand("ref_c"), "calt": strand("alt_c")})
+        .withColumn("_pair", sequence.trimmed_pair(col("cref"), col("calt")))
+        .withColumn("body", body)
+        .drop("_pair")
     )
 
 
@@ -45,8 +71,8 @@ def attach_flanks(
     )
     longest = None if longest_allele is None else 2 * d + max(1, longest_allele)
     found = fetch_windows(
-        located, contigs.withColumnRenamed("contig", "contig"), contig="_contig", start="_start",
-        length="_length", key="event_id", longest=longest,
+        located, contigs, contig="_contig", start="_start",
+        length="_length", longest=longest,
     )
     observed = F.when(pure, F.lit("")).otherwise(F.substring("window", F.lit(d + 1), span))
     return (
@@ -76,18 +102,16 @@ def reject_reason() -> Column:
 
 
 def channel_label() -> Column:
-    """Prefixed channel of a canonical event, null when it is outside the catalogue."""
-    sbs = F.when(
-        (F.length("cref") == 1) & (F.length("calt") == 1),
+    """Prefixed channel: the body, with the flanking bases of the canonical strand around it for SBS."""
+    before, after = F.right("left", F.lit(1)), F.substring("right", 1, 1)
+    comp = lambda c: F.translate(c, "ACGT", "TGCA")
+    return F.when(
+        F.col("modality") == "SBS",
         F.concat(
-            F.lit("SBS96:"), F.right("cleft", F.lit(1)), F.lit("["), F.col("cref"), F.lit(">"), F.col("calt"),
-            F.lit("]"), F.substring("cright", 1, 1),
+            F.lit("SBS96:"), F.when(F.col("flip"), comp(after)).otherwise(before), F.col("body"),
+            F.when(F.col("flip"), comp(before)).otherwise(after),
         ),
-    )
-    pair = F.concat("cref", F.lit(">"), "calt")
-    dbs = F.when(pair.isin(catalogues.DBS78), F.concat(F.lit("DBS78:"), pair))
-    idc = F.concat(F.lit("ID83:"), sequence.id83_plain(F.col("_pair")))
-    return F.when(F.col("modality") == "SBS", sbs).when(F.col("modality") == "DBS", dbs).otherwise(idc)
+    ).otherwise(F.col("body"))
 
 
 def encode_events(
@@ -95,12 +119,10 @@ def encode_events(
 ) -> DataFrame:
     """All events with ``reject_reason`` and, for accepted ones, canonical flanks, alleles and channel."""
     flanked = attach_flanks(classify(events), contigs, d_context, longest_allele=longest_allele)
-    canon = sequence.with_canonical_strand(flanked.withColumn("reject_reason", reject_reason()))
-    return (
-        canon.withColumn("_pair", sequence.trimmed_pair(F.col("cref"), F.col("calt")))
-        .withColumn("channel", F.when(F.col("reject_reason").isNull(), channel_label()))
-        .drop("_pair")
-    )
+    strand = lambda a, b: F.when(F.col("flip"), sequence.revcomp(F.col(a))).otherwise(F.col(b))
+    return flanked.withColumns(
+        {"reject_reason": reject_reason(), "cleft": strand("right", "left"), "cright": strand("left", "right")}
+    ).withColumn("channel", F.when(F.col("reject_reason").isNull(), channel_label()))
 
 
 def accepted(encoded: DataFrame) -> DataFrame:

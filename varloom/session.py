@@ -23,6 +23,15 @@ def local_session(cpus: int | str = 8, app: str = "varloom") -> SparkSession:
     )
 
 
+def tune(spark: SparkSession) -> None:
+    """Generated methods beyond 8000 bytes of bytecode are never compiled by the JVM's JIT.
+
+    Long cleaning expressions get there; with this limit such a stage is generated operator by
+    operator instead of as one method that would be interpreted.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 

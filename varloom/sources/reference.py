@@ -49,7 +49,6 @@ def fetch_windows(
     contig: str,
     start: str,
     length: str,
-    key: str,
     out: str = "window",
     tile: int = 64,
     longest: int | None = None,
@@ -77,7 +76,7 @@ def fetch_windows(
         return short
     far = events.filter(F.col(length) > tile)
     return short.unionByName(
-        fetch_long_windows(far, contigs, contig=contig, start=start, length=length, key=key, out=out, tile=tile)
+        fetch_long_windows(far, contigs, contig=contig, start=start, length=length, out=out, tile=tile)
     )
 
 
@@ -88,20 +87,19 @@ def fetch_long_windows(
     contig: str,
     start: str,
     length: str,
-    key: str,
     out: str = "window",
     tile: int = 64,
 ) -> DataFrame:
-    """Windows of any length: one row per touched tile, joined, then put together per event."""
-    first = F.floor((F.col(start) - 1) / F.lit(tile)).cast("long")
-    last = F.floor((F.col(start) + F.col(length) - 2) / F.lit(tile)).cast("long")
-    pieces = events.select(
-        F.col(key).alias("_key"),
-        F.col(contig).alias("contig"),
-        F.col(start).alias("_start"),
-        F.col(length).alias("_length"),
-        F.explode(F.sequence(first, last)).alias("tile"),
-    )
+    """Windows of any length: one row per touched tile of each distinct window, joined, then glued.
+
+    Identical windows are fetched once, so a hot locus costs one lookup.
+    """
+    span = events.select(
+        F.col(contig).alias("contig"), F.col(start).alias("_start"), F.col(length).alias("_length")
+    ).distinct()
+    first = F.floor((F.col("_start") - 1) / F.lit(tile)).cast("long")
+    last = F.floor((F.col("_start") + F.col("_length") - 2) / F.lit(tile)).cast("long")
+    pieces = span.select("*", F.explode(F.sequence(first, last)).alias("tile"))
     tiles = tile_sequences(_used(events, contigs, contig), tile)
     lo = F.greatest(F.col("_start") - F.col("tile") * tile, F.lit(1))
     hi = F.least(F.col("_start") + F.col("_length") - 1 - F.col("tile") * tile, F.lit(tile))
@@ -109,8 +107,9 @@ def fetch_long_windows(
     ordered = F.array_sort(F.collect_list(F.struct("tile", "part")))
     glued = (
         pieces.join(tiles, ["contig", "tile"], "left")
-        .select("_key", "tile", part.alias("part"))
-        .groupBy("_key")
-        .agg(F.array_join(F.transform(ordered, lambda s: s["part"]), "").alias(out))
+        .select("contig", "_start", "_length", "tile", part.alias("part"))
+        .groupBy(F.col("contig").alias("_c"), F.col("_start").alias("_s"), F.col("_length").alias("_l"))
+        .agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias(out))
     )
-    return events.join(glued, events[key] == glued["_key"], "left").drop("_key")
+    same = (F.col(contig) == F.col("_c")) & (F.col(start) == F.col("_s")) & (F.col(length) == F.col("_l"))
+    return events.join(glued, same, "left").drop("_c", "_s", "_l")

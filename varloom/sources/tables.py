@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.sources.reference import tile_sequences
+from varloom.session import tune
+from varloom.sources.reference import fetch_windows, tile_sequences
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES26 = "ACGTACGTACGTACGTACGTACGTAC"
@@ -17,6 +18,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        tune(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -47,13 +49,19 @@ class Tables:
             F.round(F.col("l_discount") * 100).cast("int").alias("disc"),
             F.concat("l_returnflag", "l_linestatus").alias("variant_class"),
         )
-        typed = base.join(self.ref_contig(), "contig").select(
-            "*",
-            F.expr("CASE q % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DNP' ELSE 'SNP' END").alias(
-                "variant_type"
-            ),
-            (F.floor(F.col("q") / 10).cast("int") + 1).alias("len"),
+        base = base.withColumns(
+            {
+                "variant_type": F.expr(
+                    "CASE q % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DNP' ELSE 'SNP' END"
+                ),
+                "len": F.floor(F.col("q") / 10).cast("int") + 1,
+                "span": F.lit(6),
+            }
         )
+        # six bases from the position on, looked up by tile: the contig's text itself can be very long
+        typed = fetch_windows(
+            base, self.ref_contig(), contig="contig", start="pos", length="span", longest=6
+        ).withColumn("seq", F.rtrim("window", F.lit("N")))
         return typed.select(
             "event_id",
             "patient",
@@ -63,16 +71,16 @@ class Tables:
             "variant_type",
             F.expr(
                 "CASE WHEN ln = 7 THEN 'A' WHEN variant_type = 'INS' THEN '-' "
-                "WHEN variant_type = 'DEL' THEN substr(seq, pos, len) "
-                "WHEN variant_type = 'DNP' THEN substr(seq, pos, 2) ELSE substr(seq, pos, 1) END"
+                "WHEN variant_type = 'DEL' THEN substr(seq, 1, len) "
+                "WHEN variant_type = 'DNP' THEN substr(seq, 1, 2) ELSE substr(seq, 1, 1) END"
             ).alias("ref"),
             F.expr(
                 "CASE WHEN variant_type = 'DEL' THEN '-' "
                 "WHEN variant_type = 'INS' THEN substr('ACGTTGCA', cast(pk % 3 as int) + 1, len) "
-                "WHEN variant_type = 'DNP' THEN translate(substr(seq, pos, 2), 'ACGT', 'CATG') "
-                "WHEN pk % 3 = 0 THEN translate(substr(seq, pos, 1), 'ACGT', 'CGTA') "
-                "WHEN pk % 3 = 1 THEN translate(substr(seq, pos, 1), 'ACGT', 'GTAC') "
-                "ELSE translate(substr(seq, pos, 1), 'ACGT', 'TACG') END"
+                "WHEN variant_type = 'DNP' THEN translate(substr(seq, 1, 2), 'ACGT', 'CATG') "
+                "WHEN pk % 3 = 0 THEN translate(substr(seq, 1, 1), 'ACGT', 'CGTA') "
+                "WHEN pk % 3 = 1 THEN translate(substr(seq, 1, 1), 'ACGT', 'GTAC') "
+                "ELSE translate(substr(seq, 1, 1), 'ACGT', 'TACG') END"
             ).alias("alt"),
             F.concat(F.lit("G"), (F.col("pk") % 300).cast("string")).alias("gene"),
             "variant_class",
@@ -138,3 +146,18 @@ class Tables:
             .filter((F.col("k") % 7 == F.col("i")) | (F.col("k") % 5 == F.col("i")))
             .select(F.concat(F.lit("S"), F.col("i").cast("string")).alias("gene_set"), "gene")
         )
+
+    # -- channel profiles: a small channel universe counted per patient and per signature ----
+    def profile_records(self) -> DataFrame:
+        return self.maf_records().select(
+            "event_id", "patient", F.concat_ws("_", "variant_class", "variant_type").alias("channel"),
+            F.concat(F.lit("SIG"), (F.substring("gene", 2, 9).cast("int") % 5).cast("string")).alias("signature"),
+        )
+
+    def sample_counts(self) -> DataFrame:
+        return self.profile_records().groupBy("patient", "channel").agg(F.count(F.lit(1)).alias("n"))
+
+    def signature_reference(self) -> DataFrame:
+        n = self.profile_records().groupBy("signature", "channel").agg(F.count(F.lit(1)).alias("n"))
+        total = n.groupBy("signature").agg(F.sum("n").alias("total"))
+        return n.join(total, "signature").select("signature", "channel", (F.col("n") / F.col("total")).alias("p"))
