@@ -120,7 +120,7 @@ def _build_enc() -> None:
 
     view("enc", "canon", f"""
 SELECT * EXCLUDE (seq), CASE WHEN reject_reason IS NOT NULL THEN NULL
-  WHEN modality='SBS' THEN CASE WHEN length(cref)=1 AND length(calt)=1
+  WHEN modality='SBS' THEN CASE WHEN length(cref)=1 AND length(calt)=1 AND cref<>calt
        THEN 'SBS96:'||right(cleft,1)||'['||cref||'>'||calt||']'||left(cright,1) END
   WHEN modality='DBS' THEN CASE WHEN cref||'>'||calt IN ({_catalogue(k.DBS78)}) THEN 'DBS78:'||cref||'>'||calt END
   ELSE CASE WHEN idc IN ({_catalogue(k.ID83)}) THEN 'ID83:'||idc END END AS channel

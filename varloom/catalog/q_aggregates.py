@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from varloom.catalog.oracle_views import view
 from varloom.catalog.registry import query
-from varloom.operators import counts, encode
+from varloom.evaluation import results as res
+from varloom.evaluation.quantiles import quantiles
+from varloom.functions import sequence as seq
+from varloom.operators import counts, encode, features as ft, joins
+from varloom.sources.readers import first_per_key
 
 
 def encoded(t):
@@ -17,3 +22,277 @@ SELECT c.patient, u.channel, CAST(coalesce(h.n,0) AS BIGINT) AS n
 FROM cohort c CROSS JOIN universe u LEFT JOIN chan h ON h.patient=c.patient AND h.channel=u.channel""")
 def agg_channel_counts(t):
     return counts.complete_counts(counts.channel_counts(encoded(t)), t.cohort().select("patient"))
+
+
+@query("agg_partial_final", "maf", "SELECT patient, chromosome, count(*) AS n FROM maf GROUP BY ALL")
+def agg_partial_final(t):
+    return ft.n_by(t.maf_records(), "patient", "chromosome")
+
+
+@query("agg_catalog", "maf", """
+WITH s AS (SELECT patient, barcode, count(*) AS n, substr(barcode,14,2)='01' AS prim FROM maf WHERE variant_type IN ('SNP','DNP') GROUP BY ALL),
+b AS (SELECT patient, barcode FROM (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY prim DESC, n DESC, barcode) AS k FROM s) WHERE k=1),
+c AS (SELECT m.patient, impact AS channel, variant_type, count(*) AS n FROM maf m JOIN b USING (patient, barcode) WHERE variant_type IN ('SNP','DNP') GROUP BY ALL)
+SELECT patient, CAST(coalesce(sum(n) FILTER (channel='HIGH'),0) AS BIGINT) AS high, CAST(coalesce(sum(n) FILTER (channel='LOW'),0) AS BIGINT) AS low,
+ CAST(coalesce(sum(n) FILTER (channel='MODERATE'),0) AS BIGINT) AS moderate, CAST(coalesce(sum(n) FILTER (channel='MODIFIER'),0) AS BIGINT) AS modifier,
+ round(log10(greatest(sum(n),1)),6) AS log10_burden FROM c GROUP BY ALL""")
+def agg_catalog(t):
+    ev = t.maf_records().filter(F.col("variant_type").isin("SNP", "DNP"))
+    samples = ft.n_by(ev, "patient", "barcode").withColumn("secondary", (F.substring("barcode", 14, 2) != "01").cast("int"))
+    chosen = first_per_key(samples, ["patient"], F.struct("secondary", -F.col("n"), "barcode")).select("patient", "barcode")
+    n = ft.n_by(ev.join(chosen, ["patient", "barcode"], "left_semi"), "patient", "impact")
+    cols = ["HIGH", "LOW", "MODERATE", "MODIFIER"]
+    wide = n.groupBy("patient").pivot("impact", cols).sum("n").fillna(0).withColumnsRenamed({c: c.lower() for c in cols})
+    total = F.col("high") + F.col("low") + F.col("moderate") + F.col("modifier")
+    return wide.withColumn("log10_burden", F.log10(F.greatest(total, F.lit(1)).cast("double")))
+
+
+_PAIRS = [f"maf__{i}__{v}" for i in ("HIGH", "LOW") for v in ("SNP", "DNP", "INS", "DEL")]
+
+
+@query("agg_pivot_counts", "maf", "SELECT patient, " + ", ".join(
+    f"count(*) FILTER (impact='{p.split('__')[1]}' AND variant_type='{p.split('__')[2]}') AS {p}" for p in _PAIRS) + " FROM maf GROUP BY ALL")
+def agg_pivot_counts(t):
+    return ft.composite_pivot(ft.n_by(t.maf_records(), "patient", "impact", "variant_type"), ["impact", "variant_type"], "maf", _PAIRS)
+
+
+@query("agg_crosstab", "maf", "SELECT patient, count(*) FILTER (variant_type='SNP') AS snp, count(*) FILTER (variant_type='DEL') AS del_, count(*) FILTER (variant_type='INS') AS ins FROM maf GROUP BY ALL")
+def agg_crosstab(t):
+    return t.maf_records().groupBy("patient").pivot("variant_type", ["SNP", "DEL", "INS"]).count().fillna(0).withColumnsRenamed({"SNP": "snp", "DEL": "del_", "INS": "ins"})
+
+
+@query("agg_modality_covariates", "ok_ev", """
+SELECT patient, round(ln(1+count(*)),6) AS log_total_burden, round(avg(CAST(modality='SBS' AS INT)),6) AS fraction_sbs, round(avg(CAST(modality='DBS' AS INT)),6) AS fraction_dbs,
+ round(avg(CAST(modality='ID' AS INT)),6) AS fraction_id, round(ln(1+count(*) FILTER (modality='SBS')),6) AS log_sbs, round(ln(1+count(*) FILTER (modality='DBS')),6) AS log_dbs, round(ln(1+count(*) FILTER (modality='ID')),6) AS log_id
+FROM ok_ev GROUP BY ALL""")
+def agg_modality_covariates(t):
+    return ft.modality_covariates(encode.accepted(encoded(t)).select("patient", "modality"))
+
+
+@query("agg_frequencies", "sample_counts", "SELECT patient, channel, round(n/CAST(sum(n) OVER (PARTITION BY patient) AS DOUBLE),6) AS p FROM sample_counts")
+def agg_frequencies(t):
+    return ft.shares(t.sample_counts()).drop("n")
+
+
+view("mb_counts", "maf", "SELECT patient, substr(chromosome,4)||'_mb'||(pos//50) AS feature, count(*) AS n FROM maf GROUP BY ALL")
+view("mb_density", "mb_counts", """
+SELECT patient, ln(1+sum(n)) AS log_total, CAST(count(*) AS DOUBLE) AS nonzero_count, sum(-p*ln(p)) AS entropy, sum(p*p) AS simpson, max(p) AS max_fraction,
+ sum(p) FILTER (k<=5) AS top5_fraction, sum(p) FILTER (k<=10) AS top10_fraction, 1-sum(p) FILTER (k<=10) AS tail90_fraction
+FROM (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY p DESC, feature) AS k FROM (SELECT *, n/CAST(sum(n) OVER (PARTITION BY patient) AS DOUBLE) AS p FROM mb_counts)) GROUP BY patient""")
+
+
+@query("agg_locus_blocks", "maf mb_counts mb_density cohort", """
+WITH v AS (SELECT feature FROM (SELECT feature, (sum(n*n)-sum(n)*sum(n)/CAST(N0 AS DOUBLE))/(N0-1) AS variance FROM mb_counts, (SELECT count(*) AS N0 FROM cohort) GROUP BY feature, N0) ORDER BY round(variance,9) DESC, feature LIMIT 64)
+SELECT patient, 'locus_chrom' AS block, CASE WHEN ltrim(substr(chromosome,4),'0')='' THEN '0' ELSE ltrim(substr(chromosome,4),'0') END AS feature, CAST(count(*) AS DOUBLE) AS value FROM maf GROUP BY ALL
+UNION ALL SELECT patient, 'locus_chrom_modality', (CASE WHEN ltrim(substr(chromosome,4),'0')='' THEN '0' ELSE ltrim(substr(chromosome,4),'0') END)||'__'||(CASE variant_type WHEN 'SNP' THEN 'SBS' WHEN 'DNP' THEN 'DBS' ELSE 'ID' END), CAST(count(*) AS DOUBLE) FROM maf GROUP BY ALL
+UNION ALL SELECT patient, 'locus_variant_class', lower(variant_class), CAST(count(*) AS DOUBLE) FROM maf GROUP BY ALL
+UNION ALL SELECT patient, 'locus_mb_top', feature, CAST(n AS DOUBLE) FROM mb_counts WHERE feature IN (SELECT feature FROM v)
+UNION ALL SELECT patient, 'locus_mb_density', feature, round(value,6) FROM (UNPIVOT mb_density ON COLUMNS(* EXCLUDE patient) INTO NAME feature VALUE value)""")
+def agg_locus_blocks(t):
+    return ft.locus_blocks(t.maf_records(), t.cohort(), bin_width=50, top=64)
+
+
+view("gene_ev", "maf", "SELECT patient, gene, lower(variant_class) AS variant_class, lower(variant_type) AS variant_type, lower(impact) AS impact, impact IN ('HIGH','MODERATE') AS damaging FROM maf WHERE gene<>'G17'")
+
+
+@query("agg_gene_blocks", "gene_ev sets", """
+WITH p AS (SELECT g.*, gene_set FROM gene_ev g JOIN sets USING (gene))
+SELECT 'gene' AS block, patient, gene AS feature, count(*) AS n FROM gene_ev GROUP BY ALL UNION ALL SELECT 'gene_damaging', patient, gene, count(*) FROM gene_ev WHERE damaging GROUP BY ALL
+UNION ALL SELECT 'impact', patient, impact, count(*) FROM gene_ev GROUP BY ALL UNION ALL SELECT 'variant_class', patient, variant_class, count(*) FROM gene_ev GROUP BY ALL
+UNION ALL SELECT 'variant_type', patient, variant_type, count(*) FROM gene_ev GROUP BY ALL
+UNION ALL SELECT 'pathway', patient, gene_set, count(*) FROM p GROUP BY ALL UNION ALL SELECT 'pathway_damaging', patient, gene_set, count(*) FROM p WHERE damaging GROUP BY ALL
+UNION ALL SELECT 'pathway_impact', patient, gene_set||'__'||impact, count(*) FROM p GROUP BY ALL UNION ALL SELECT 'pathway_gene', patient, gene_set||'__'||gene, count(*) FROM p GROUP BY ALL""")
+def agg_gene_blocks(t):
+    return ft.gene_blocks(t.maf_records().filter("gene <> 'G17'"), joins.hinted(t.sets()))
+
+
+@query("agg_grouping_sets", "gene_ev", "SELECT patient, gene, impact, variant_class, variant_type, count(*) AS n FROM gene_ev GROUP BY GROUPING SETS ((patient,gene),(patient,impact),(patient,variant_class),(patient,variant_type))")
+def agg_grouping_sets(t):
+    ev = t.maf_records().filter("gene <> 'G17'").select("patient", "gene", *[F.lower(c).alias(c) for c in ("impact", "variant_class", "variant_type")])
+    p, g, i, c, v = (F.col(x) for x in ("patient", "gene", "impact", "variant_class", "variant_type"))
+    return ev.groupingSets([[p, g], [p, i], [p, c], [p, v]], p, g, i, c, v).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agg_vaf_summary", "maf", """
+SELECT patient, round(avg(v),6) AS vaf_mean, round(coalesce(stddev_samp(v),0),6) AS vaf_std, round(avg(CAST(v>=0.35 AS INT)),6) AS vaf_high_fraction, round(avg(CAST(v<=0.1 AS INT)),6) AS vaf_low_fraction,
+ round(quantile_cont(v,0.5),6) AS vaf_median, round(quantile_cont(v,0.9),6) AS vaf_q90 FROM (SELECT patient, t_alt_count/CAST(t_depth AS DOUBLE) AS v FROM maf WHERE t_depth<>0) GROUP BY ALL""")
+def agg_vaf_summary(t):
+    return ft.vaf_summary(t.maf_records())
+
+
+@query("agg_numeric_summary", "maf", """
+SELECT patient, name, round(avg(value),6) AS mean, round(coalesce(stddev_samp(value),0),6) AS std, round(quantile_cont(value,0.5),6) AS median, round(quantile_cont(value,0.9),6) AS q90 FROM (
+ SELECT patient, 'pos' AS name, CAST(pos AS DOUBLE) AS value FROM maf UNION ALL SELECT patient, 't_depth', CAST(t_depth AS DOUBLE) FROM maf UNION ALL SELECT patient, 'alt', CASE WHEN t_alt_count>3 THEN CAST(t_alt_count AS DOUBLE) END FROM maf) WHERE value IS NOT NULL GROUP BY ALL""")
+def agg_numeric_summary(t):
+    ev = t.maf_records().withColumn("alt", F.when(F.col("t_alt_count") > 3, F.col("t_alt_count")))
+    return ft.numeric_summary(ev, ["pos", "t_depth", "alt"])
+
+
+@query("agg_distribution_summary", "mb_counts mb_density", """
+SELECT patient, round(log_total,6) AS log_total, CAST(nonzero_count AS BIGINT) AS nonzero_count, round(nonzero_count/k,6) AS nonzero_fraction, round(entropy,6) AS entropy, round(entropy/ln(k),6) AS normalized_entropy, round(simpson,6) AS simpson,
+ round(max_fraction,6) AS max_fraction, round(top5_fraction,6) AS top5_fraction, round(top10_fraction,6) AS top10_fraction, round(tail90_fraction,6) AS tail90_fraction FROM mb_density, (SELECT count(DISTINCT feature) AS k FROM mb_counts)""")
+def agg_distribution_summary(t):
+    ev = t.maf_records()
+    n = ft.n_by(ev, "patient", F.concat(F.substring("chromosome", 4, 9), F.lit("_mb"), F.floor(F.col("pos") / 50).cast("string")).alias("feature"))
+    k = F.broadcast(n.agg(F.countDistinct("feature").alias("k")))
+    s = ft.summary_of_counts(n, n_features=1).drop("nonzero_fraction", "normalized_entropy").join(k)
+    return s.select("*", (F.col("nonzero_count") / F.col("k")).alias("nonzero_fraction"), (F.col("entropy") / F.log("k")).alias("normalized_entropy")).drop("k")
+
+
+view("bio", "chan", """
+SELECT patient, channel, n, substr(channel,7,1) AS l, substr(channel,9,3) AS sub, substr(channel,13,1) AS r, split_part(channel,':',2) AS sz, lower(split_part(channel,':',3)) AS ev, lower(split_part(channel,':',4)) AS mo, split_part(channel,':',5) AS aux, split_part(channel,':',1) AS kind FROM chan""")
+view("bio_sums", "bio", """
+SELECT patient, feature, sum(n) AS value FROM (
+ SELECT patient, n, unnest(list_filter([ 'sbs_substitution_'||sub, 'sbs_left_'||l, 'sbs_right_'||r, 'sbs_flank_gc_count_'||(CAST(l IN ('G','C') AS INT)+CAST(r IN ('G','C') AS INT)), 'sbs_'||sub||'_left_'||l, 'sbs_'||sub||'_right_'||r,
+  CASE WHEN sub='C>T' AND r='G' THEN 'sbs_cpg_ct' END, CASE WHEN sub IN ('C>T','C>G') AND l='T' AND r IN ('A','T') THEN 'sbs_apobec_like' END, CASE WHEN sub='C>A' THEN 'sbs_ca_total' END], lambda f: f IS NOT NULL)) AS feature FROM bio WHERE kind='SBS96'
+ UNION ALL SELECT patient, n, unnest(list_filter(['id_event_'||ev, 'id_motif_'||mo, 'id_length_'||(CASE sz WHEN '5' THEN '5plus' ELSE sz END), 'id_'||ev||'_length_'||(CASE sz WHEN '5' THEN '5plus' ELSE sz END),
+  'id_'||(CASE mo WHEN 'm' THEN 'microhomology' WHEN 'r' THEN 'repeat' ELSE 'homopolymer' END)||'_aux_'||(CASE aux WHEN '5' THEN '5plus' ELSE aux END), 'id_'||ev||'_'||mo,
+  CASE WHEN aux='5' AND mo<>'r' THEN 'id_'||(CASE mo WHEN 'm' THEN 'microhomology' ELSE 'homopolymer' END)||'_5plus' END], lambda f: f IS NOT NULL)) FROM bio WHERE kind='ID83') GROUP BY ALL""")
+
+
+@query("agg_biology_sums", "bio_sums", "SELECT patient, feature, CAST(value AS BIGINT) AS value FROM bio_sums")
+def agg_biology_sums(t):
+    return ft.biology_sums(counts.channel_counts(encoded(t)))
+
+
+@query("agg_motif_ratios", "bio_sums chan", """
+WITH tot AS (SELECT patient, split_part(channel,':',1) AS kind, sum(n) AS t FROM chan GROUP BY ALL)
+SELECT s.patient, 'ratio_'||feature AS feature, round(value/CAST(t AS DOUBLE),6) AS value FROM bio_sums s JOIN tot ON tot.patient=s.patient AND kind=CASE WHEN starts_with(feature,'sbs_') THEN 'SBS96' ELSE 'ID83' END
+UNION ALL SELECT patient, 'ratio_cpg_to_apobec_plus1', round((coalesce(sum(value) FILTER (feature='sbs_cpg_ct'),0)+1)/CAST(coalesce(sum(value) FILTER (feature='sbs_apobec_like'),0)+1 AS DOUBLE),6) FROM bio_sums GROUP BY patient
+UNION ALL SELECT patient, 'ratio_id_mh_to_hp_plus1', round((coalesce(sum(value) FILTER (feature='id_microhomology_5plus'),0)+1)/CAST(coalesce(sum(value) FILTER (feature='id_homopolymer_5plus'),0)+1 AS DOUBLE),6) FROM bio_sums GROUP BY patient""")
+def agg_motif_ratios(t):
+    return ft.motif_ratios(counts.channel_counts(encoded(t)))
+
+
+view("vec_counts", "", "SELECT o_custkey AS sample, o_orderkey % 500 AS vec_id, count(*) AS n FROM orders GROUP BY ALL")
+
+
+def vec_counts(t):
+    return t.orders.groupBy(F.col("o_custkey").alias("sample"), (F.col("o_orderkey") % 500).alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+view("basis_long", "basis", "SELECT vec_id, CAST(generate_subscripts(embedding,1)-1 AS BIGINT) AS dim, unnest(embedding) AS v FROM basis")
+
+
+@query("agg_weighted_mean_vector", "vec_counts basis_long", "SELECT sample, dim, round(sum(n*v)/sum(n),6) AS value FROM vec_counts JOIN basis_long USING (vec_id) WHERE vec_id%7<>0 GROUP BY ALL")
+def agg_weighted_mean_vector(t):
+    usable = joins.hinted(t.basis().filter("vec_id % 7 <> 0"))
+    return ft.weighted_mean(vec_counts(t).join(usable, "vec_id"), ["sample"], "embedding", "n")
+
+
+@query("agg_signature_projection", "basis_long", """
+WITH p AS (SELECT * FROM (SELECT o_orderpriority AS signature, o_orderkey%500 AS vec_id, count(*)-3 AS p FROM orders GROUP BY ALL) WHERE vec_id%11<>0)
+SELECT signature, dim, round(sum(p*v)/sum(p),6) AS value FROM p JOIN basis_long USING (vec_id) WHERE p>0 GROUP BY ALL""")
+def agg_signature_projection(t):
+    p = t.orders.groupBy(F.col("o_orderpriority").alias("signature"), (F.col("o_orderkey") % 500).alias("vec_id")).agg((F.count(F.lit(1)) - 3).alias("p"))
+    p = p.withColumn("p", F.when(F.col("vec_id") % 11 != 0, F.col("p"))).filter("p > 0")
+    return ft.weighted_mean(p.join(joins.hinted(t.basis()), "vec_id"), ["signature"], "embedding", "p")
+
+
+@query("agg_moment_features", "vec_counts basis_long", """
+WITH z AS (SELECT vec_id, dim, (v-avg(v) OVER (PARTITION BY dim))/CASE WHEN stddev_pop(v) OVER (PARTITION BY dim)>1e-12 THEN stddev_pop(v) OVER (PARTITION BY dim) ELSE 1 END AS z FROM basis_long),
+p AS (SELECT sample, vec_id, n/CAST(sum(n) OVER (PARTITION BY sample) AS DOUBLE) AS p FROM vec_counts),
+m AS (SELECT sample, dim, sum(p*z) AS mu, sum(p*z*z) AS s2, sum(p*z*z*z) AS s3 FROM p JOIN z USING (vec_id) GROUP BY ALL)
+SELECT sample, dim, round(mu,6) AS mean, round(greatest(s2-mu*mu,0),6) AS variance, round(s3-3*mu*s2+2*mu*mu*mu,6) AS third FROM m""")
+def agg_moment_features(t):
+    return ft.moments(vec_counts(t), t.basis())
+
+
+@query("agg_context_census", "ref_tiles", """
+WITH w AS (SELECT seq||coalesce(left(lead(seq) OVER (PARTITION BY contig ORDER BY tile),6),'') AS s FROM ref_tiles),
+x AS (SELECT substr(s,j,7) AS w FROM (SELECT s, unnest(range(1,length(s)-5)) AS j FROM w)),
+c AS (SELECT CASE WHEN substr(w,4,1) IN ('C','T') THEN w ELSE reverse(translate(w,'ACGT','TGCA')) END AS w, count(*) AS n FROM x GROUP BY ALL),
+o AS (SELECT substr(w,3,3) AS key, n, w, unnest(range(1,4)) AS off FROM c)
+SELECT key, off AS "offset", round(sum(n*CAST(substr(w,4-off,1) IN ('C','T') AS INT))/CAST(sum(n) AS DOUBLE),6) AS lx, round(sum(n*CAST(substr(w,4-off,1) IN ('A','C') AS INT))/CAST(sum(n) AS DOUBLE),6) AS ly,
+ round(sum(n*CAST(substr(w,4+off,1) IN ('C','T') AS INT))/CAST(sum(n) AS DOUBLE),6) AS rx, round(sum(n*CAST(substr(w,4+off,1) IN ('A','C') AS INT))/CAST(sum(n) AS DOUBLE),6) AS ry, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY key, off""")
+def agg_context_census(t):
+    return ft.census(t.ref_contig(), 3)
+
+
+@query("agg_majority_purity", "maf", """
+SELECT round(sum(top)/CAST(sum(a) AS DOUBLE),6) AS purity, count(*) AS n_bins, CAST(sum(a) AS BIGINT) AS n_events FROM (SELECT b, max(n) AS top, sum(n) AS a FROM (SELECT chromosome||'_'||(pos//40) AS b, variant_type, count(*) AS n FROM maf GROUP BY ALL) GROUP BY b)""")
+def agg_majority_purity(t):
+    ev = t.maf_records().withColumn("b", F.concat_ws("_", "chromosome", F.floor(F.col("pos") / 40).cast("string")))
+    return ft.majority_purity(ev, "b", "variant_type")
+
+
+@query("agg_distinct_collisions", "basis", """
+WITH r AS (SELECT vec_id, list_transform(embedding[1:2], lambda v: round(v,1)) AS v FROM basis), g AS (SELECT v, min(vec_id) AS bucket, count(*) AS size FROM r GROUP BY v HAVING count(*)>1)
+SELECT bucket, size, vec_id FROM r JOIN g USING (v)""")
+def agg_distinct_collisions(t):
+    return ft.collisions(t.basis().select("vec_id", F.slice("embedding", 1, 2).alias("v")), "vec_id", "v", places=1)
+
+
+@query("agg_validity_gate", "maf", "SELECT patient, count(*) AS maf_rows, count(*) FILTER (t_depth%7=0) AS failed_context, round(count(*) FILTER (t_depth%7=0)/greatest(count(*),1),6) AS failed_context_rate FROM maf GROUP BY ALL")
+def agg_validity_gate(t):
+    g = t.maf_records().groupBy("patient").agg(F.count(F.lit(1)).alias("maf_rows"), F.count_if(F.col("t_depth") % 7 == 0).alias("failed_context"))
+    return g.withColumn("failed_context_rate", F.col("failed_context") / F.greatest("maf_rows", F.lit(1)))
+
+
+@query("agg_burden_recover", "maf", "SELECT patient, round(CAST(count(*) AS DOUBLE),6) AS burden FROM maf GROUP BY ALL")
+def agg_burden_recover(t):
+    kind = seq.modality_of_type(F.col("variant_type"))
+    logs = t.maf_records().groupBy("patient").agg(
+        F.log10(F.count_if(kind == "ID") + F.lit(1.0)).alias("id_log"), F.log10(F.count_if(kind != "ID") + F.lit(1.0)).alias("sub_log")
+    )
+    return logs.select("patient", (F.pow(F.lit(10.0), "sub_log") - 1 + F.pow(F.lit(10.0), "id_log") - 1).alias("burden"))
+
+
+@query("agg_driver_labels", "maf cohort", """
+SELECT c.patient, coalesce(max(CAST(gene='G12' AND variant_class IN ('AF','RF') AS BIGINT)),0) AS g12_mutated, coalesce(max(CAST(gene IN ('G3','G5','G7') AND variant_class IN ('AF','RF') AS BIGINT)),0) AS pathway_mutated
+FROM cohort c LEFT JOIN maf m ON m.patient=c.patient GROUP BY c.patient""")
+def agg_driver_labels(t):
+    return ft.driver_labels(t.maf_records(), t.cohort(), ["AF", "RF"], {"g12_mutated": ["G12"], "pathway_mutated": ["G3", "G5", "G7"]})
+
+
+_BOARD = """SELECT representation, learner, resample, count(DISTINCT endpoint) AS n_endpoints, round(avg(d),6) AS mean_delta, round(quantile_cont(d,0.5),6) AS median_delta, round(min(d),6) AS min_delta, round(max(d),6) AS max_delta,
+ count(*) FILTER (d>=0.03) AS gains, count(*) FILTER (d<-0.02) AS losses, round(avg(s),6) AS mean_score, avg(d)>=0.02 AND min(d)>=-0.02 AND count(*) FILTER (d>=0.03)>=3 AND count(*) FILTER (d<-0.02)=0 AS promoted
+FROM (SELECT c.*, c.score-b.score AS d, c.score AS s FROM results c JOIN results b USING (endpoint, learner, resample) WHERE b.representation='standard' AND c.representation<>'standard') GROUP BY representation, learner, resample"""
+
+
+def board(t):
+    d = res.with_baseline(res.sample_results(t), ["endpoint", "learner", "resample"], "representation", "standard", "score")
+    d = d.filter("representation <> 'standard' AND delta_vs_baseline IS NOT NULL")
+    return res.leaderboard(d, ["representation", "learner", "resample"], "delta_vs_baseline", "endpoint", "score")
+
+
+from varloom.catalog import q_joins  # noqa: E402,F401  (the results view)
+
+
+@query("agg_leaderboard", "results", _BOARD)
+def agg_leaderboard(t):
+    return board(t)
+
+
+view("board", "results", _BOARD)
+
+
+@query("agg_two_level_gate", "board", """
+SELECT representation, resample, count(DISTINCT learner) AS learners, round(avg(mean_delta),6) AS mean_delta, round(min(min_delta),6) AS min_delta, CAST(sum(gains) AS BIGINT) AS gains, CAST(sum(losses) AS BIGINT) AS losses FROM board GROUP BY ALL HAVING count(DISTINCT learner)=2 AND sum(losses)<=3""".replace("board GROUP", "(SELECT c.representation, c.learner, c.resample, avg(c.score-b.score) AS mean_delta, min(c.score-b.score) AS min_delta, count(*) FILTER (c.score-b.score>=0.03) AS gains, count(*) FILTER (c.score-b.score<-0.02) AS losses FROM results c JOIN results b USING (endpoint, learner, resample) WHERE b.representation='standard' AND c.representation<>'standard' GROUP BY 1,2,3) GROUP"))
+def agg_two_level_gate(t):
+    by = board(t).groupBy("representation", "resample").agg(
+        F.countDistinct("learner").alias("learners"), F.avg("mean_delta").alias("mean_delta"), F.min("min_delta").alias("min_delta"),
+        F.sum("gains").alias("gains"), F.sum("losses").alias("losses"),
+    )
+    return by.filter("learners = 2 AND losses <= 3")
+
+
+@query("agg_model_summary", "results", "SELECT endpoint, representation, round(avg(score),6) AS mean_score, round(stddev_samp(score)/sqrt(count(score)),6) AS se_score, min(learner) AS first_learner, count(*) AS n FROM results GROUP BY ALL")
+def agg_model_summary(t):
+    return res.sample_results(t).groupBy("endpoint", "representation").agg(
+        F.avg("score").alias("mean_score"), (F.stddev_samp("score") / F.sqrt(F.count("score"))).alias("se_score"),
+        F.min("learner").alias("first_learner"), F.count(F.lit(1)).alias("n"),
+    )
+
+
+@query("agg_dataset_summary", "", "SELECT c_mktsegment AS damage_class, count(*) AS n_samples, count(DISTINCT c_nationkey) AS n_agents, round(quantile_cont(c_acctbal,0.5),6) AS median_events FROM customer GROUP BY ALL")
+def agg_dataset_summary(t):
+    c = t.customer.withColumnRenamed("c_mktsegment", "damage_class")
+    n = c.groupBy("damage_class").agg(F.count(F.lit(1)).alias("n_samples"), F.countDistinct("c_nationkey").alias("n_agents"))
+    return n.join(quantiles(c, ["damage_class"], "c_acctbal", {"median_events": 0.5}), "damage_class")
+
+
+@query("agg_tfidf_df", "maf cohort", """
+SELECT gene AS feature, count(DISTINCT patient) AS df, round(ln((1.0+k)/(1.0+count(DISTINCT patient)))+1,6) AS idf FROM maf, (SELECT count(*) AS k FROM cohort) GROUP BY gene, k""")
+def agg_tfidf_df(t):
+    return ft.document_frequency(ft.n_by(t.maf_records(), "patient", F.col("gene").alias("feature")), t.cohort())

@@ -36,7 +36,7 @@ def classify(events: DataFrame) -> DataFrame:
     body = (
         F.when(
             col("modality") == "SBS",
-            F.when((F.length("cref") == 1) & (F.length("calt") == 1), F.concat(F.lit("["), pair, F.lit("]"))),
+            F.when((F.length("cref") == 1) & (F.length("calt") == 1) & (col("cref") != col("calt")), F.concat(F.lit("["), pair, F.lit("]"))),
         )
         .when(col("modality") == "DBS", F.when(pair.isin(catalogues.DBS78), F.concat(F.lit("DBS78:"), pair)))
         .when(col("modality") == "ID", F.concat(F.lit("ID83:"), sequence.id83_plain(col("_pair"))))
