@@ -76,3 +76,17 @@ def midranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     return running_totals(runs, keys, value, ["n"]).withColumn(
         out, F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)
     )
+
+
+def suffix_minimum(df: DataFrame, keys: list[str], value: str, col: str, out: str, bins: int = BINS) -> DataFrame:
+    """Minimum of ``col`` over rows with a value at least as large, per key, cut into bins like
+    ``running_totals``."""
+    v = F.col(value).cast("double")
+    span = df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    cut = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    binned = join_keys(df, span, keys).withColumn("_bin", cut.cast("int")).drop("_lo", "_hi")
+    w = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    later = binned.groupBy(*keys, "_bin").agg(F.min(col).alias("_m")).select(*keys, "_bin", F.min("_m").over(w).alias("_later"))
+    inner = Window.partitionBy(*keys, "_bin").orderBy(F.desc(value))
+    return binned.join(later, [*keys, "_bin"]).withColumn(out, F.least(F.min(col).over(inner), F.col("_later"))).drop("_bin", "_later")

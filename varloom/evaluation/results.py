@@ -79,3 +79,24 @@ def promoted() -> Column:
 def missing_signal(importance: Column, r2: Column) -> Column:
     """Importance that a representation does not recover."""
     return importance * (1 - F.least(F.greatest(r2, F.lit(0.0)), F.lit(1.0)))
+
+
+def comparison_registry(results: DataFrame, specs: list[tuple[str, str, str, str]], tests: DataFrame) -> DataFrame:
+    """Every comparison x endpoint x learner with its delta and p-value, or why it was not tested."""
+    spark = results.sparkSession
+    spec = spark.createDataFrame(specs, "figure_id string, comparison string, candidate string, baseline string")
+    slots = results.select("endpoint", "learner").distinct().withColumn("j", F.lit(1))
+    grid = slots.join(F.broadcast(spec.withColumn("j", F.lit(1))), "j").drop("j")
+    mean = results.groupBy("endpoint", "learner", "representation").agg(F.avg("score").alias("score"))
+    side = lambda role, s: mean.select("endpoint", "learner", F.col("representation").alias(role), F.col("score").alias(s))
+    p = tests.select("endpoint", "learner", F.col("representation").alias("candidate"), "p_value")
+    full = (
+        grid.join(side("candidate", "a"), ["endpoint", "learner", "candidate"], "left")
+        .join(side("baseline", "b"), ["endpoint", "learner", "baseline"], "left")
+        .join(p, ["endpoint", "learner", "candidate"], "left")
+    )
+    missing = F.col("a").isNull() | F.col("b").isNull()
+    return full.select(
+        "figure_id", "comparison", "endpoint", "learner", F.when(missing, "not_tested").otherwise("tested").alias("status"),
+        F.when(missing, "missing candidate or baseline").otherwise("").alias("reason"), (F.col("a") - F.col("b")).alias("delta"), "p_value",
+    )
