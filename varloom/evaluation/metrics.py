@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from varloom.evaluation.quantiles import join_keys, midranks, running_totals, value_runs
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation, null when one side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _runs(preds: DataFrame, keys: list[str], y: str, score: str, weight: str | None = None) -> DataFrame:
     w = F.lit(1) if weight is None else F.col(weight)
     positive = F.col(y) == 1
@@ -49,14 +54,14 @@ def attach_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFra
 
 def spearman(preds: DataFrame, keys: list[str], x: str, y: str, out: str = "spearman") -> DataFrame:
     ranked = attach_rank(attach_rank(preds, keys, x, "_rx"), keys, y, "_ry")
-    return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias(out))
+    return ranked.groupBy(*keys).agg(pearson("_rx", "_ry").alias(out))
 
 
 def regression(preds: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """Pearson, R² and MAE; the total sum of squares is var_pop · n."""
     d = F.col(y) - F.col(p)
     return preds.groupBy(*keys).agg(
-        F.corr(y, p).alias("pearson"), (1 - F.try_divide(F.sum(d * d), F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
+        pearson(y, p).alias("pearson"), (1 - F.try_divide(F.sum(d * d), F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
         F.avg(F.abs(d)).alias("mae"), F.count(F.lit(1)).alias("n_test"),
     )
 

@@ -100,3 +100,18 @@ def comparison_registry(results: DataFrame, specs: list[tuple[str, str, str, str
         "figure_id", "comparison", "endpoint", "learner", F.when(missing, "not_tested").otherwise("tested").alias("status"),
         F.when(missing, "missing candidate or baseline").otherwise("").alias("reason"), (F.col("a") - F.col("b")).alias("delta"), "p_value",
     )
+
+
+def frozen_choice(results: DataFrame, endpoint: str, tuned_on: str, keys: list[str], params: list[str], score: str) -> DataFrame:
+    """Pick the best parameters per key on one endpoint and keep only those rows everywhere."""
+    tuned = results.filter(F.col(endpoint) == tuned_on)
+    chosen = best_rows(tuned, keys, [(score, "desc")] + [(p, "asc") for p in params]).select(*keys, *params)
+    return results.join(F.broadcast(chosen), [*keys, *params], "left_semi")
+
+
+def early_stop(deltas: DataFrame, candidate: list[str], endpoint: str, limiting: list[str], delta: str, gate: float) -> DataFrame:
+    """Two stages: all candidates on the limiting endpoints, the rest only for those above the gate."""
+    first = deltas.filter(F.col(endpoint).isin(limiting))
+    alive = first.groupBy(*candidate).agg(F.avg(delta).alias("m")).filter(F.col("m") >= gate).select(*candidate)
+    rest = deltas.filter(~F.col(endpoint).isin(limiting)).join(alive, candidate, "left_semi")
+    return first.unionByName(rest.select(first.columns))

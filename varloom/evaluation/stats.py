@@ -48,8 +48,8 @@ def delong(preds: DataFrame, keys: list[str], y: str, a: str, b: str, *, floor:
     out = preds
     for name in (a, b):
         runs = met._runs(preds, keys, y, name)
-        v = F.when(F.lit(True), (F.col("before_neg") + F.col("neg") / 2.0) / F.col("all_neg")).alias(f"_p_{name}")
-        w = ((F.col("all_pos") - F.col("before_pos") - F.col("pos") / 2.0) / F.col("all_pos")).alias(f"_n_{name}")
+        v = F.try_divide(F.col("before_neg") + F.col("neg") / 2.0, "all_neg").alias(f"_p_{name}")
+        w = F.try_divide(F.col("all_pos") - F.col("before_pos") - F.col("pos") / 2.0, "all_pos").alias(f"_n_{name}")
         out = out.join(runs.select(*keys, name, v, w), [*keys, name])
     pos, neg = F.col(y) == 1, F.col(y) == 0
     pick = lambda cond, c: F.when(cond, F.col(c))
@@ -60,7 +60,7 @@ def delong(preds: DataFrame, keys: list[str], y: str, a: str, b: str, *, floor:
         F.var_samp(diff(pos, "p")).alias("vp"), F.var_samp(diff(neg, "n")).alias("vn"),
         F.count_if(pos).alias("np"), F.count_if(neg).alias("nn"),
     )
-    var = F.col("vp") / F.col("np") + F.col("vn") / F.col("nn")
+    var = F.try_divide("vp", "np") + F.try_divide("vn", "nn")
     delta = F.col("auc_a") - F.col("auc_b")
     if floor is None:
         p = F.when(F.coalesce(var, F.lit(0.0)) <= 1e-18, 1.0).otherwise(two_sided(delta / F.sqrt(var)))
@@ -97,9 +97,11 @@ def resampled(preds: DataFrame, identity: str, *, replicates: int, seed: str, st
 
 def replicate_deltas(preds: DataFrame, y: str, a: str, b: str, identity: str, *, replicates: int, seed: str, stratify: bool) -> DataFrame:
     r = resampled(preds, identity, replicates=replicates, seed=seed, strata=[y] if stratify else [])
-    one = met.auroc(r, ["replicate"], y, a, weight="mult", out="sa")
-    two = met.auroc(r, ["replicate"], y, b, weight="mult", out="sb")
-    return one.join(two, "replicate").select("replicate", (F.col("sa") - F.col("sb")).alias("delta"))
+    entry = lambda name, c: F.struct(F.lit(name).alias("model"), F.col(c).cast("double").alias("score"))
+    long = r.select("replicate", y, "mult", F.inline(F.array(entry("a", a), entry("b", b))))
+    scores = met.auroc(long, ["replicate", "model"], y, "score", weight="mult")
+    side = lambda m: F.max(F.when(F.col("model") == m, F.col("auroc")))
+    return scores.groupBy("replicate").agg((side("a") - side("b")).alias("delta"))
 
 
 def delta_summary(deltas: DataFrame, keys: list[str], delta: str, *, smoothed: bool) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.evaluation.metrics import pearson
 from varloom.evaluation.quantiles import quantiles
 from varloom.operators import features as ft
 
@@ -97,7 +98,7 @@ def evaluate(pairs: DataFrame, threshold: float) -> DataFrame:
     tp, fp, fn = (F.count_if(c) for c in ((p > threshold) & (t > threshold), (p > threshold) & (t <= threshold), (p <= threshold) & (t > threshold)))
     s = pairs.groupBy("patient").agg(
         _ratio(F.sum(t * p), F.sqrt(F.sum(t * t)) * F.sqrt(F.sum(p * p))).alias("cosine"), F.avg(F.abs(t - p)).alias("mae"),
-        F.sum(F.abs(t - p)).alias("l1"), F.coalesce(F.when((F.stddev_pop(t) > 1e-12) & (F.stddev_pop(p) > 1e-12), F.corr(t, p)), F.lit(0.0)).alias("pearson"),
+        F.sum(F.abs(t - p)).alias("l1"), F.coalesce(F.when((F.stddev_pop(t) > 1e-12) & (F.stddev_pop(p) > 1e-12), pearson("truth", "pred")), F.lit(0.0)).alias("pearson"),
         tp.alias("tp"), fp.alias("fp"), fn.alias("fn"),
         (F.min_by("signature", F.struct(-t, "signature")) == F.min_by("signature", F.struct(-p, "signature"))).alias("top1"),
     )

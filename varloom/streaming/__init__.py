@@ -1 +1 @@
-
+"""Structured Streaming versions of counting, deduplication and burden windows."""
