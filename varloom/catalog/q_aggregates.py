@@ -14,7 +14,7 @@ from varloom.sources.readers import first_per_key
 
 
 def encoded(t):
-    return encode.encode_events(t.events_maf(), t.ref_contig(), longest_allele=6)
+    return encode.encode_events(t.events_maf(), t.contigs_of, longest_allele=6)
 
 
 @query("agg_channel_counts", "chan cohort universe", """

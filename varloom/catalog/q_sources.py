@@ -128,7 +128,7 @@ def src_reference_tiles(t):
         "event_id", F.substring("chromosome", 4, 9).cast("long").alias("c"), (F.col("pos") - 30).alias("start"),
         (10 + F.col("event_id") % 150).alias("size"),
     )
-    return fetch_windows(spans, t.ref_contig(), contig="c", start="start", length="size", out="bases").select("event_id", "bases")
+    return fetch_windows(spans, t.contigs_of, contig="c", start="start", length="size", out="bases").select("event_id", "bases")
 
 
 @query("src_scenarios", "profile_rec", """

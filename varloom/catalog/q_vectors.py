@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from varloom.catalog import q_projections as qp
@@ -14,6 +16,7 @@ from varloom.functions import labels as lab
 from varloom.functions import vectors as vec
 from varloom.operators import basis as bas
 from varloom.operators import counts, encode, features as ft, joins, kernels, landmarks as lm, transforms as tr, windows as win
+from varloom.session import scratch_path
 
 KEY = "event_id"
 
@@ -41,7 +44,7 @@ def vec_bits(t):
 
 
 def flanks(t):
-    return encode.attach_flanks(encode.classify(t.events_maf()), t.ref_contig(), 12, longest_allele=6)
+    return encode.attach_flanks(encode.classify(t.events_maf()), t.contigs_of, 12, longest_allele=6)
 
 
 @query("vec_context", "flanked", f"SELECT event_id, {xb('reverse(lf)', 10)}||{yb('reverse(lf)', 10)}||{xb('rf', 10)}||{yb('rf', 10)} AS ctx FROM flanked")
@@ -341,13 +344,13 @@ def lmk_frequency(t):
 WITH d AS (SELECT patient, v, count(*) AS n FROM onehot GROUP BY ALL), l AS (SELECT v, row_number() OVER (ORDER BY v) AS landmark FROM rand_lm)
 SELECT patient, landmark, round(sum(n*exp(-0.5*hamming(d.v,l.v)/(sigma*sigma)))/sum(n),6) AS value FROM d, l, hsigma GROUP BY ALL""")
 def kme_event(t):
-    return lm_kme(t)
+    return bas.event_embedding(inventory(t), "patient", "v", k=12, seed="seed", width=178)
 
 
-def lm_kme(t, k: int = 12):
-    """Deduplicated event vectors per patient, kernel to random landmarks, mean by event count."""
-    events = onehot(t)
-    return bas.event_embedding(events, "patient", "v", lm.random_landmarks(events, "v", k, "seed"), width=178)
+def inventory(t):
+    """Event vectors of this query's folder, written below the shared folder."""
+    path = scratch_path(t.spark, f"inventory-{uuid.uuid4().hex[:8]}")
+    return bas.event_inventory(onehot(t), "patient", "v", path)
 
 
 _W = "[" + ",".join(f"{w * w!r}" for w in vec.one_hot_weights()) + "]"
@@ -360,7 +363,7 @@ d AS (SELECT modality, patient, v, count(*) AS n FROM onehot GROUP BY ALL), u AS
 w AS (SELECT u.modality, u.v, u.landmark, list_sum(list_transform(range(1,179), lambda i: CASE WHEN substr(u.v,i,1)<>substr(l.v,i,1) THEN ({_W})[i] ELSE 0.0 END)) AS d2 FROM u JOIN l ON l.modality=u.modality AND l.landmark=u.landmark)
 SELECT patient, d.modality, mult AS multiplier, landmark, round(sum(n*exp(-0.5*d2/(sigma*sigma*mult*mult)))/sum(n),6) AS value FROM d JOIN w USING (modality, v) JOIN g ON g.modality=d.modality CROSS JOIN (SELECT unnest([0.5::DOUBLE,1.0::DOUBLE,2.0::DOUBLE]) AS mult) GROUP BY ALL""")
 def kme_stratified(t):
-    return bas.stratified_embedding(onehot(t), "patient", "v", k=4, seed="seed", multipliers=[0.5, 1.0, 2.0], weights=vec.one_hot_weights())
+    return bas.stratified_embedding(inventory(t), "patient", "v", k=4, seed="seed", multipliers=[0.5, 1.0, 2.0], weights=vec.one_hot_weights())
 
 
 @query("prj_random_directions")

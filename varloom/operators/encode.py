@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions import catalogues, sequence
-from varloom.sources.reference import fetch_windows
+from varloom.sources.reference import Contigs, fetch_windows
 
 REJECT_REASONS = [
     "invalid_or_other",
@@ -53,7 +53,7 @@ def classify(events: DataFrame) -> DataFrame:
 
 
 def attach_flanks(
-    events: DataFrame, contigs: DataFrame, d_context: int, *, longest_allele: int | None = None
+    events: DataFrame, contigs: Contigs, d_context: int, *, longest_allele: int | None = None
 ) -> DataFrame:
     """``left``/``right`` flanks of ``d_context`` bases, the observed reference and whether it matches.
 
@@ -115,7 +115,7 @@ def channel_label() -> Column:
 
 
 def encode_events(
-    events: DataFrame, contigs: DataFrame, *, d_context: int = 12, longest_allele: int | None = None
+    events: DataFrame, contigs: Contigs, *, d_context: int = 12, longest_allele: int | None = None
 ) -> DataFrame:
     """All events with ``reject_reason`` and, for accepted ones, canonical flanks, alleles and channel."""
     flanked = attach_flanks(classify(events), contigs, d_context, longest_allele=longest_allele)

@@ -220,8 +220,8 @@ def census(contigs: DataFrame, d: int, tile: int = 64) -> DataFrame:
     from varloom.sources.reference import tile_pairs
 
     size = 2 * d + 1
-    starts = F.transform(F.sequence(F.lit(1), F.lit(tile)), lambda j: F.substring(F.col("wide"), j, F.lit(size)))
-    windows = tile_pairs(contigs, tile).select(F.explode(starts).alias("w")).filter(~F.col("w").contains("N"))
+    starts = tile_pairs(contigs, tile).select("wide", F.explode(F.sequence(F.lit(1), F.lit(tile))).alias("j"))
+    windows = starts.select(F.substring("wide", F.col("j"), F.lit(size)).alias("w")).filter(~F.col("w").contains("N"))
     centre = F.substring("w", d + 1, 1)
     canon = F.when(centre.isin("C", "T"), F.col("w")).otherwise(seq.revcomp(F.col("w")))
     counted = windows.groupBy(canon.alias("w")).agg(rows().alias("n"))

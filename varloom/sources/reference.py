@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+Contigs = DataFrame | Callable[[DataFrame], DataFrame]
+
 
 def _cut(tile: int):
     return F.regexp_extract_all("seq", F.lit(f"(.{{1,{tile}}})"), F.lit(1))
@@ -37,14 +41,19 @@ def tile_pairs(contigs: DataFrame, tile: int = 64) -> DataFrame:
     )
 
 
-def _used(events: DataFrame, contigs: DataFrame, contig: str) -> DataFrame:
-    """Only contigs that occur in the events are worth cutting into tiles."""
-    return contigs.join(events.select(F.col(contig).alias("contig")).distinct(), "contig", "left_semi")
+def _used(events: DataFrame, contigs: Contigs, contig: str) -> DataFrame:
+    """Only contigs that occur in the events are worth cutting into tiles.
+
+    ``contigs`` may be a function of the used names, so that deriving a sequence (cleaning text,
+    say) can also be limited to them.
+    """
+    used = events.select(F.col(contig).alias("contig")).distinct()
+    return contigs(used) if callable(contigs) else contigs.join(used, "contig", "left_semi")
 
 
 def fetch_windows(
     events: DataFrame,
-    contigs: DataFrame,
+    contigs: Contigs,
     *,
     contig: str,
     start: str,
@@ -82,7 +91,7 @@ def fetch_windows(
 
 def fetch_long_windows(
     events: DataFrame,
-    contigs: DataFrame,
+    contigs: Contigs,
     *,
     contig: str,
     start: str,

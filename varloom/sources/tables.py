@@ -27,10 +27,16 @@ class Tables:
 
     # -- reference sequence ------------------------------------------------------------
     def ref_contig(self) -> DataFrame:
-        letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-        return self.documents.select(
-            F.col("doc_id").alias("contig"), F.translate(letters, LETTERS, BASES26).alias("seq")
-        )
+        return self._sequences(self.documents)
+
+    def contigs_of(self, used: DataFrame) -> DataFrame:
+        """Sequences of the contigs named in ``used``; the others' text is never cleaned."""
+        return self._sequences(self.documents.join(used.withColumnRenamed("contig", "doc_id"), "doc_id", "left_semi"))
+
+    @staticmethod
+    def _sequences(documents: DataFrame) -> DataFrame:
+        letters = F.upper(F.regexp_replace("text", "[^A-Za-z]+", ""))
+        return documents.select(F.col("doc_id").alias("contig"), F.translate(letters, LETTERS, BASES26).alias("seq"))
 
     def ref_tiles(self, tile: int = 64) -> DataFrame:
         return tile_sequences(self.ref_contig(), tile)
@@ -60,7 +66,7 @@ class Tables:
         )
         # six bases from the position on, looked up by tile: the contig's text itself can be very long
         typed = fetch_windows(
-            base, self.ref_contig(), contig="contig", start="pos", length="span", longest=6
+            base, self.contigs_of, contig="contig", start="pos", length="span", longest=6
         ).withColumn("seq", F.rtrim("window", F.lit("N")))
         return typed.select(
             "event_id",
