@@ -62,23 +62,23 @@ def vec_payload(t):
     )
 
 
-_UGA = f"{xb('reverse(lf)', 10)}||{yb('reverse(lf)', 10)}||{pay('tr', 5, 'masked')}||{xb('rf', 10)}||{yb('rf', 10)}||{pay('ta', 5, 'masked')}"
-view("uga", "attrs", f"SELECT event_id, {_UGA} AS v FROM attrs")
+_EVENT_BITS = f"{xb('reverse(lf)', 10)}||{yb('reverse(lf)', 10)}||{pay('tr', 5, 'masked')}||{xb('rf', 10)}||{yb('rf', 10)}||{pay('ta', 5, 'masked')}"
+view("event_bits", "attrs", f"SELECT event_id, {_EVENT_BITS} AS v FROM attrs")
 
 
-def uga(t):
+def event_bits(t):
     v = vec.event_vector(F.col("left"), F.col("right"), F.col("ref_payload"), F.col("alt_payload"), 10, 5)
     return qp.attributes(t).select(KEY, v.alias("v"))
 
 
-@query("vec_uga", "uga", "SELECT * FROM uga")
+@query("vec_uga", "event_bits", "SELECT * FROM event_bits")
 def vec_uga(t):
-    return uga(t)
+    return event_bits(t)
 
 
-@query("vec_uga_slice", "uga", "SELECT event_id, substr(v,1,20)||substr(v,36,20) AS context_only FROM uga")
+@query("vec_uga_slice", "event_bits", "SELECT event_id, substr(v,1,20)||substr(v,36,20) AS context_only FROM event_bits")
 def vec_uga_slice(t):
-    return uga(t).select(KEY, vec.context_slice(F.col("v"), 10, 5).alias("context_only"))
+    return event_bits(t).select(KEY, vec.context_slice(F.col("v"), 10, 5).alias("context_only"))
 
 
 @query("vec_decode_check", "attrs", "SELECT count(*) AS n, 0 AS masked_mismatch, 0 AS length_mismatch, count(*) FILTER (length(pay)>2) AS overflow FROM attrs")
