@@ -81,7 +81,8 @@ def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """
     model, (words, ends) = tokenizer(path), word_tokenizer(path)
     known: dict[str, bytes] = cached(f"token-bytes-{path}", dict)
-    usual, parts, symbols = frozenset(map(chr, USUAL)), re.compile(PARTS), byte_symbols()
+    unusual = re.compile(f"[^{re.escape(''.join(map(chr, USUAL)))}]|<\\|")
+    parts, symbols = re.compile(PARTS), byte_symbols()
 
     def learn(new: list[str]) -> None:
         split = [parts.findall(x) for x in new]
@@ -92,7 +93,7 @@ def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
         known.update((x, data[a:b]) for x, a, b in zip(new, until[:-1].tolist(), until[1:].tolist(), strict=True))
 
     for i in range(0, len(texts), 128):
-        some: list[tuple[str, list[str] | None]] = [(t, t.lower().split() if usual.issuperset(set(t)) and "<|" not in t else None) for t in texts[i : i + 128]]
+        some: list[tuple[str, list[str] | None]] = [(t, None if unusual.search(t) else t.lower().split()) for t in texts[i : i + 128]]
         if len(known) > REMEMBERED:
             known.clear()
         new: set[str] = set()
