@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varloom.llm.registry import query, table
+from varloom.llm.scan import chunks, words
 from varloom.llm.store import cached, materialise, partitions
 
 CAPACITY = 4096
@@ -69,44 +70,89 @@ def byte_symbols() -> dict[int, str]:
 #: Texts of these characters only are lower-cased and split here in the same way as by the vocabulary's own rules.
 USUAL = [*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0xB2), *range(0xB4, 0xB9), 0xBA, 0xBB]
 USUAL += [*range(0xBF, 0x130), *range(0x131, 0x250), *range(0x2010, 0x2028), 0x20AC]
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+"
-
-
-def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n"
+
+
+class WordIds:
+    """Token ids of the words met so far by a worker, found by the words' hashes; whole arrays of words at once."""
+
+    BITS = 21
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(1 << self.BITS, dtype=np.uint64)
+        self.index = np.zeros(1 << self.BITS, dtype=np.int32)
+        self.start, self.count, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word, 0 if it is not known."""
+        out, rest = np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes))
+        slot = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        while len(rest):
+            key = self.keys[slot]
+            hit = key == hashes[rest]
+            out[rest[hit]] = self.index[slot[hit]]
+            on = ~hit & (key != 0)
+            rest, slot = rest[on], (slot[on] + 1) % len(self.keys)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """New distinct words with the ends of their ids in ``ids``."""
+        first = len(self.start)
+        begin = np.concatenate([[0], ends[:-1]])
+        self.start = np.concatenate([self.start, begin + len(self.ids)])
+        self.count = np.concatenate([self.count, ends - begin])
+        self.ids = np.concatenate([self.ids, ids])
+        rest = np.arange(len(hashes))
+        slot = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        while len(rest):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[rest[free]]
+            mine = self.keys[slot] == hashes[rest]
+            self.index[slot[mine]] = first + rest[mine]
+            rest, slot = rest[~mine], (slot[~mine] + 1) % len(self.keys)
+
+
+def token_bytes(column: pa.Array, path: str) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text, without special tokens.
 
     This vocabulary drops white space and never joins over it, so a text's ids are those of its white-space-separated
     parts. Each part of a usual text is tokenised once, many new ones in one call, and remembered; a text with unusual
     characters is tokenised whole.
     """
-    model, (words, ends) = tokenizer(path), word_tokenizer(path)
-    known: dict[str, bytes] = cached(f"token-bytes-{path}", dict)
-    unusual = re.compile(f"[^{re.escape(''.join(map(chr, USUAL)))}]|<\\|")
-    parts, symbols = re.compile(PARTS), byte_symbols()
-
-    def learn(new: list[str]) -> None:
-        split = [parts.findall(x) for x in new]
-        joined = " ".join([" ".join(x) for x in split]).translate(symbols)
-        ids = np.asarray(words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-        until = np.concatenate([[0], np.flatnonzero(ends[ids]) + 1])[np.cumsum([0, *map(len, split)])] * 4
-        data = ids.tobytes()
-        known.update((x, data[a:b]) for x, a, b in zip(new, until[:-1].tolist(), until[1:].tolist(), strict=True))
-
-    for i in range(0, len(texts), 128):
-        some: list[tuple[str, list[str] | None]] = [(t, None if unusual.search(t) else t.lower().split()) for t in texts[i : i + 128]]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new: set[str] = set()
-        for _, found in some:
-            new.update(found or ())
-        new.difference_update(known)
-        if new:
-            learn(list(new))
-        for text, found in some:
-            if found is None:
-                yield np.asarray(model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            else:
-                yield b"".join(map(known.__getitem__, found))
+    model, (bare, word_end) = tokenizer(path), word_tokenizer(path)
+    unusual, parts, symbols = re.compile(f"[^{re.escape(''.join(map(chr, USUAL)))}]|<\\|"), re.compile(PARTS), byte_symbols()
+    beyond = re.compile("[^\x00-\x7f]")
+    memory = cached(f"word-ids-{path}", lambda: [WordIds()])
+    for i, j, data, offsets in chunks(column):
+        texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
+        whole = {r: model.encode(t, add_special_tokens=False).ids for r, t in enumerate(texts) if unusual.search(t)}
+        w = words(data, offsets, "space_folded")
+        usual = np.ones(j - i, dtype=bool)
+        usual[list(whole)] = False
+        usual = usual[w.doc]
+        if len(memory[0].start) > REMEMBERED:
+            memory[0] = WordIds()
+        known = memory[0]
+        number = np.where(usual, known.find(w.hashes), 0)
+        at = np.flatnonzero(usual & (number == 0))
+        if len(at):
+            _, one = np.unique(w.hashes[at], return_index=True)
+            new = at[one]
+            raw = data.tobytes()
+            listed = b"".join([raw[x:y] + b"\n" for x, y in zip(w.starts[new].tolist(), w.ends[new].tolist(), strict=True)])
+            pieces = parts.findall(listed.decode().lower())
+            joined = beyond.sub(lambda m: symbols[ord(m[0])], " ".join(pieces))
+            ids = np.asarray(bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            line = np.flatnonzero(np.fromiter(("\n" == x for x in pieces), bool, len(pieces)))  # a line feed behind each word
+            ends = np.concatenate([[0], np.flatnonzero(word_end[ids]) + 1])[line - np.arange(len(line))]
+            known.add(w.hashes[new], ids, ends)
+            number[at] = known.find(w.hashes[at])
+        count = known.count[number]
+        until = np.concatenate([[0], np.cumsum(count)])
+        ids = known.ids[np.repeat(known.start[number] - until[:-1], count) + np.arange(until[-1])]
+        border = until[w.first].tolist()
+        for r in range(j - i):
+            yield np.asarray(whole[r], dtype="<u4").tobytes() if r in whole else ids[border[r] : border[r + 1]].tobytes()
 
 
 def cuts(n: int, capacity: int) -> list[int]:
@@ -124,8 +170,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 out: list[tuple] = []
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), token_bytes(texts, path), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), token_bytes(part.column("text"), path), strict=True):
                     ids += end
                     at, n, view = 0, len(ids) // 4, memoryview(ids)
                     for size in cuts(n, capacity):
