@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from varloom.llm.registry import query, table
 from varloom.llm.scan import Words, chunks, mix, rolling, words
-from varloom.llm.store import bitmap, in_bitmap, materialise
+from varloom.llm.store import bitmap, bits_for, in_bitmap, materialise
 
 WINDOW = 50
 K = 20
@@ -157,11 +157,6 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "words", "text", "spans").mapInArrow(run, "doc_id long, words long, n_removed long, kept_sha256 string")
 
 
-def bits_for(rows: int) -> int:
-    """Size of a bitmap for so many hashes: about 64 bits each, between 2**20 and 2**27 bits."""
-    return min(27, max(20, int(np.ceil(np.log2(max(rows, 1)))) + 6))
-
-
 def deduplicate(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

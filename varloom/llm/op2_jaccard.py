@@ -1,8 +1,9 @@
 """N-gram Jaccard join with vertical partitioning.
 
 1. Documents with equal n-gram sets form a class; only classes are compared.
-2. Two sets as similar as asked share one of the first ``n - ceil(t n) + 1`` n-grams of each in any common order. In hash
-   order this needs no counting: classes that share no such n-gram with another class are alone and go no further.
+2. Two sets as similar as asked share ``l`` of the first ``n - ceil(t n) + l`` n-grams of each in any common order. In hash
+   order this needs no ranking: n-grams that several classes have there are marked in a bitmap, and classes with too few
+   marked ones have no partner and go no further.
 3. The n-grams of the others are counted. An n-gram of one class only cannot be shared, so classes of which too few are left
    go as well. The global order is then rarest first, and its first n-grams are the postings.
 4. The global order is cut into fragments of about equal weight. Each fragment counts a pair's partial overlap from the two
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from varloom.llm.components import components
 from varloom.llm.registry import query, table
 from varloom.llm.scan import chunks, mix, ngrams, rolling, words
-from varloom.llm.store import bitmap, in_bitmap, materialise
+from varloom.llm.store import bitmap, bits_for, in_bitmap, materialise
 
 K = 4
 PERCENT = 85
@@ -69,26 +70,33 @@ def owner_key(fingerprint: Column, doc_id: Column) -> Column:
     return fingerprint.bitwiseXOR(F.shiftleft(F.coalesce(doc_id, F.lit(0)), 40))
 
 
-def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, fingerprints a and b, and its first n-grams in hash order."""
+def slices(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A list column of ``values[start:start + size]``."""
+    until = np.concatenate([[0], np.cumsum(size)])
+    take = np.repeat(start - until[:-1], size) + np.arange(until[-1])
+    return pa.LargeListArray.from_arrays(pa.array(until, pa.int64()), pa.array(values[take].view(np.int64))).cast(pa.list_(pa.int64()))
+
+
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """Per row: doc_id, n and the fingerprints a and b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column("text")):
                 values, ends = ngram_sets(data, offsets, k)
-                n = np.diff(ends)
                 a, b = fingerprints(values, ends)
-                size = np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
-                until = np.concatenate([[0], np.cumsum(size)])
-                take = np.repeat(ends[:-1] - until[:-1], size) + np.arange(until[-1])
-                prefix = pa.LargeListArray.from_arrays(pa.array(until, pa.int64()), pa.array(values[take].view(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(a), pa.array(b), prefix], names=["doc_id", "n", "a", "b", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(ends), pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n", "a", "b"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, a long, b long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, a long, b long")
 
 
-def whole_sets(docs: DataFrame, bits: np.ndarray, k: int) -> DataFrame:
-    """(a, b, grams) of the rows whose class and id may be in the bitmap."""
+def owned(docs: DataFrame, owners: np.ndarray, k: int, percent: int, shared: np.ndarray | None) -> DataFrame:
+    """(a, b, grams) of the rows that may stand for a class.
+
+    Without ``shared``, the first n-grams in hash order: any partner shares ``1 + m // 10`` of those it has itself, ``m``
+    being the smaller size. With the bitmap ``shared`` of the n-grams that several classes have there, whole sets, and only of
+    rows with enough of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,14 +104,18 @@ def whole_sets(docs: DataFrame, bits: np.ndarray, k: int) -> DataFrame:
                 values, ends = ngram_sets(data, offsets, k)
                 a, b = fingerprints(values, ends)
                 ids = batch.column("doc_id").slice(i, j - i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                rows = np.flatnonzero(in_bitmap(bits, (a ^ (ids << np.int64(40))).view(np.uint64)) & (np.diff(ends) > 0))
-                size = np.diff(ends)[rows]
-                until = np.concatenate([[0], np.cumsum(size)])
-                take = np.repeat(ends[rows] - until[:-1], size) + np.arange(until[-1])
-                grams = pa.LargeListArray.from_arrays(pa.array(until, pa.int64()), pa.array(values[take].view(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(b[rows]), grams], names=["a", "b", "grams"])
+                n = np.diff(ends)
+                least = (n * percent + 99) // 100
+                size = np.minimum(n, n - least + 1 + n // 10)
+                good = (n > 0) & in_bitmap(owners, (a ^ (ids << np.int64(40))).view(np.uint64))
+                if shared is not None:
+                    hit = np.concatenate([[0], np.cumsum(in_bitmap(shared, values))])
+                    good &= hit[ends[:-1] + size] - hit[ends[:-1]] >= 1 + least // 10
+                    size = n
+                rows = np.flatnonzero(good)
+                yield pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(b[rows]), slices(values, ends[:-1][rows], size[rows])], names=["a", "b", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "a long, b long, grams array<long>")
+    return docs.mapInArrow(run, "a long, b long, grams array<long>")
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -129,22 +141,19 @@ def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
-    signed = materialise(signatures(docs, k, percent), "signatures")
-    classes = signed.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = materialise(classes, "classes").withColumn("set", F.monotonically_increasing_id())  # of a stored table: the same in every reading
-
-    first = classes.select("set", F.explode("prefix").alias("gram"))
-    shared = first.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    alive = first.join(shared, "gram").select("set").distinct()
-    alive = materialise(classes.drop("prefix").join(alive, "set"), "alive")
-    bits = bitmap(alive, owner_key(F.col("a"), F.col("doc_id")))
-    grams = whole_sets(docs, bits, k).join(alive, ["a", "b"]).dropDuplicates(["set"]).select("set", "n", "grams")
-    grams = materialise(grams, "grams")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = materialise(signatures(docs, k), "signatures")
+    classes = materialise(signed.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")), "classes")
+    owners = bitmap(classes, owner_key(F.col("a"), F.col("doc_id")), bits_for(classes.count()))
+    first = owned(docs, owners, k, percent, None).select(F.explode("grams").alias("gram"))
+    shared = materialise(first.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram"), "shared")
+    found = owned(docs, owners, k, percent, bitmap(shared, F.col("gram"), bits_for(shared.count())))
+    grams = materialise(found, "grams").withColumn("set", F.monotonically_increasing_id())  # of a stored table: the same in every reading
 
     each = grams.select("set", F.explode("grams").alias("gram"))
     df = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     kept = each.join(df, "gram").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    kept = kept.join(alive.select("set", "n"), "set").where(F.size("grams") >= needed(F.col("n"), percent))
+    kept = kept.join(grams.select("set", F.size("grams").alias("n")), "set").where(F.size("grams") >= needed(F.col("n"), percent))
     kept = materialise(kept, "kept")
 
     place = lambda x: x["df"] + F.shiftrightunsigned(x["gram"].bitwiseXOR(F.lit(-(2**63))), 11) / F.lit(2.0**53)  # noqa: E731  place in the global order: rarity, then hash
@@ -186,9 +195,10 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, frag
         if last:
             break
 
-    found = classes.select("set", "a", "b", "doc_id").join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = found.join(least, "component").select("a", "b", "component_id")
+    named = grams.select("set", "a", "b").join(labels, "set").select("a", "b", "component").distinct()
+    named = classes.join(named, ["a", "b"], "left")
+    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = named.join(least, "component", "left").select("a", "b", F.coalesce("least", "doc_id").alias("component_id"))
     rows = signed.select("doc_id", "n", "a", "b")
     linked = rows.where("n > 0").join(named, ["a", "b"]).select("doc_id", "n", "component_id")
     alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
