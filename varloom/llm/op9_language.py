@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm.registry import query, table
+from varloom.llm.sampling import remainder
 from varloom.llm.scan import chunks, mix
 from varloom.llm.store import cached
 
@@ -179,11 +180,6 @@ def identify(docs: DataFrame, model: Codes, lead: float = LEAD) -> DataFrame:
     return clean.mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
 
 
-def remainder(divisor: int) -> Column:
-    """crc32 of the id's digits, modulo ``divisor``; a null id counts as an empty one."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
-
-
 @query("op9_language")
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learnt from the rows that are not held out."""
