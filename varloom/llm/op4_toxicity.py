@@ -33,8 +33,10 @@ from varloom.llm.store import cached
 
 #: Labelled rows of each label, about, that a fit reads; chosen by a hash of the row.
 SAMPLE = 1500
-WINDOW = 64  # bytes of a window, extended to the end of its last word
-DICTIONARY = 1 << 15  # bytes of each dictionary
+WINDOW = 160  # bytes of a window, extended to the end of its last word
+DICTIONARY = 1 << 13  # bytes of each dictionary
+COMMON = 300  # frequent words in both dictionaries
+CARRIER = 128
 LEVEL = 3
 THRESHOLDS = [0.9, 0.99, 0.999, 0.9999]  # quantiles of ordinary windows' gains
 
@@ -61,21 +63,27 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
     return out
 
 
-def typical(own: Counter, other: Counter, n_own: int, n_other: int, least: int) -> list[bytes]:
-    """Words that are typical of one side, each as often as its weight says, the most typical last."""
-    weight = {w: c * math.log(((c + 0.5) / n_own) / ((other[w] + 0.5) / n_other)) for w, c in own.items() if c >= least}
-    ranked = sorted((v, w) for w, v in weight.items() if v > 0)
-    return [(" " + w + " ").encode() for _, w in ranked]
+def typical(own: Counter, other: Counter, n_own: int, n_other: int) -> list[bytes]:
+    """Words that more texts of one side hold than chance explains among so many words, the most typical last."""
+    vocabulary = len(own.keys() | other.keys())
+    share, out = n_own / (n_own + n_other), []
+    for w, c in own.items():
+        o = other[w]
+        if c > share * (c + o):
+            surprise = 2 * (c * math.log(c / (share * (c + o))) + (o * math.log(o / ((1 - share) * (c + o))) if o else 0))
+            if surprise > 2 * math.log(vocabulary):  # likelihood ratio statistic
+                out.append((surprise, w))
+    return [(" " + w + " ").encode() for _, w in sorted(out)]
 
 
-def dictionary(common: bytes, words: list[bytes], size: int) -> bytes:
-    """``common`` followed by a dictionary trained on ``words``; with too few to train on, the words themselves."""
+def dictionary(words: list[bytes], size: int) -> bytes:
+    """A dictionary trained on ``words`` and the words themselves behind it, where they are cheapest to refer to."""
     words = words[-size // 4 :]
     try:
         own = zstandard.train_dictionary(size, words * max(1, 20000 // len(words)), k=16, d=6, level=LEVEL).as_bytes()[-size:] if words else b""
-    except zstandard.ZstdError:
+    except zstandard.ZstdError:  # too few words to train on
         own = b""
-    return common + own + b"".join(words)[-size:]
+    return own + b"".join(words)[-size:]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -84,10 +92,13 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
 
 
-def gains(parts: list[bytes], toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor) -> np.ndarray:
-    """Bytes that the toxic dictionary saves on each window over the ordinary one."""
+def gains(parts: list[bytes], toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor, carrier: bytes) -> np.ndarray:
+    """Bytes that the toxic dictionary saves on each window over the ordinary one.
+
+    The carrier, a piece of both dictionaries behind each window, makes short windows worth compressing at all.
+    """
     a, b = toxic.compress, ordinary.compress
-    return np.fromiter((len(b(p)) - len(a(p)) for p in parts), dtype=np.float64, count=len(parts))
+    return np.fromiter((len(b(p)) - len(a(p)) for p in (p + carrier for p in parts)), dtype=np.float64, count=len(parts))
 
 
 def features(g: np.ndarray, cuts: tuple[float, ...]) -> np.ndarray:
@@ -97,8 +108,11 @@ def features(g: np.ndarray, cuts: tuple[float, ...]) -> np.ndarray:
     return np.array([*top, *[b / max(1, len(g)) for b in beyond], *np.log1p(beyond)], dtype=np.float64)
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Dictionaries, thresholds and weights from (text, label) rows; one half trains the dictionaries, all fit the weights."""
+def fit(rows: list[tuple[str, int]], share: float = 0.5) -> Model:
+    """Dictionaries, thresholds and weights from (text, label) rows; one half trains the dictionaries, all fit the weights.
+
+    ``share`` is the share of label 1 among all labelled rows, from which the sample may differ.
+    """
     labels = np.array([y for _, y in rows])
     if len(set(labels.tolist())) < 2:
         return Model()
@@ -109,17 +123,19 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     for text, y in half:
         seen[y].update(set(text.lower().split()))
     n = [max(1, sum(y == v for _, y in half)) for v in (0, 1)]
-    least = 3 if n[1] >= 100 else 2
-    frequent = sorted(seen[0].items(), key=lambda x: (x[1], x[0]))[-DICTIONARY // 16 :]
+    frequent = sorted(seen[0].items(), key=lambda x: (x[1], x[0]))[-COMMON:]
     common = b"".join((" " + w).encode() for w, _ in frequent)
-    toxic = dictionary(common, typical(seen[1], seen[0], n[1], n[0], least), DICTIONARY)
-    ordinary = dictionary(common, typical(seen[0], seen[1], n[0], n[1], least), DICTIONARY)
+    toxic = dictionary(typical(seen[1], seen[0], n[1], n[0]), DICTIONARY)
+    ordinary = dictionary(typical(seen[0], seen[1], n[0], n[1]), DICTIONARY)
+    # both hold the same frequent words at the same distance, so what is common to the sides costs the same
+    wide = max(len(toxic), len(ordinary))
+    toxic, ordinary = (common + bytes(wide - len(d)) + d for d in (toxic, ordinary))
     a, b = compressor(toxic), compressor(ordinary)
-    found = [gains(windows(t), a, b) for t, _ in rows]
+    found = [gains(windows(t), a, b, toxic[:CARRIER]) for t, _ in rows]
     pool = np.concatenate([g for g, y in zip(found, labels, strict=True) if y == 0] or [np.zeros(1)])
     cuts = tuple(np.quantile(pool if len(pool) else np.zeros(1), THRESHOLDS).tolist())
     x = np.stack([features(g, cuts) for g in found])
-    weight = 1 / np.bincount(labels, minlength=2)[labels]
+    weight = np.array([1 - share, share])[labels] / np.bincount(labels, minlength=2)[labels]
     w, bias = logistic(x, np.where(labels == 1, 1.0, -1.0)[:, None], weight, rounds=600, ridge=1e-4)
     return Model(toxic, ordinary, cuts, w[:, 0], float(bias[0]), f"toxicity-{zlib.crc32(toxic + ordinary)}")
 
@@ -134,7 +150,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(begin, 256)
                 out = np.zeros(part.num_rows)
                 if a is not None:
-                    x = np.stack([features(gains(windows(t or ""), a, b), model.cuts) for t in part.column("text").to_pylist()])
+                    x = np.stack([features(gains(windows(t or ""), a, b, model.toxic[:CARRIER]), model.cuts) for t in part.column("text").to_pylist()])
                     out = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(out)], names=["doc_id", "held_out", "score"])
 
@@ -145,6 +161,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document, learnt from the labelled rows that are not held out."""
     docs = table(spark, folder, "documents")
-    model = fit(labelled_sample(docs, table(spark, folder, "labels"), "toxic", remainder(3) != 1, SAMPLE))
+    model = fit(*labelled_sample(docs, table(spark, folder, "labels"), "toxic", remainder(3) != 1, SAMPLE))
     found = score(docs.withColumn("held_out", remainder(3) == 1), model)
     return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

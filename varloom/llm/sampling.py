@@ -14,8 +14,9 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, wanted: Column, sample: int, longest: int = LONGEST) -> list[tuple[str, int]]:
-    """(text, label) of about ``sample`` rows of either label that fulfil ``wanted``, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, wanted: Column, sample: int, longest: int = LONGEST) -> tuple[list[tuple[str, int]], float]:
+    """(text, label) of about ``sample`` rows of either label that fulfil ``wanted``, chosen by a hash of the id, and the share
+    of label 1 among all of them.
 
     The ids are chosen from ``labels`` alone, so a list of bounded length meets the documents and their texts are not shuffled.
     An id with several labels counts as the greatest of them; null labels, ids and texts are left out.
@@ -29,4 +30,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, wanted: Colu
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id").toArrow()  # ``chosen``: about 2 x sample rows
     found = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), rows.column("label").to_pylist(), strict=True))
-    return [(t, y) for _, t, y in found]
+    return [(t, y) for _, t, y in found], sizes.get(1, 0) / max(1, sum(sizes.values()))
