@@ -9,8 +9,8 @@
 4. The global order is cut into fragments of about equal weight. Each fragment counts a pair's partial overlap from the two
    segments alone, and the partial overlaps are summed per pair.
 5. Postings are not expanded into all pairs. In each round every posting list compares one pivot with its other members;
-   verified links merge components, and members of one component are not compared again. When few pairs of different
-   components are left, all of them are compared, so no link between components is lost.
+   verified links draw labels together, and members with one label are not compared again. When few pairs with different
+   labels are left, all of them are compared, so no link between components is lost.
 
 Null and empty texts have no n-grams and are linked with nothing; a text of fewer words than ``k`` is one n-gram. Rows with
 equal texts are in one component, also with equal ids. Other columns are ignored; an empty table gives no rows.
@@ -33,8 +33,8 @@ from varloom.llm.store import bitmap, bits_for, in_bitmap, materialise
 K = 4
 PERCENT = 85
 FRAGMENTS = 8
-#: Rounds of pivots go on while more pairs than this many a class are left and a round still merges something.
-PAIRS_LEFT = 4
+#: Rounds of pivots go on while posting lists hold more than this many pairs an entry with different labels, and labels change.
+PAIRS_LEFT = 2
 
 
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +131,16 @@ def sizes_fit(percent: int) -> Column:
     return (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
 
 
-def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (set, component) after ``links`` (x, y) have joined components."""
+def drawn_together(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (set, component) after each component took the least one that ``links`` (x, y) tie it to.
+
+    One step only: sets of a component may still have different labels, but sets with one label belong together.
+    """
     u = labels.select(F.col("set").alias("x"), F.col("component").alias("u"))
     v = labels.select(F.col("set").alias("y"), F.col("component").alias("v"))
-    roots = components(links.join(u, "x").join(v, "y").select("u", "v"))
-    return materialise(labels.join(roots.withColumnRenamed("node", "component"), "component", "left").select("set", F.coalesce("root", "component").alias("component")), "labels")
+    tied = links.join(u, "x").join(v, "y").where("u <> v")
+    least = tied.groupBy(F.greatest("u", "v").alias("component")).agg(F.min(F.least("u", "v")).alias("least"))
+    return materialise(labels.join(least, "component", "left").select("set", F.coalesce("least", "component").alias("component")), "labels")
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
@@ -157,9 +161,10 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, frag
     kept = materialise(kept, "kept")
 
     place = lambda x: x["df"] + F.shiftrightunsigned(x["gram"].bitwiseXOR(F.lit(-(2**63))), 11) / F.lit(2.0**53)  # noqa: E731  place in the global order: rarity, then hash
+    before_cut = lambda c: lambda x: place(x) < c
     weight = kept.select(F.explode("grams").alias("g")).select(place(F.col("g")).alias("place"))
     cuts = weight.agg(F.percentile_approx("place", [i / fragments for i in range(1, fragments)])).first()[0] or []
-    ends = [F.lit(0), *[F.size(F.filter("grams", lambda x, c=c: place(x) < c)) for c in cuts], F.size("grams")]
+    ends = [F.lit(0), *[F.size(F.filter("grams", before_cut(c))) for c in cuts], F.size("grams")]
     bounds = kept.select("set", "grams", F.array(*ends).alias("e"))
     segments = bounds.select("set", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(len(cuts) + 1)), lambda i: F.slice(F.col("grams.gram"), F.element_at("e", i) + 1, F.element_at("e", i + 1) - F.element_at("e", i)))).alias("fragment", "segment"))
     segments = materialise(segments.where(F.size("segment") > 0), "segments")
@@ -168,15 +173,15 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, frag
     length = n - needed(n, percent) + 1 - (n - here)  # n-grams of one class only come first in the order
     postings = materialise(kept.select("set", "n", F.explode(F.slice("grams.gram", 1, length.cast("int"))).alias("gram")), "postings")
     labels = materialise(kept.select("set", F.col("set").alias("component")), "labels")
-    members = kept.count()
-    tested, before, turn = None, None, 0
+    enough = PAIRS_LEFT * postings.count()
+    tested, links, before, turn = None, None, None, 0
     while True:
         placed = postings.join(labels, "set")
         per = placed.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")).cast("double")) / 2).first()[0] or 0.0
         if left == 0:
             break
-        last = left <= PAIRS_LEFT * members or before == left
+        last = left <= enough or before == left
         before = left
         x = placed.select("gram", F.col("set").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
         if last:
@@ -185,15 +190,24 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, frag
             pivot = placed.groupBy("gram").agg(F.min(F.struct(F.xxhash64("set", F.lit(turn)), F.col("set"), F.col("n"), F.col("component"))).alias("p"))
             y = pivot.select("gram", F.col("p.set").alias("y"), F.col("p.n").alias("ny"), F.col("p.component").alias("cy"))
         pairs = x.join(y, "gram").where((F.col("cx") != F.col("cy")) & sizes_fit(percent))
+        if last:
+            pairs = pairs.where("x < y")
         swap = F.col("x") > F.col("y")
-        pairs = pairs.where("x < y") if last else pairs.select(*[F.when(swap, F.col(q + r)).otherwise(F.col(p + r)).alias(p + r) for p, q in ("xy", "yx") for r in ("",)], *[F.when(swap, F.col("n" + q)).otherwise(F.col("n" + p)).alias("n" + p) for p, q in ("xy", "yx")])
-        pairs = pairs.select("x", "y", "nx", "ny").distinct()
+        one, other = (F.struct(F.col(s).alias("set"), F.col("n" + s).alias("n")) for s in "xy")
+        pairs = pairs.select(F.when(swap, other).otherwise(one).alias("p"), F.when(swap, one).otherwise(other).alias("q"))
+        pairs = pairs.select(F.col("p.set").alias("x"), F.col("q.set").alias("y"), F.col("p.n").alias("nx"), F.col("q.n").alias("ny")).distinct()
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), "pairs")
-        labels = merge(labels, overlaps(pairs, segments, percent))
-        tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
-        turn += 1
+        found = materialise(overlaps(pairs, segments, percent), "links")
+        links = found if links is None else links.unionByName(found)
         if last:
             break
+        labels = drawn_together(labels, found)
+        tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
+        turn += 1
+    labels = labels.select("set", F.col("set").alias("component"))
+    if links is not None:
+        roots = components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).withColumnRenamed("node", "set")
+        labels = labels.join(roots, "set", "left").select("set", F.coalesce("root", "component").alias("component"))
 
     named = grams.select("set", "a", "b").join(labels, "set").select("a", "b", "component").distinct()
     named = classes.join(named, ["a", "b"], "left")
