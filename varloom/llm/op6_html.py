@@ -1,8 +1,8 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-A page is turned into lines, one for each block element. Markup, and parts that by element, role or class are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, leave lines without text; so do lines that
-are mostly links. Text lengths are summed over sliding windows of lines. Text surges where a window reaches the threshold and
+A page is turned into lines, one for each block element with text. Scripts and styles, and parts that by element, role or class are menus, headers,
+footers, sidebars, notices, adverts, forms or reader comments, leave lines without text; lines that are mostly links count as
+such. Text lengths are summed over sliding windows of lines. Text surges where a window reaches the threshold and
 dives where the windows have run empty; the lines between are kept. A page that marks its article or main part has no text
 elsewhere, and any text in it counts as a surge. If no window of a page reaches the threshold, the fullest one does.
 
@@ -101,7 +101,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     def flush() -> None:
         nonlocal linked
         flat = " ".join(entities.unescape("".join(text)).split())
-        out.append((flat, min(linked, len(flat)), inside > 0))
+        if flat:
+            out.append((flat, min(linked, len(flat)), inside > 0))
         text.clear()
         linked = 0
 
