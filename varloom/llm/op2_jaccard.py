@@ -32,9 +32,10 @@ from varloom.llm.store import bitmap, bits_for, in_bitmap, materialise
 
 K = 4
 PERCENT = 85
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Rounds of pivots go on while posting lists hold more than this many pairs an entry with different labels, and labels change.
 PAIRS_LEFT = 2
+ROUNDS = 4  # at most; then all pairs that the bounds on sizes allow are compared
 
 
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,29 +119,64 @@ def owned(docs: DataFrame, owners: np.ndarray, k: int, percent: int, shared: np.
     return docs.mapInArrow(run, "a long, b long, grams array<long>")
 
 
+def marked(grams: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
+    """(set, n, grams) with only the n-grams in the bitmap, of the sets that have enough of them for any partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("grams").cast(pa.large_list(pa.int64()))
+            ends = column.offsets.to_numpy().astype(np.int64)
+            hit = in_bitmap(shared, column.values.to_numpy().view(np.uint64)) if len(column.values) else np.zeros(0, dtype=bool)
+            n, total = np.diff(ends), np.concatenate([[0], np.cumsum(hit)])
+            size = total[ends[1:]] - total[ends[:-1]]
+            rows = np.flatnonzero(size >= (n * percent + 99) // 100)
+            values = column.values.to_numpy().view(np.uint64)[hit]
+            yield pa.RecordBatch.from_arrays([batch.column("set").take(pa.array(rows)), pa.array(n[rows]), slices(values, total[ends[:-1]][rows], size[rows])], names=["set", "n", "grams"])
+
+    return grams.select("set", "grams").mapInArrow(run, "set long, n long, grams array<long>")
+
+
 def overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y, nx, ny) that are similar enough: partial overlaps per fragment, summed."""
-    x = segments.select(F.col("set").alias("x"), "fragment", F.col("segment").alias("sx"))
-    y = segments.select(F.col("set").alias("y"), "fragment", F.col("segment").alias("sy"))
-    partial = pairs.join(x, "x").join(y, ["y", "fragment"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("sx", "sy")).alias("common"))
-    total = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("common").alias("common"))
-    return total.where(F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * percent).select("x", "y")
+    """The pairs (x, y, nx, ny) that are similar enough: partial overlaps per fragment, summed.
 
+    ``segments`` has a row a set and fragment, and what the set has in later fragments (``later``). The fragment of the rarest
+    n-grams is counted first; pairs that all later fragments cannot save are given up there.
+    """
 
-def sizes_fit(percent: int) -> Column:
-    return (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
+    def sides(at: Column) -> tuple[DataFrame, DataFrame]:
+        some = segments.where(at)
+        return tuple(some.select(F.col("set").alias(c), "fragment", F.col("segment").alias("s" + c), F.col("later").alias("later" + c)) for c in "xy")
 
+    enough = lambda common: common * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    common = F.size(F.array_intersect("sx", "sy"))
+    x, y = sides(F.col("fragment") == 0)
+    first = pairs.join(x.drop("fragment"), "x").join(y.drop("fragment"), "y")
+    first = first.select("x", "y", "nx", "ny", common.alias("common"), F.least("laterx", "latery").alias("rest"))
+    first = materialise(first.where(enough(F.col("common") + F.col("rest"))).drop("rest"), "promising")
+    x, y = sides((F.col("fragment") > 0) & (F.size("segment") > 0))
+    more = first.join(x, "x").join(y, ["y", "fragment"]).select("x", "y", "nx", "ny", common.alias("common"))
+    total = first.unionByName(more).groupBy("x", "y", "nx", "ny").agg(F.sum("common").alias("common"))
+    return total.where(enough(F.col("common"))).select("x", "y")
 
-def drawn_together(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (set, component) after each component took the least one that ``links`` (x, y) tie it to.
 
-    One step only: sets of a component may still have different labels, but sets with one label belong together.
+def may_link(percent: int) -> Column:
+    """Bounds on a pair from sizes alone: of the sets (nx, ny), and of what they share with any other set (sx, sy).
+
+    What a set shares with none lies in the symmetric difference, which a linked pair keeps small; what it shares with some bounds
+    the overlap.
     """
+    nx, ny, sx, sy = (F.col(c) for c in ("nx", "ny", "sx", "sy"))
+    sizes = (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent)
+    alone = (nx - sx + ny - sy) * (100 + percent) <= (nx + ny) * (100 - percent)
+    return sizes & alone & (F.least(sx, sy) * (100 + percent) >= (nx + ny) * percent)
+
+
+def drawn_together(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (set, component) after the components that ``links`` (x, y) tie together have become one."""
     u = labels.select(F.col("set").alias("x"), F.col("component").alias("u"))
     v = labels.select(F.col("set").alias("y"), F.col("component").alias("v"))
-    tied = links.join(u, "x").join(v, "y").where("u <> v")
-    least = tied.groupBy(F.greatest("u", "v").alias("component")).agg(F.min(F.least("u", "v")).alias("least"))
-    return materialise(labels.join(least, "component", "left").select("set", F.coalesce("least", "component").alias("component")), "labels")
+    roots = components(links.join(u, "x").join(v, "y").select("u", "v")).withColumnRenamed("node", "component")
+    return materialise(labels.join(roots, "component", "left").select("set", F.coalesce("root", "component").alias("component")), "labels")
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
@@ -154,10 +190,11 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, frag
     found = owned(docs, owners, k, percent, bitmap(shared, F.col("gram"), bits_for(shared.count())))
     grams = materialise(found, "grams").withColumn("set", F.monotonically_increasing_id())  # of a stored table: the same in every reading
 
-    each = grams.select("set", F.explode("grams").alias("gram"))
-    df = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    kept = each.join(df, "gram").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    kept = kept.join(grams.select("set", F.size("grams").alias("n")), "set").where(F.size("grams") >= needed(F.col("n"), percent))
+    df = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    df = materialise(df, "frequencies")
+    each = marked(grams, bitmap(df, F.col("gram"), bits_for(df.count())), percent).select("set", "n", F.explode("grams").alias("gram"))
+    kept = each.join(df, "gram").groupBy("set").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    kept = kept.where(F.size("grams") >= needed(F.col("n"), percent))
     kept = materialise(kept, "kept")
 
     place = lambda x: x["df"] + F.shiftrightunsigned(x["gram"].bitwiseXOR(F.lit(-(2**63))), 11) / F.lit(2.0**53)  # noqa: E731  place in the global order: rarity, then hash
@@ -166,30 +203,32 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, frag
     cuts = weight.agg(F.percentile_approx("place", [i / fragments for i in range(1, fragments)])).first()[0] or []
     ends = [F.lit(0), *[F.size(F.filter("grams", before_cut(c))) for c in cuts], F.size("grams")]
     bounds = kept.select("set", "grams", F.array(*ends).alias("e"))
-    segments = bounds.select("set", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(len(cuts) + 1)), lambda i: F.slice(F.col("grams.gram"), F.element_at("e", i) + 1, F.element_at("e", i + 1) - F.element_at("e", i)))).alias("fragment", "segment"))
-    segments = materialise(segments.where(F.size("segment") > 0), "segments")
+    at = lambda i: F.element_at("e", i + 1)
+    each = F.transform(F.sequence(F.lit(0), F.lit(len(cuts))), lambda i: F.struct(i.alias("fragment"), F.slice(F.col("grams.gram"), at(i) + 1, at(i + 1) - at(i)).alias("segment"), (F.size("grams") - at(i + 1)).alias("later")))
+    segments = bounds.select("set", F.explode(each).alias("s")).select("set", "s.*")
+    segments = materialise(segments.where((F.size("segment") > 0) | (F.col("fragment") == 0)), "segments")
 
     n, here = F.col("n"), F.size("grams")
     length = n - needed(n, percent) + 1 - (n - here)  # n-grams of one class only come first in the order
-    postings = materialise(kept.select("set", "n", F.explode(F.slice("grams.gram", 1, length.cast("int"))).alias("gram")), "postings")
+    postings = materialise(kept.select("set", "n", here.alias("s"), F.explode(F.slice("grams.gram", 1, length.cast("int"))).alias("gram")), "postings")
     labels = materialise(kept.select("set", F.col("set").alias("component")), "labels")
     enough = PAIRS_LEFT * postings.count()
-    tested, links, before, turn = None, None, None, 0
+    tested, before, turn = None, None, 0
     while True:
         placed = postings.join(labels, "set")
         per = placed.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")).cast("double")) / 2).first()[0] or 0.0
         if left == 0:
             break
-        last = left <= enough or before == left
+        last = left <= enough or before == left or turn == ROUNDS
         before = left
-        x = placed.select("gram", F.col("set").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+        x = placed.select("gram", F.col("set").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("component").alias("cx"))
         if last:
-            y = placed.select("gram", F.col("set").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+            y = placed.select("gram", F.col("set").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("component").alias("cy"))
         else:
-            pivot = placed.groupBy("gram").agg(F.min(F.struct(F.xxhash64("set", F.lit(turn)), F.col("set"), F.col("n"), F.col("component"))).alias("p"))
-            y = pivot.select("gram", F.col("p.set").alias("y"), F.col("p.n").alias("ny"), F.col("p.component").alias("cy"))
-        pairs = x.join(y, "gram").where((F.col("cx") != F.col("cy")) & sizes_fit(percent))
+            pivot = placed.groupBy("gram").agg(F.min(F.struct(F.xxhash64("set", F.lit(turn)), F.col("set"), F.col("n"), F.col("s"), F.col("component"))).alias("p"))
+            y = pivot.select("gram", F.col("p.set").alias("y"), F.col("p.n").alias("ny"), F.col("p.s").alias("sy"), F.col("p.component").alias("cy"))
+        pairs = x.join(y, "gram").where((F.col("cx") != F.col("cy")) & may_link(percent))
         if last:
             pairs = pairs.where("x < y")
         swap = F.col("x") > F.col("y")
@@ -197,17 +236,11 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, frag
         pairs = pairs.select(F.when(swap, other).otherwise(one).alias("p"), F.when(swap, one).otherwise(other).alias("q"))
         pairs = pairs.select(F.col("p.set").alias("x"), F.col("q.set").alias("y"), F.col("p.n").alias("nx"), F.col("q.n").alias("ny")).distinct()
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), "pairs")
-        found = materialise(overlaps(pairs, segments, percent), "links")
-        links = found if links is None else links.unionByName(found)
+        labels = drawn_together(labels, overlaps(pairs, segments, percent))
         if last:
             break
-        labels = drawn_together(labels, found)
         tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
         turn += 1
-    labels = labels.select("set", F.col("set").alias("component"))
-    if links is not None:
-        roots = components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).withColumnRenamed("node", "set")
-        labels = labels.join(roots, "set", "left").select("set", F.coalesce("root", "component").alias("component"))
 
     named = grams.select("set", "a", "b").join(labels, "set").select("a", "b", "component").distinct()
     named = classes.join(named, ["a", "b"], "left")
