@@ -50,24 +50,24 @@ SELECT event_id, patient, concat(patient,suffix) AS barcode, concat('chr',CAST(c
        WHEN variant_type='DNP' THEN translate(substr(seq,pos,2),'ACGT','CATG')
        ELSE translate(substr(seq,pos,1),'ACGT', CASE pk % 3 WHEN 0 THEN 'CGTA' WHEN 1 THEN 'GTAC' ELSE 'TACG' END)
   END AS alt,
-  concat('G',CAST(pk % 300 AS VARCHAR)) AS gene, vc AS variant_class,
+  concat('G',CAST(contig AS VARCHAR)) AS gene, vc AS variant_class,
   CASE ln % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'LOW' ELSE 'MODIFIER' END AS impact,
   CAST(q + 10*(ln % 3) AS BIGINT) AS t_depth, CAST(disc AS BIGINT) AS t_alt_count
 FROM (
-  SELECT b.*, r.seq, CASE q % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DNP' ELSE 'SNP' END AS variant_type,
+  SELECT b.*, r.seq, 15 + cents % greatest(1, length(r.seq) - 30) AS pos, CASE q % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DNP' ELSE 'SNP' END AS variant_type,
          CAST(floor(q/10) AS INT)+1 AS len
   FROM (SELECT l_orderkey*10+l_linenumber AS event_id, concat('TCGA-',lpad(CAST(l_suppkey AS VARCHAR),7,'0')) AS patient,
-          CASE WHEN l_linenumber % 5 = 0 THEN '-11A' ELSE '-01A' END AS suffix, l_partkey % 300 AS contig,
-          15 + CAST(ROUND(l_extendedprice*100) AS BIGINT) % 170 AS pos, CAST(l_quantity AS INT) AS q, l_partkey AS pk,
+          CASE WHEN l_linenumber % 5 = 0 THEN '-11A' ELSE '-01A' END AS suffix, l_partkey % (SELECT max(doc_id)+1 FROM documents) AS contig,
+          CAST(ROUND(l_extendedprice*100) AS BIGINT) AS cents, CAST(l_quantity AS INT) AS q, l_partkey AS pk,
           l_linenumber AS ln, CAST(ROUND(l_discount*100) AS INT) AS disc, concat(l_returnflag,l_linestatus) AS vc
         FROM lineitem) b JOIN ref_contig r ON b.contig=r.contig)""")
 
 view("maf", "", """
 SELECT l_orderkey*10+l_linenumber AS event_id, concat('TCGA-',lpad(CAST(l_suppkey AS VARCHAR),7,'0')) AS patient,
   concat('TCGA-',lpad(CAST(l_suppkey AS VARCHAR),7,'0'), CASE WHEN l_linenumber % 5 = 0 THEN '-11A' ELSE '-01A' END) AS barcode,
-  concat('chr',CAST(l_partkey % 300 AS VARCHAR)) AS chromosome, 15 + CAST(ROUND(l_extendedprice*100) AS BIGINT) % 170 AS pos,
+  concat('chr',CAST(l_partkey % (SELECT max(doc_id)+1 FROM documents) AS VARCHAR)) AS chromosome, 15 + CAST(ROUND(l_extendedprice*100) AS BIGINT) % 170 AS pos,
   CASE CAST(l_quantity AS INT) % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DNP' ELSE 'SNP' END AS variant_type,
-  concat('G',CAST(l_partkey % 300 AS VARCHAR)) AS gene, concat(l_returnflag,l_linestatus) AS variant_class,
+  concat('G',CAST(l_partkey % (SELECT max(doc_id)+1 FROM documents) AS VARCHAR)) AS gene, concat(l_returnflag,l_linestatus) AS variant_class,
   CASE l_linenumber % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'LOW' ELSE 'MODIFIER' END AS impact,
   CAST(CAST(l_quantity AS INT) + 10*(l_linenumber % 3) AS BIGINT) AS t_depth, CAST(ROUND(l_discount*100) AS BIGINT) AS t_alt_count
 FROM lineitem""")
@@ -85,7 +85,7 @@ view("basis", "", "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, labe
 
 view("sets", "", """
 SELECT concat('S',CAST(i AS VARCHAR)) AS gene_set, concat('G',CAST(k AS VARCHAR)) AS gene
-FROM (SELECT DISTINCT l_partkey % 300 AS k FROM lineitem) g, (SELECT unnest(range(0,6)) AS i) s
+FROM (SELECT DISTINCT l_partkey % (SELECT max(doc_id)+1 FROM documents) AS k FROM lineitem) g, (SELECT unnest(range(0,6)) AS i) s
 WHERE k % 7 = i OR k % 5 = i""")
 
 view("clean_ev", "events_maf ref_contig", f"""

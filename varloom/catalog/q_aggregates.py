@@ -14,7 +14,7 @@ from varloom.sources.readers import first_per_key
 
 
 def encoded(t):
-    return encode.encode_events(t.events_maf(), t.contigs_of, longest_allele=6)
+    return encode.encode_events(t.events_maf(), t.ref_contig())
 
 
 @query("agg_channel_counts", "chan cohort universe", """
@@ -164,11 +164,11 @@ def agg_motif_ratios(t):
     return ft.motif_ratios(counts.channel_counts(encoded(t)))
 
 
-view("vec_counts", "", "SELECT o_custkey AS sample, o_orderkey % 500 AS vec_id, count(*) AS n FROM orders GROUP BY ALL")
+view("vec_counts", "", "SELECT o_custkey AS sample, o_orderkey % (SELECT count(*) FROM embeddings) AS vec_id, count(*) AS n FROM orders GROUP BY ALL")
 
 
 def vec_counts(t):
-    return t.orders.groupBy(F.col("o_custkey").alias("sample"), (F.col("o_orderkey") % 500).alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
+    return t.vector_orders().groupBy(F.col("o_custkey").alias("sample"), "vec_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 view("basis_long", "basis", "SELECT vec_id, CAST(generate_subscripts(embedding,1)-1 AS BIGINT) AS dim, unnest(embedding) AS v FROM basis")
@@ -181,10 +181,10 @@ def agg_weighted_mean_vector(t):
 
 
 @query("agg_signature_projection", "basis_long", """
-WITH p AS (SELECT * FROM (SELECT o_orderpriority AS signature, o_orderkey%500 AS vec_id, count(*)-3 AS p FROM orders GROUP BY ALL) WHERE vec_id%11<>0)
+WITH p AS (SELECT * FROM (SELECT o_orderpriority AS signature, o_orderkey % (SELECT count(*) FROM embeddings) AS vec_id, count(*)-3 AS p FROM orders GROUP BY ALL) WHERE vec_id%11<>0)
 SELECT signature, dim, round(sum(p*v)/sum(p),6) AS value FROM p JOIN basis_long USING (vec_id) WHERE p>0 GROUP BY ALL""")
 def agg_signature_projection(t):
-    p = t.orders.groupBy(F.col("o_orderpriority").alias("signature"), (F.col("o_orderkey") % 500).alias("vec_id")).agg((F.count(F.lit(1)) - 3).alias("p"))
+    p = t.vector_orders().groupBy(F.col("o_orderpriority").alias("signature"), "vec_id").agg((F.count(F.lit(1)) - 3).alias("p"))
     p = p.withColumn("p", F.when(F.col("vec_id") % 11 != 0, F.col("p"))).filter("p > 0")
     return ft.weighted_mean(p.join(joins.hinted(t.basis()), "vec_id"), ["signature"], "embedding", "p")
 

@@ -78,7 +78,7 @@ def exp_summaries(t):
     return ex.summaries(ex.evaluate(exposure_pairs(t), 0.2), ["top1"], "mae")
 
 
-view("bridge_w", "", "SELECT sample, process, n/CAST(sum(n) OVER (PARTITION BY sample) AS DOUBLE) AS w FROM (SELECT o_custkey AS sample, label AS process, count(*) AS n FROM orders JOIN embeddings ON vec_id=o_orderkey%500 GROUP BY ALL)")
+view("bridge_w", "", "SELECT sample, process, n/CAST(sum(n) OVER (PARTITION BY sample) AS DOUBLE) AS w FROM (SELECT o_custkey AS sample, label AS process, count(*) AS n FROM orders JOIN embeddings ON vec_id=o_orderkey % (SELECT count(*) FROM embeddings) GROUP BY ALL)")
 
 
 @query("exp_impute_bridge", "bridge_w basis", """
@@ -88,7 +88,7 @@ avgw AS (SELECT process, sum(w)/(SELECT count(DISTINCT sample) FROM bridge_w) AS
 SELECT sample, round(avg(abs(coalesce(b.w,0)-coalesce(n.w,0))),6) AS bridge_mae, round(avg(abs(coalesce(b.w,0)-a.w)),6) AS mean_mae FROM (SELECT DISTINCT sample FROM bridge_w) s CROSS JOIN avgw a LEFT JOIN bridge_w b USING (sample, process) LEFT JOIN n USING (sample, process) GROUP BY sample""")
 def exp_impute_bridge(t):
     labels = t.embeddings.select("vec_id", F.col("label").alias("process"))
-    w = t.orders.select(F.col("o_custkey").alias("sample"), (F.col("o_orderkey") % 500).alias("vec_id")).join(labels, "vec_id")
+    w = t.vector_orders().select(F.col("o_custkey").alias("sample"), "vec_id").join(labels, "vec_id")
     weights = ft.shares(ft.n_by(w, "sample", "process"), "sample").select("sample", "process", F.col("p").alias("w"))
     mapping = win_retrieval_rank(t).select("process", F.col("nearest").alias("target"))
     moved = ex.bridge(weights, mapping).withColumnRenamed("w", "m")

@@ -57,7 +57,7 @@ def join_pathway(t):
 
 @query("join_context", "flanked", "SELECT event_id, lf AS left_flank, rf AS right_flank, ref_ok FROM flanked")
 def join_context(t):
-    ev = encode.attach_flanks(encode.classify(t.events_maf()), t.contigs_of, 12, longest_allele=6)
+    ev = encode.attach_flanks(encode.classify(t.events_maf()), t.ref_contig(), 12)
     return ev.select("event_id", F.col("left").alias("left_flank"), F.col("right").alias("right_flank"), "ref_ok")
 
 

@@ -128,7 +128,7 @@ def src_reference_tiles(t):
         "event_id", F.substring("chromosome", 4, 9).cast("long").alias("c"), (F.col("pos") - 30).alias("start"),
         (10 + F.col("event_id") % 150).alias("size"),
     )
-    return fetch_windows(spans, t.contigs_of, contig="c", start="start", length="size", out="bases").select("event_id", "bases")
+    return fetch_windows(spans, t.ref_contig(), contig="c", start="start", length="size", out="bases").select("event_id", "bases")
 
 
 @query("src_scenarios", "profile_rec", """
@@ -190,11 +190,11 @@ def snk_completed_keys(t):
 
 @query("snk_feature_cache", "maf", "SELECT patient, variant_class, count(*) AS n FROM maf GROUP BY ALL")
 def snk_feature_cache(t):
-    key = durable.cache_key("class counts", {"by": ["patient", "variant_class"]}, {"folder": t.folder})
     build = lambda: t.maf_records().groupBy("patient", "variant_class").agg(F.count(F.lit(1)).alias("n"))
     root = scratch_path(t.spark, "cache")
-    durable.cached(t.spark, root, key, build)
-    return durable.cached(t.spark, root, key, build)
+    settings, inputs = {"by": "patient, variant_class"}, [f"{t.folder}/lineitem.parquet"]
+    durable.cached(t.spark, root, "class-counts", settings, inputs, build)
+    return durable.cached(t.spark, root, "class-counts", settings, inputs, build)
 
 
 @query("snk_sparse_matrix", "maf cohort", """

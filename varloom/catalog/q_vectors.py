@@ -44,7 +44,7 @@ def vec_bits(t):
 
 
 def flanks(t):
-    return encode.attach_flanks(encode.classify(t.events_maf()), t.contigs_of, 12, longest_allele=6)
+    return encode.attach_flanks(encode.classify(t.events_maf()), t.ref_contig(), 12)
 
 
 @query("vec_context", "flanked", f"SELECT event_id, {xb('reverse(lf)', 10)}||{yb('reverse(lf)', 10)}||{xb('rf', 10)}||{yb('rf', 10)} AS ctx FROM flanked")

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+from varloom.session import settle
+
+BINS = 64
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]):
@@ -27,17 +29,13 @@ def value_runs(df: DataFrame, keys: list[str], value: str, aggs: dict[str, Colum
 def running_totals(runs: DataFrame, keys: list[str], value: str, cols: list[str], bins: int = BINS) -> DataFrame:
     """Adds ``before_<c>`` (sum of ``c`` over smaller values of the key) and ``all_<c>``.
 
-    A single ordered window per key would put a whole key into one task. Here the value range of each
-    key is cut into ``bins`` equal bins (by exact minimum and maximum, so the cut never changes between
-    attempts); bin totals are summed first, and the window only runs within a bin.
+    A single ordered window per key would put a whole key into one task. Here the runs are stored once, so that none of the
+    steps computes them again, and each key is cut into ``bins`` bins of about equally many runs at approximate quantiles;
+    bin totals are summed first, and the window only runs within a bin.
     """
-    v = F.col(value).cast("double")
-    span = runs.groupBy(*keys).agg(
-        F.min(v).alias("_lo"), F.max(v).alias("_hi"), *[F.sum(c).alias(f"all_{c}") for c in cols]
-    )
-    width = F.col("_hi") - F.col("_lo")
-    cut = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    binned = join_keys(runs, span, keys).withColumn("_bin", cut.cast("int")).drop("_lo", "_hi")
+    runs = settle(runs, "runs")
+    totals = [F.sum(c).alias(f"all_{c}") for c in cols]
+    binned = _binned(runs, keys, value, bins, totals)
     w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         binned.groupBy(*keys, "_bin")
@@ -51,6 +49,19 @@ def running_totals(runs: DataFrame, keys: list[str], value: str, cols: list[str]
     return out.drop("_bin", *[f"_o_{c}" for c in cols])
 
 
+def _binned(df: DataFrame, keys: list[str], value: str, bins: int, aggs: list[Column]) -> DataFrame:
+    """``df`` with ``aggs`` of its key and ``_bin``, the number of the key's cut points below the value.
+
+    ``df`` must be stored: the cut points come from a reading of their own. Cut points are stored with it, so a retried task
+    cuts in the same way.
+    """
+    v = F.col(value).cast("double")
+    cuts = F.array_distinct(F.percentile_approx(v, [i / bins for i in range(1, bins)], 4 * bins)).alias("_cuts")
+    span = settle(df.groupBy(*keys).agg(cuts, *aggs), "cuts")
+    below = F.size(F.filter("_cuts", lambda c: c < v))
+    return join_keys(df, span, keys).withColumn("_bin", F.when(v.isNull(), 0).otherwise(below).cast("int")).drop("_cuts")
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key (nulls ignored), one row per key."""
     runs = value_runs(df.filter(F.col(value).isNotNull()), keys, value, {"n": F.count(F.lit(1))})
@@ -79,13 +90,10 @@ def midranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
 
 
 def suffix_minimum(df: DataFrame, keys: list[str], value: str, col: str, out: str, bins: int = BINS) -> DataFrame:
-    """Minimum of ``col`` over rows with a value at least as large, per key, cut into bins like
+    """Minimum of ``col`` over rows with a value at least as large, per key, stored and cut into bins like
     ``running_totals``."""
-    v = F.col(value).cast("double")
-    span = df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    cut = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    binned = join_keys(df, span, keys).withColumn("_bin", cut.cast("int")).drop("_lo", "_hi")
+    df = settle(df, "values")
+    binned = _binned(df, keys, value, bins, [])
     w = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     later = binned.groupBy(*keys, "_bin").agg(F.min(col).alias("_m")).select(*keys, "_bin", F.min("_m").over(w).alias("_later"))
     inner = Window.partitionBy(*keys, "_bin").orderBy(F.desc(value))

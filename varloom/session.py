@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,45 +17,32 @@ def local_session(cpus: int | str = 8, app: str = "varloom") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # longer generated methods are never compiled by the JVM; such a stage is generated operator by operator instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
 
 
-def tune(spark: SparkSession) -> None:
-    """Generated methods beyond 8000 bytes of bytecode are never compiled by the JVM's JIT.
-
-    Long cleaning expressions get there; with this limit such a stage is generated operator by
-    operator instead of as one method that would be interpreted.
-    """
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors can reach: ``varloom.scratch`` or ``spark.checkpoint.dir`` of the session.
 
-    Only a session that names none (a local test) falls back to a fresh local folder.
+    A local session that names none uses its warehouse folder; any other must name one.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="varloom-")
-        spark.sparkContext.setCheckpointDir(current)
-    return os.path.dirname(current.rstrip("/")) if "varloom-" not in current else current.rstrip("/")
+    named = spark.conf.get("varloom.scratch", None) or spark.conf.get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set varloom.scratch or spark.checkpoint.dir to a folder that all executors share")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder, private to this application."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
+    """A new path below the shared folder; every call has its own, so no table is overwritten under a lazy reader."""
+    return f"{shared_dir(spark)}/varloom/{uuid.uuid4().hex}-{name}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """``df`` written once below the shared folder and read back: what follows reads it again without computing it again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

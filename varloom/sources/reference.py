@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Contigs = DataFrame | Callable[[DataFrame], DataFrame]
-
 
 def _cut(tile: int):
     return F.regexp_extract_all("seq", F.lit(f"(.{{1,{tile}}})"), F.lit(1))
@@ -41,57 +37,45 @@ def tile_pairs(contigs: DataFrame, tile: int = 64) -> DataFrame:
     )
 
 
-def _used(events: DataFrame, contigs: Contigs, contig: str) -> DataFrame:
-    """Only contigs that occur in the events are worth cutting into tiles.
-
-    ``contigs`` may be a function of the used names, so that deriving a sequence (cleaning text,
-    say) can also be limited to them.
-    """
-    used = events.select(F.col(contig).alias("contig")).distinct()
-    return contigs(used) if callable(contigs) else contigs.join(used, "contig", "left_semi")
-
-
 def fetch_windows(
     events: DataFrame,
-    contigs: Contigs,
+    contigs: DataFrame,
     *,
     contig: str,
     start: str,
     length: str,
     out: str = "window",
     tile: int = 64,
-    longest: int | None = None,
+    bound: Column | None = None,
 ) -> DataFrame:
     """Attach the reference bases ``start .. start+length-1`` (1-based, ``N`` outside the contig).
 
-    A window of at most ``tile`` bases lies in the pair that begins with its first tile, so the range
-    lookup is one equi-join on (contig, tile) and nothing is exploded. Longer windows, possible
-    unless the caller states a ``longest`` one, take ``fetch_long_windows``. A hot locus is a skewed
-    join key, which adaptive execution splits on the event side.
+    Each row goes by its own length. A window of at most ``tile`` bases lies in the pair that begins with its first tile, so
+    the range lookup is one equi-join on (contig, tile) and nothing is exploded; longer windows take ``fetch_long_windows``
+    (where the length is a constant, the optimizer drops the branch). A hot locus is a skewed join key, which adaptive
+    execution splits on the event side. Where the length comes from long expressions, ``bound``, any simpler column that is at
+    least as large, decides instead: the filter is pushed down by substitution.
     """
+    bound = F.col(length) if bound is None else bound
     first = F.floor((F.col(start) - 1) / F.lit(tile)).cast("long")
-    pairs = tile_pairs(_used(events, contigs, contig), tile).select(
+    pairs = tile_pairs(contigs, tile).select(
         F.col("contig").alias("_on_contig"), F.col("tile").alias("_on_tile"), "wide"
     )
     size = F.col(length).cast("int")
     text = F.coalesce(
         F.substring("wide", (F.col(start) - first * tile).cast("int"), size), F.repeat(F.lit("N"), size)
     )
-    near = events if longest is not None and longest <= tile else events.filter(F.col(length) <= tile)
+    near = events.filter(F.coalesce(bound <= tile, F.lit(True)))
     short = near.join(pairs, (F.col(contig) == F.col("_on_contig")) & (first == F.col("_on_tile")), "left").select(
         *events.columns, text.alias(out)
     )
-    if longest is not None and longest <= tile:
-        return short
-    far = events.filter(F.col(length) > tile)
-    return short.unionByName(
-        fetch_long_windows(far, contigs, contig=contig, start=start, length=length, out=out, tile=tile)
-    )
+    far = events.filter(bound > tile)
+    return short.unionByName(fetch_long_windows(far, contigs, contig=contig, start=start, length=length, out=out, tile=tile))
 
 
 def fetch_long_windows(
     events: DataFrame,
-    contigs: Contigs,
+    contigs: DataFrame,
     *,
     contig: str,
     start: str,
@@ -109,7 +93,7 @@ def fetch_long_windows(
     first = F.floor((F.col("_start") - 1) / F.lit(tile)).cast("long")
     last = F.floor((F.col("_start") + F.col("_length") - 2) / F.lit(tile)).cast("long")
     pieces = span.select("*", F.explode(F.sequence(first, last)).alias("tile"))
-    tiles = tile_sequences(_used(events, contigs, contig), tile)
+    tiles = tile_sequences(contigs, tile)
     lo = F.greatest(F.col("_start") - F.col("tile") * tile, F.lit(1))
     hi = F.least(F.col("_start") + F.col("_length") - 1 - F.col("tile") * tile, F.lit(tile))
     part = F.substring(F.rpad(F.coalesce("seq", F.lit("")), tile, "N"), lo.cast("int"), (hi - lo + 1).cast("int"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.session import tune
 from varloom.sources.reference import fetch_windows, tile_sequences
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,7 +17,6 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
-        tune(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -29,9 +27,14 @@ class Tables:
     def ref_contig(self) -> DataFrame:
         return self._sequences(self.documents)
 
-    def contigs_of(self, used: DataFrame) -> DataFrame:
-        """Sequences of the contigs named in ``used``; the others' text is never cleaned."""
-        return self._sequences(self.documents.join(used.withColumnRenamed("contig", "doc_id"), "doc_id", "left_semi"))
+    def contig_sizes(self) -> DataFrame:
+        """(contig, size): number of bases of every contig."""
+        return self.documents.select(F.col("doc_id").alias("contig"), F.length(F.regexp_replace("text", "[^A-Za-z]+", "")).cast("long").alias("size"))
+
+    def on_contigs(self, rows: DataFrame) -> DataFrame:
+        """Add ``contig``: parts are dealt to all contigs by the remainder of their key. One broadcast row."""
+        n = self.documents.agg((F.max("doc_id") + 1).alias("_contigs"))
+        return rows.crossJoin(F.broadcast(n)).withColumn("contig", F.col("l_partkey") % F.col("_contigs")).drop("_contigs")
 
     @staticmethod
     def _sequences(documents: DataFrame) -> DataFrame:
@@ -43,12 +46,13 @@ class Tables:
 
     # -- mutation events ---------------------------------------------------------------
     def events_maf(self) -> DataFrame:
-        base = self.lineitem.select(
+        base = self.on_contigs(self.lineitem).join(self.contig_sizes(), "contig").select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
             F.concat(F.lit("TCGA-"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0")).alias("patient"),
             F.when(F.col("l_linenumber") % 5 == 0, "-11A").otherwise("-01A").alias("suffix"),
-            (F.col("l_partkey") % 300).alias("contig"),
-            (F.lit(15) + F.round(F.col("l_extendedprice") * 100).cast("long") % 170).alias("pos"),
+            "contig",
+            # anywhere on the contig, 15 bases from its ends if it has that many
+            (F.lit(15) + F.round(F.col("l_extendedprice") * 100).cast("long") % F.greatest(F.lit(1), F.col("size") - 30)).alias("pos"),
             F.col("l_quantity").cast("int").alias("q"),
             F.col("l_partkey").alias("pk"),
             F.col("l_linenumber").alias("ln"),
@@ -66,7 +70,7 @@ class Tables:
         )
         # six bases from the position on, looked up by tile: the contig's text itself can be very long
         typed = fetch_windows(
-            base, self.contigs_of, contig="contig", start="pos", length="span", longest=6
+            base, self.ref_contig(), contig="contig", start="pos", length="span"
         ).withColumn("seq", F.rtrim("window", F.lit("N")))
         return typed.select(
             "event_id",
@@ -88,7 +92,7 @@ class Tables:
                 "WHEN pk % 3 = 1 THEN translate(substr(seq, 1, 1), 'ACGT', 'GTAC') "
                 "ELSE translate(substr(seq, 1, 1), 'ACGT', 'TACG') END"
             ).alias("alt"),
-            F.concat(F.lit("G"), (F.col("pk") % 300).cast("string")).alias("gene"),
+            F.concat(F.lit("G"), F.col("contig").cast("string")).alias("gene"),
             "variant_class",
             F.expr(
                 "CASE ln % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'LOW' ELSE 'MODIFIER' END"
@@ -99,17 +103,17 @@ class Tables:
 
     def maf_records(self) -> DataFrame:
         """The same events without sequence-derived columns: no reference join in the plan."""
-        return self.lineitem.select(
+        return self.on_contigs(self.lineitem).select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
             F.concat(F.lit("TCGA-"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0")).alias("patient"),
             F.when(F.col("l_linenumber") % 5 == 0, "-11A").otherwise("-01A").alias("suffix"),
-            F.concat(F.lit("chr"), (F.col("l_partkey") % 300).cast("string")).alias("chromosome"),
+            F.concat(F.lit("chr"), F.col("contig").cast("string")).alias("chromosome"),
             (F.lit(15) + F.round(F.col("l_extendedprice") * 100).cast("long") % 170).alias("pos"),
             F.expr(
                 "CASE cast(l_quantity as int) % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' "
                 "WHEN 2 THEN 'DNP' ELSE 'SNP' END"
             ).alias("variant_type"),
-            F.concat(F.lit("G"), (F.col("l_partkey") % 300).cast("string")).alias("gene"),
+            F.concat(F.lit("G"), F.col("contig").cast("string")).alias("gene"),
             F.concat("l_returnflag", "l_linestatus").alias("variant_class"),
             F.expr(
                 "CASE l_linenumber % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'LOW' "
@@ -142,11 +146,16 @@ class Tables:
     def basis(self) -> DataFrame:
         return self.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
 
+    def vector_orders(self) -> DataFrame:
+        """Orders with ``vec_id``, dealt to all vectors of the basis. One broadcast row."""
+        n = self.embeddings.agg(F.count("*").alias("_vectors"))
+        return self.orders.crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("o_orderkey") % F.col("_vectors")).drop("_vectors")
+
     def sets(self) -> DataFrame:
         """Overlapping gene sets over the genes that occur in the events."""
         k = F.substring("gene", 2, 10).cast("int")
         i = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")
-        genes = self.lineitem.select(F.concat(F.lit("G"), (F.col("l_partkey") % 300).cast("string")).alias("gene"))
+        genes = self.on_contigs(self.lineitem).select(F.concat(F.lit("G"), F.col("contig").cast("string")).alias("gene"))
         return (
             genes.distinct().select("gene", k.alias("k"), i)
             .filter((F.col("k") % 7 == F.col("i")) | (F.col("k") % 5 == F.col("i")))
