@@ -101,6 +101,28 @@ def test_op3_random_runs(spark):
     assert not [i for i in hits if i < 1000 or i >= 2000]
 
 
+def planted(spark, kinds, each=40):
+    """How many of ``each`` random keys of every (alphabet, length) are reported beside 2,000 long ordinary words, and how many words."""
+    import random
+
+    from varloom.llm.op3_secrets import secrets
+
+    rng = random.Random(7)
+    rows = [(-1 - i, " ".join("".join(rng.choice(["tion", "ing", "heit", "lich", "un", "ent", "er", "ge", "sch"]) for _ in range(k)) for k in (2, 3, 8))) for i in range(2000)]
+    rows += [(each * j + i, "key " + "".join(rng.choice(a) for _ in range(n)) + " end") for j, (a, n) in enumerate(kinds) for i in range(each)]
+    hits = [r["doc_id"] for r in secrets(spark.createDataFrame(rows, "doc_id long, text string")).where("exists(spans, x -> x.kind = 3)").collect()]
+    return [sum(each * j <= d < each * (j + 1) for d in hits) for j in range(len(kinds))], sum(d < 0 for d in hits)
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def test_op3_random_keys_of_all_lengths(spark):
+    """Nearly every random key is reported, at each length."""
+    found, wrong = planted(spark, [(LOWER + UPPER + DIGITS, n) for n in (20, 40, 128)] + [(LOWER + DIGITS, 20), (UPPER + DIGITS, 32)])
+    assert min(found) >= 36 and wrong == 0
+
+
 @pytest.mark.parametrize("name,divisor,left", [("op4_toxicity", 3, 1), ("op8_quality", 4, 2)])
 def test_scores(spark, awkward, rows, name, divisor, left):
     found = QUERIES[name](spark, awkward).collect()
