@@ -123,6 +123,12 @@ def test_op3_random_keys_of_all_lengths(spark):
     assert min(found) >= 36 and wrong == 0
 
 
+def test_op3_random_keys_without_digits_or_letters(spark):
+    """Keys of one case, of letters only and of digits are candidates as all others are."""
+    found, wrong = planted(spark, [(LOWER, 16), (UPPER, 16), (LOWER + UPPER, 16), (LOWER, 40), (DIGITS, 20)])
+    assert min(found) >= 36 and wrong == 0
+
+
 @pytest.mark.parametrize("name,divisor,left", [("op4_toxicity", 3, 1), ("op8_quality", 4, 2)])
 def test_scores(spark, awkward, rows, name, divisor, left):
     found = QUERIES[name](spark, awkward).collect()
