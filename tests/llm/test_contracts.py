@@ -178,6 +178,24 @@ def test_op6_layouts():
     assert main_text(f"<body><nav>x</nav><article><h1>Hi</h1><p>b</p><aside>{body}</aside><p>c</p></article><p>{body}</p></body>") == "Hi\nb\nc"
 
 
+def test_op6_wrappers():
+    """What wraps the article is no boilerplate, whatever its name; its controls, menus and comments still are."""
+    from varloom.llm.op6_html import main_text
+
+    body = "A paragraph of the article that is long enough to count as a surge of text in any window of lines."
+    main = f"<main><h1>Hi</h1><p>{body}</p></main>"
+    want = f"Hi\n{body}"
+    assert main_text(f"<body><form id=f><select><option>a</option></select>{main}<button>Go</button></form></body>") == want
+    assert main_text(f"<body><div class='layout has-sidebar'><article><h1>Hi</h1><p>{body}</p></article><div class='sidebar'>{body}</div></div></body>") == want
+    for name in ("widget", "elementor-widget", "page header", "share", "related", "search notice"):
+        assert main_text(f"<body><nav>x</nav><div class='{name}'>{main}</div></body>") == want
+        assert main_text(f"<body><nav>x</nav><div class='{name}'><h1>Hi</h1><p>{body}</p></div></body>") == want
+    assert main_text(f"<body><div class='elementor-widget'><p>{body}</p></div><div class='elementor-widget'><p>{body}</p></div></body>") == f"{body}\n{body}"
+    comments = f"<div id='comments'><article>{body}</article><article>{body}</article></div>"
+    assert main_text(f"<body><article><h1>Hi</h1><p>{body}</p></article>{comments}</body>") == want
+    assert main_text(f"<body><main><article><h1>Hi</h1><p>{body}</p></article>{comments}</main></body>") == want
+
+
 def test_op7(spark, awkward, rows):
     from varloom.llm.op7_packing import tokenizer, vocabulary
 

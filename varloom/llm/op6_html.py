@@ -5,6 +5,8 @@ footers, sidebars, notices, adverts, forms or reader comments, leave lines witho
 such. Text lengths are summed over sliding windows of lines. Text surges where a window reaches the threshold and
 dives where the windows have run empty; the lines between are kept. A page that marks its article or main part has no text
 elsewhere, and any text in it counts as a surge. If no window of a page reaches the threshold, the fullest one does.
+A form or an element with such a role or name is a wrapper, and read like any other, if it holds most of the article's or, without
+one, the page's text; reader comments must hold the first article, or nearly all text of a page without one.
 
 Null or empty pages, and pages without text, give an empty text. Repeated rows are read each for itself. Other columns are
 ignored. An element that is never closed hides nothing.
@@ -37,6 +39,9 @@ NAMES = set(
 #: These end an article; what else is left out may stand within it and leaves one line only.
 FRAME = {"nav", "header", "footer"}
 COMMENTS = re.compile(r"comment|disqus|respond|footer", re.I)
+#: Builders wrap each paragraph in a widget; beside other words the name says nothing.
+WEAK = {"widget"}
+STATES = re.compile(r"\b(?:has|with|no|without)[-_][a-z0-9_-]+")
 
 
 def patterns() -> tuple[re.Pattern, re.Pattern]:
@@ -44,28 +49,29 @@ def patterns() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(token, re.S | re.I), re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def boilerplate(tag: str, name: str, within: bool, attribute: re.Pattern) -> bool:
-    """Whether the element is no part of an article; ``within`` an article, headers may be its title."""
+def boilerplate(tag: str, name: str, within: bool, attribute: re.Pattern) -> str:
+    """"" for a part of an article, "named" for what may also wrap one, "never" for the rest; ``within`` an article, headers may be its title."""
     if name in WHOLE:
-        return False
-    if name in HIDDEN and not (name == "header" and within):
-        return True
+        return ""
+    if name in HIDDEN and not (name == "header" and within) and name != "form":
+        return "never"
+    out = "named" if name == "form" else ""
     space = tag.find(" ")
     if space < 0:
-        return False
+        return out
     for key, a, b, c in attribute.findall(tag[space:-1]):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
+            return "never"
         if key == "role" and value in ROLES:
-            return True
+            out = "named"
         if key in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
+            words = set(re.split(r"[^a-z0-9]+", STATES.sub(" ", value)))
             if within:
                 words.discard("header")
-            if words & NAMES:
-                return True
-    return False
+            if words & (NAMES - WEAK) or value.strip() in WEAK:
+                out = "named"
+    return out
 
 
 def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
@@ -94,6 +100,23 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             waiting.setdefault(name, []).append(i)
         elif kind == "close" and waiting.get(name):
             end[waiting[name].pop()] = i
+    # characters of text before each part, on the page and in articles, and the first article
+    first = next((i for want in ("article", "main") for i, (kind, name, _) in enumerate(parts) if kind == "open" and name == want and i in end), -1)
+    before, depth = [(0, 0)], 0
+    for i, (kind, name, t) in enumerate(parts):
+        n = len(" ".join(t.split())) if kind == "text" else 0
+        before.append((before[-1][0] + n, before[-1][1] + n * (depth > 0)))
+        if name in ("article", "main"):
+            depth = depth + (i in end) if kind == "open" else max(0, depth - (kind == "close"))
+
+    def wraps(i: int) -> bool:
+        """Whether the element holds what the page is about."""
+        k = 1 if first >= 0 else 0
+        held, whole = before[end[i]][k] - before[i][k], before[-1][k]
+        if not COMMENTS.search(parts[i][2]):
+            return 2 * held > whole
+        return i < first < end[i] and 2 * held > whole if first >= 0 else 10 * held > 9 * whole
+
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked, until, inside, links, marked = 0, -1, 0, 0, False
@@ -117,7 +140,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             flush()
             out.append(("", 0, inside > 0))
         elif kind == "open":
-            if boilerplate(t, name, inside > 0, attribute) and i in end:
+            why = boilerplate(t, name, inside > 0, attribute)
+            if why and i in end and (why == "never" or not wraps(i)):
                 flush()
                 out.extend([("", 0, inside > 0)] * (WIDTH if name in FRAME or COMMENTS.search(t) else 1))
                 until = end[i]
