@@ -9,6 +9,7 @@ sys.path.insert(0, __file__.rsplit("/", 1)[0])
 
 import fixtures
 import plain
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from varloom.llm.queries import QUERIES
@@ -151,6 +152,15 @@ def test_op5(spark, awkward, rows):
     assert not [r for r in QUERIES["op5_rules"](spark, awkward).collect() if r["kept"] and r["base_failed"]]
 
 
+def test_op5_long_text(spark):
+    """Repeated windows count wherever they stand, also beyond two million words."""
+    from varloom.llm.op5_rules import counts
+
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1 << 21)), lambda i: F.hex(i)), " "), F.lit(" g h i j g h i j"))
+    found = counts(spark.range(1).select(text.alias("text"))).select("n_words", "n_repeat_words").first()
+    assert tuple(found) == ((1 << 21) + 8, 8)
+
+
 def test_op5_rules_are_found():
     import numpy as np
 

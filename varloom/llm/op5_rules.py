@@ -46,14 +46,14 @@ def counts(docs: DataFrame) -> DataFrame:
         "q_lines": F.filter(F.split(t, "\n"), lambda x: F.translate(x, BLANKS, "") != ""),
         "q_upper": F.col("q_len") - without(t, UPPER), "q_digits": F.col("q_len") - without(t, "0123456789"), "q_marks": F.col("q_len") - without(t, "!?"),
     })
-    # 3-word windows as 43 bits of a hash and the place, sorted: equal windows become neighbours
+    # 3-word windows as (hash, place), sorted: equal windows become neighbours
     last = F.greatest(F.size("q_w") - 3, F.lit(0))
-    window = lambda i: F.shiftleft(F.shiftright(F.xxhash64(F.get("q_w", i), F.get("q_w", i + 1), F.get("q_w", i + 2)), 21), 21).bitwiseOR(i.cast("long"))
-    none = F.expr("cast(array() AS array<bigint>)")
+    window = lambda i: F.struct(F.xxhash64(F.get("q_w", i), F.get("q_w", i + 1), F.get("q_w", i + 2)).alias("h"), i.alias("at"))
+    none = F.expr("cast(array() AS array<struct<h: bigint, at: int>>)")
     out = out.withColumn("q_s", F.when(F.size("q_w") >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), last), window))).otherwise(none))
-    at = lambda j: F.get("q_s", j).bitwiseAND(F.lit((1 << 21) - 1)).cast("int")
+    at = lambda j: F.get("q_s", j)["at"]
     same = lambda j: (  # noqa: E731  hashes meet and so do the words
-        (F.shiftright(F.get("q_s", j), 21) == F.shiftright(F.get("q_s", j - 1), 21))
+        (F.get("q_s", j)["h"] == F.get("q_s", j - 1)["h"])
         & (F.get("q_w", at(j)) == F.get("q_w", at(j - 1))) & (F.get("q_w", at(j) + 1) == F.get("q_w", at(j - 1) + 1)) & (F.get("q_w", at(j) + 2) == F.get("q_w", at(j - 1) + 2)))
     out = out.withColumn("q_p", F.when(F.size("q_s") >= 2, F.filter(F.sequence(F.lit(1), F.greatest(F.size("q_s") - 1, F.lit(1))), same)).otherwise(F.expr("cast(array() AS array<int>)")))
     covered = F.array_distinct(F.flatten(F.transform("q_p", lambda j: F.array(at(j), at(j) + 1, at(j) + 2, at(j - 1), at(j - 1) + 1, at(j - 1) + 2))))
