@@ -17,6 +17,8 @@ from varloom.llm.sampling import remainder
 from varloom.llm.store import materialise
 
 MASK = "[secret]"
+#: Near duplicates: words of an n-gram, and least Jaccard similarity in percent.
+NEAR = {"k": 4, "percent": 85}
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each component of similar documents."""
     rows = numbered(docs)
-    groups = op2_jaccard.jaccard_components(as_documents(rows)).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component"))
+    groups = op2_jaccard.jaccard_components(as_documents(rows), **NEAR).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component"))
     groups = groups.join(rows.select("__row", F.col("doc_id").alias("id")), "__row")
     groups = materialise(groups, "groups")
     first = groups.groupBy("component").agg(F.min_by("__row", F.struct(F.col("id").isNull(), "id", "__row")).alias("first"), F.count("*").alias("n")).where("n > 1")

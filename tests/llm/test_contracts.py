@@ -298,6 +298,22 @@ def test_pipeline(spark, awkward, rows):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {d for d, _ in texts}
 
 
+def test_pipeline_names_its_limit(spark, awkward, monkeypatch):
+    """The stage of near duplicates does not depend on the defaults of the operator."""
+    from varloom.llm import op2_jaccard
+
+    asked = {}
+
+    def components(docs, **limit):
+        asked.update(limit)
+        return docs.selectExpr("doc_id", "1L AS n_shingles", "doc_id AS component_id")
+
+    monkeypatch.setattr(op2_jaccard, "jaccard_components", components)
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    assert corpus_pipeline.near_duplicates(spark, docs, awkward).count() == docs.count()
+    assert asked == {"k": 4, "percent": 85}
+
+
 def test_pipeline_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).collect() == []
 
