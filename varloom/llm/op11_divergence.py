@@ -104,7 +104,7 @@ def block_pairs(cells: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     """Partial sums of one block of terms for the pairs (a, b), a < b, of two blocks of sources."""
     groups = groups.sort_values("source", ignore_index=True)
     if len(groups) < 2:
-        return pd.DataFrame({"lang": [], "a": [], "b": [], "value": []})
+        return pd.DataFrame({"lang": [""], "a": [""], "b": [""], "value": [0]}).astype(object).head(0).astype({"value": "int64"})
     zero = groups["zero"].to_numpy(np.int64)
     at = pd.Index(groups["source"]).get_indexer(cells["source"])
     term, names = pd.factorize(cells["term"])
