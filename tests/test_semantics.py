@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from varloom.evaluation import metrics, models, quantiles, stats
 from varloom.functions import catalogues, sequence, vectors
 from varloom.operators import durable, exposures, windows
-from varloom.sources.reference import fetch_windows
+from varloom.sources.reference import fetch_windows, land, pieces_of_fasta, pieces_of_text, window_counts
 
 
 def one(spark, column, **values):
@@ -70,7 +70,7 @@ def test_plain_indel_labels_are_in_the_catalogue(spark):
 
 def test_windows_beyond_the_contig_and_beyond_a_tile(spark):
     text = "ACGT" * 50
-    contigs = spark.createDataFrame([(1, text)], "contig long, seq string")
+    contigs = land(spark.createDataFrame([(1, 0, text[:70]), (1, 70, text[70:73]), (1, 73, text[73:])], "contig long, at long, seq string"), 64)
     spans = [(1, -3, 10), (1, 1, 64), (1, 60, 10), (1, 195, 20), (1, 300, 5), (1, 1, 150), (2, 5, 4)]
     ev = spark.createDataFrame(spans, "c long, start long, size long")
     got = {(r.c, r.start, r.size): r.window for r in fetch_windows(ev, contigs, contig="c", start="start", length="size").collect()}
@@ -79,6 +79,45 @@ def test_windows_beyond_the_contig_and_beyond_a_tile(spark):
         assert got[(c, start, size)] == want
 
 
+def test_long_contig_is_cut_in_slices(spark):
+    """10^8 bases in one text: lengths, borders and words."""
+    n = 100_000_000
+    unit = "ACGTTGCA" * 125_000 + "\n"
+    text = spark.range(1).select(F.lit(7).cast("long").alias("id"), F.repeat(F.lit(unit), n // 1_000_000).alias("text"))
+    ref = land(pieces_of_text(text, "id", "text", dict(zip("ACGT", "ACGT"))), aligned=True)
+    assert ref.sizes().first().size == n
+    assert ref.tiles.agg(F.max(F.length("seq"))).first()[0] == ref.size
+    spans = [(7, 1, 12), (7, n - 5, 12), (7, (1 << 20) - 3, 8), (7, 50_000_000, 700)]
+    ev = spark.createDataFrame(spans, "c long, start long, size long")
+    for r in fetch_windows(ev, ref, contig="c", start="start", length="size").collect():
+        assert r.window == "".join("ACGTTGCA"[(i - 1) % 8] if i <= n else "N" for i in range(r.start, r.start + r.size))
+    counts = {r.w: r.n for r in window_counts(ref, 5).collect()}
+    assert sum(counts.values()) == n - 4 and counts["ACGTT"] == n // 8 and len(counts) == 8
+
+
+def test_fasta_over_several_blocks(spark, tmp_path):
+    """Contigs that begin and end inside blocks, empty contigs, empty lines, lower case, no final line end."""
+    rng = np.random.default_rng(3)
+    contigs = {f"c{i}": "".join(rng.choice(list("ACGTn"), int(n))) for i, n in enumerate([0, 5, 700, 64, 3000, 1, 0, 129])}
+    lines = [""]
+    for name, s in contigs.items():
+        lines += [f">{name} some words", *[s[i : i + 50].lower() for i in range(0, len(s), 50)], ""]
+    (tmp_path / "a.fa").write_text("\n".join(lines).strip())
+    (tmp_path / "b.fa").write_text(">other\nACGT\nAC")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        ref = land(pieces_of_fasta(spark, str(tmp_path)), 64)
+        got = {}
+        for r in sorted(ref.tiles.filter("tile >= 0").collect(), key=lambda r: (r.contig, r.tile)):
+            got[r.contig] = got.get(r.contig, "") + r.seq
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {**{k: v.upper() for k, v in contigs.items()}, "other": "ACGTAC"}
+
+
 def test_quantiles_and_running_totals_on_a_hot_key(spark):
     rng = np.random.default_rng(1)
     rows = [("hot", float(v)) for v in rng.normal(size=2000)] + [("hot", 0.5)] * 1000 + [("b", 1.0), ("b", 2.0)]
@@ -148,7 +187,7 @@ def test_grouped_folds_never_split_a_group_and_oof_covers_every_row_once(spark):
     from pyspark.ml.functions import array_to_vector
 
     data = data.withColumn("features", array_to_vector(F.array(F.col("id").cast("double"), F.col("y") + F.rand(1))))
-    oof = models.out_of_fold(data, models.linear_classifier, "id", "binary", 3)
+    oof = models.out_of_fold(data.withColumn("fold", F.array("fold")), models.linear_classifier, "id", "binary", 3).filter("class = 1").withColumnRenamed("p", "pred")
     assert oof.count() == 240 and oof.select("id").distinct().count() == 240
 
 
@@ -172,7 +211,7 @@ def test_long_alleles_and_far_positions(spark):
 
     rng = random.Random(4)
     seq = "".join(rng.choice("ACGT") for _ in range(12_000))
-    contigs = spark.createDataFrame([(7, seq)], "contig long, seq string")
+    contigs = land(spark.createDataFrame([(7, 0, seq)], "contig long, at long, seq string"))
     at = lambda pos, n: seq[pos - 1 : pos - 1 + n]
     other = {"A": "C", "C": "A", "G": "T", "T": "G"}
     rows = [(1, "chr7", 500, "DEL", at(500, 121), at(500, 1)), (2, "chr7", 10_943, "SNP", at(10_943, 1), other[at(10_943, 1)]), (3, "chr7", 128, "SNP", at(128, 1), other[at(128, 1)]), (4, "chr7", 500, "DEL", at(500, 120) + other[at(620, 1)], at(500, 1))]

@@ -36,6 +36,8 @@ SELECT doc_id AS contig,
        translate(upper(regexp_replace(text,'[^A-Za-z]','','g')),'{_LETTERS}','{_BASES}') AS seq
 FROM documents""")
 
+view("contig_sizes", "", "SELECT doc_id AS contig, length(regexp_replace(text,'[^A-Za-z]','','g')) AS size FROM documents")
+
 view("ref_tiles", "ref_contig", """
 SELECT contig, t AS tile, substr(seq, t*64+1, 64) AS seq
 FROM (SELECT contig, seq, unnest(range(0, CAST(ceil(length(seq)/64.0) AS BIGINT))) AS t FROM ref_contig)""")
@@ -62,15 +64,15 @@ FROM (
           l_linenumber AS ln, CAST(ROUND(l_discount*100) AS INT) AS disc, concat(l_returnflag,l_linestatus) AS vc
         FROM lineitem) b JOIN ref_contig r ON b.contig=r.contig)""")
 
-view("maf", "", """
+view("maf", "contig_sizes", """
 SELECT l_orderkey*10+l_linenumber AS event_id, concat('TCGA-',lpad(CAST(l_suppkey AS VARCHAR),7,'0')) AS patient,
   concat('TCGA-',lpad(CAST(l_suppkey AS VARCHAR),7,'0'), CASE WHEN l_linenumber % 5 = 0 THEN '-11A' ELSE '-01A' END) AS barcode,
-  concat('chr',CAST(l_partkey % (SELECT max(doc_id)+1 FROM documents) AS VARCHAR)) AS chromosome, 15 + CAST(ROUND(l_extendedprice*100) AS BIGINT) % 170 AS pos,
+  concat('chr',CAST(contig AS VARCHAR)) AS chromosome, 15 + CAST(ROUND(l_extendedprice*100) AS BIGINT) % greatest(1, size - 30) AS pos,
   CASE CAST(l_quantity AS INT) % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DNP' ELSE 'SNP' END AS variant_type,
-  concat('G',CAST(l_partkey % (SELECT max(doc_id)+1 FROM documents) AS VARCHAR)) AS gene, concat(l_returnflag,l_linestatus) AS variant_class,
+  concat('G',CAST(contig AS VARCHAR)) AS gene, concat(l_returnflag,l_linestatus) AS variant_class,
   CASE l_linenumber % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'LOW' ELSE 'MODIFIER' END AS impact,
   CAST(CAST(l_quantity AS INT) + 10*(l_linenumber % 3) AS BIGINT) AS t_depth, CAST(ROUND(l_discount*100) AS BIGINT) AS t_alt_count
-FROM lineitem""")
+FROM lineitem JOIN contig_sizes ON contig = l_partkey % (SELECT max(doc_id)+1 FROM documents)""")
 
 view("cohort", "", """
 SELECT concat('TCGA-',lpad(CAST(s_suppkey AS VARCHAR),7,'0')) AS patient, s_acctbal AS y_cont,
@@ -160,6 +162,8 @@ def with_views(needs: str, body: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{name} AS ({VIEWS[name][1].strip()})" for name in ordered)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -14,7 +14,7 @@ from varloom.sources.readers import first_per_key
 
 
 def encoded(t):
-    return encode.encode_events(t.events_maf(), t.ref_contig())
+    return encode.encode_events(t.events_maf(), t.reference())
 
 
 @query("agg_channel_counts", "chan cohort universe", """
@@ -82,14 +82,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY p DESC, feature
 
 
 @query("agg_locus_blocks", "maf mb_counts mb_density cohort", """
-WITH v AS (SELECT feature FROM (SELECT feature, (sum(n*n)-sum(n)*sum(n)/CAST(N0 AS DOUBLE))/(N0-1) AS variance FROM mb_counts, (SELECT count(*) AS N0 FROM cohort) GROUP BY feature, N0) ORDER BY round(variance,9) DESC, feature LIMIT 64)
+WITH v AS (SELECT feature FROM (SELECT feature, (sum(n*n)-sum(n)*sum(n)/CAST(N0 AS DOUBLE))/(N0-1) AS variance FROM mb_counts, (SELECT count(*) AS N0 FROM cohort) GROUP BY feature, N0) ORDER BY round(variance,9) DESC, feature LIMIT 512)
 SELECT patient, 'locus_chrom' AS block, CASE WHEN ltrim(substr(chromosome,4),'0')='' THEN '0' ELSE ltrim(substr(chromosome,4),'0') END AS feature, CAST(count(*) AS DOUBLE) AS value FROM maf GROUP BY ALL
 UNION ALL SELECT patient, 'locus_chrom_modality', (CASE WHEN ltrim(substr(chromosome,4),'0')='' THEN '0' ELSE ltrim(substr(chromosome,4),'0') END)||'__'||(CASE variant_type WHEN 'SNP' THEN 'SBS' WHEN 'DNP' THEN 'DBS' ELSE 'ID' END), CAST(count(*) AS DOUBLE) FROM maf GROUP BY ALL
 UNION ALL SELECT patient, 'locus_variant_class', lower(variant_class), CAST(count(*) AS DOUBLE) FROM maf GROUP BY ALL
 UNION ALL SELECT patient, 'locus_mb_top', feature, CAST(n AS DOUBLE) FROM mb_counts WHERE feature IN (SELECT feature FROM v)
 UNION ALL SELECT patient, 'locus_mb_density', feature, round(value,6) FROM (UNPIVOT mb_density ON COLUMNS(* EXCLUDE patient) INTO NAME feature VALUE value)""")
 def agg_locus_blocks(t):
-    return ft.locus_blocks(t.maf_records(), t.cohort(), bin_width=50, top=64)
+    return ft.locus_blocks(t.maf_records(), t.cohort(), bin_width=50, top=512)
 
 
 view("gene_ev", "maf", "SELECT patient, gene, lower(variant_class) AS variant_class, lower(variant_type) AS variant_type, lower(impact) AS impact, impact IN ('HIGH','MODERATE') AS damaging FROM maf WHERE gene<>'G17'")
@@ -174,18 +174,18 @@ def vec_counts(t):
 view("basis_long", "basis", "SELECT vec_id, CAST(generate_subscripts(embedding,1)-1 AS BIGINT) AS dim, unnest(embedding) AS v FROM basis")
 
 
-@query("agg_weighted_mean_vector", "vec_counts basis_long", "SELECT sample, dim, round(sum(n*v)/sum(n),6) AS value FROM vec_counts JOIN basis_long USING (vec_id) WHERE vec_id%7<>0 GROUP BY ALL")
+@query("agg_weighted_mean_vector", "vec_counts basis_long", "SELECT sample, dim, round(sum(n*v)/sum(n),6) AS value FROM vec_counts JOIN basis_long USING (vec_id) GROUP BY ALL")
 def agg_weighted_mean_vector(t):
-    usable = joins.hinted(t.basis().filter("vec_id % 7 <> 0"))
+    usable = joins.hinted(t.basis())
     return ft.weighted_mean(vec_counts(t).join(usable, "vec_id"), ["sample"], "embedding", "n")
 
 
 @query("agg_signature_projection", "basis_long", """
-WITH p AS (SELECT * FROM (SELECT o_orderpriority AS signature, o_orderkey % (SELECT count(*) FROM embeddings) AS vec_id, count(*)-3 AS p FROM orders GROUP BY ALL) WHERE vec_id%11<>0)
+WITH p AS (SELECT * FROM (SELECT o_orderpriority AS signature, o_orderkey % (SELECT count(*) FROM embeddings) AS vec_id, count(*)-3 AS p FROM orders GROUP BY ALL))
 SELECT signature, dim, round(sum(p*v)/sum(p),6) AS value FROM p JOIN basis_long USING (vec_id) WHERE p>0 GROUP BY ALL""")
 def agg_signature_projection(t):
     p = t.vector_orders().groupBy(F.col("o_orderpriority").alias("signature"), "vec_id").agg((F.count(F.lit(1)) - 3).alias("p"))
-    p = p.withColumn("p", F.when(F.col("vec_id") % 11 != 0, F.col("p"))).filter("p > 0")
+    p = p.filter("p > 0")
     return ft.weighted_mean(p.join(joins.hinted(t.basis()), "vec_id"), ["signature"], "embedding", "p")
 
 
@@ -206,7 +206,7 @@ o AS (SELECT substr(w,3,3) AS key, n, w, unnest(range(1,4)) AS off FROM c)
 SELECT key, off AS "offset", round(sum(n*CAST(substr(w,4-off,1) IN ('C','T') AS INT))/CAST(sum(n) AS DOUBLE),6) AS lx, round(sum(n*CAST(substr(w,4-off,1) IN ('A','C') AS INT))/CAST(sum(n) AS DOUBLE),6) AS ly,
  round(sum(n*CAST(substr(w,4+off,1) IN ('C','T') AS INT))/CAST(sum(n) AS DOUBLE),6) AS rx, round(sum(n*CAST(substr(w,4+off,1) IN ('A','C') AS INT))/CAST(sum(n) AS DOUBLE),6) AS ry, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY key, off""")
 def agg_context_census(t):
-    return ft.census(t.ref_contig(), 3)
+    return ft.census(t.reference(), 3)
 
 
 @query("agg_majority_purity", "maf", """

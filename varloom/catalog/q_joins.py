@@ -14,9 +14,9 @@ from varloom.sources.readers import first_per_key, union_results
 @query("join_cohort_left", "maf", """
 WITH b AS (SELECT CAST(substr(patient,6) AS BIGINT) AS k, count(*) AS total FROM maf GROUP BY ALL)
 SELECT c_custkey, c_acctbal, total, CASE WHEN c_acctbal>=4200 THEN 'high' ELSE 'low' END AS label, n_name AS region_name
-FROM customer LEFT JOIN b ON c_custkey=k LEFT JOIN nation ON c_nationkey=n_nationkey WHERE c_custkey%2=0""")
+FROM customer LEFT JOIN b ON c_custkey=k  LEFT JOIN nation ON c_nationkey=n_nationkey""")
 def join_cohort_left(t):
-    people = t.customer.filter("c_custkey % 2 = 0").select("c_custkey", "c_acctbal", "c_nationkey")
+    people = t.customer.select("c_custkey", "c_acctbal", "c_nationkey")
     burden = t.maf_records().groupBy(F.substring("patient", 6, 7).cast("long").alias("c_custkey")).agg(F.count(F.lit(1)).alias("total"))
     label = people.select("c_custkey", F.when(F.col("c_acctbal") >= 4200, "high").otherwise("low").alias("label"))
     clinical = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("region_name"))
@@ -24,17 +24,17 @@ def join_cohort_left(t):
     return first_per_key(joined.drop("c_nationkey"), ["c_custkey"], F.col("c_acctbal"))
 
 
-@query("join_oof_inner", "preds", "SELECT doc_id, CAST(y AS BIGINT) AS y, round(a,6) AS candidate, round(b,6) AS baseline FROM preds WHERE doc_id%3<>0 AND doc_id%5<>0")
+@query("join_oof_inner", "preds", "SELECT doc_id, CAST(y AS BIGINT) AS y, round(a,6) AS candidate, round(b,6) AS baseline FROM preds WHERE lang<>'fr' AND source<>'src3'")
 def join_oof_inner(t):
     p = t.preds()
-    a = p.filter("doc_id % 3 <> 0").select("doc_id", "y", F.col("a").alias("score"))
-    b = p.filter("doc_id % 5 <> 0").select("doc_id", "y", F.col("b").alias("score"))
+    a = p.filter("lang <> 'fr'").select("doc_id", "y", F.col("a").alias("score"))
+    b = p.filter("source <> 'src3'").select("doc_id", "y", F.col("b").alias("score"))
     return joins.paired_predictions(a, b, ["doc_id"])
 
 
-@query("join_index_align", "maf cohort", "SELECT m.patient, n, y_cont FROM (SELECT patient, count(*) AS n FROM maf WHERE pos<18 GROUP BY ALL) m JOIN cohort USING (patient)")
+@query("join_index_align", "maf cohort", "SELECT m.patient, n, y_cont FROM (SELECT patient, count(*) AS n FROM maf GROUP BY ALL) m JOIN cohort USING (patient)")
 def join_index_align(t):
-    n = t.maf_records().filter("pos < 18").groupBy("patient").agg(F.count(F.lit(1)).alias("n"))
+    n = t.maf_records().groupBy("patient").agg(F.count(F.lit(1)).alias("n"))
     return n.join(t.cohort().select("patient", "y_cont"), "patient")
 
 
@@ -44,9 +44,9 @@ def join_patient_semi(t):
 
 
 @query("join_spine_left", "maf cohort", """
-SELECT c.patient, count(m.patient) FILTER (impact='HIGH') AS high, count(m.patient) FILTER (impact='LOW') AS low FROM cohort c LEFT JOIN (SELECT * FROM maf WHERE pos<18) m ON m.patient=c.patient GROUP BY ALL""")
+SELECT c.patient, count(m.patient) FILTER (impact='HIGH') AS high, count(m.patient) FILTER (impact='LOW') AS low FROM cohort c LEFT JOIN maf m ON m.patient=c.patient GROUP BY ALL""")
 def join_spine_left(t):
-    f = t.maf_records().filter("pos < 18").groupBy("patient").pivot("impact", ["HIGH", "LOW"]).count().withColumnsRenamed({"HIGH": "high", "LOW": "low"})
+    f = t.maf_records().groupBy("patient").pivot("impact", ["HIGH", "LOW"]).count().withColumnsRenamed({"HIGH": "high", "LOW": "low"})
     return joins.on_spine(t.cohort(), f, "patient")
 
 
@@ -57,7 +57,7 @@ def join_pathway(t):
 
 @query("join_context", "flanked", "SELECT event_id, lf AS left_flank, rf AS right_flank, ref_ok FROM flanked")
 def join_context(t):
-    ev = encode.attach_flanks(encode.classify(t.events_maf()), t.ref_contig(), 12)
+    ev = encode.attach_flanks(encode.classify(t.events_maf()), t.reference(), 12)
     return ev.select("event_id", F.col("left").alias("left_flank"), F.col("right").alias("right_flank"), "ref_ok")
 
 
@@ -164,13 +164,13 @@ def set_distinct(t):
 
 
 @query("set_completion_grid", "results", """
-WITH b AS (SELECT endpoint, representation, learner, max(score) AS primary_score FROM results WHERE n>40 AND resample<4 GROUP BY ALL)
+WITH b AS (SELECT endpoint, representation, learner, max(score) AS primary_score FROM results GROUP BY ALL)
 SELECT e.endpoint, l.learner, r.representation, round(primary_score,6) AS primary_score, CASE WHEN primary_score IS NULL THEN 'not_applicable' ELSE 'measured' END AS status
 FROM (SELECT DISTINCT endpoint FROM results) e CROSS JOIN (SELECT DISTINCT learner FROM results) l CROSS JOIN (SELECT DISTINCT representation FROM results UNION ALL SELECT 'burden_only') r
 LEFT JOIN b ON b.endpoint=e.endpoint AND b.learner=l.learner AND b.representation=r.representation""")
 def set_completion_grid(t):
     r = res.sample_results(t)
-    best = r.filter("n > 40 AND resample < 4").groupBy("endpoint", "representation", "learner").agg(F.max("score").alias("primary_score"))
+    best = r.groupBy("endpoint", "representation", "learner").agg(F.max("score").alias("primary_score"))
     reps = r.select("representation").unionByName(t.region.select(F.lit("burden_only").alias("representation")))
     full = joins.grid(r.select("endpoint"), r.select("learner"), reps)
     return full.join(best, ["endpoint", "learner", "representation"], "left").withColumn(

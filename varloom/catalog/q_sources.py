@@ -10,6 +10,7 @@ from varloom.functions import labels as lab
 from varloom.operators import durable
 from varloom.session import scratch_path
 from varloom.sources import readers
+from varloom.sources.reference import fetch_windows, land, pieces_of_fasta
 
 
 def _text(t, name, df, **options):
@@ -118,17 +119,25 @@ def src_excel(t):
     return readers.first_per_key(rows, ["patient"], F.col("line")).select("patient", "type")
 
 
+def _fasta(t):
+    """The reference as FASTA files: a header a contig, its bases in lines of 60."""
+    path = scratch_path(t.spark, "reference_fasta")
+    tiles = t.reference().tiles.filter("tile >= 0")
+    lines = F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")
+    head = F.when(F.col("tile") == 0, F.concat(F.lit(">chr"), F.col("contig").cast("string"), F.lit(" bases of one contig\n"))).otherwise("")
+    tiles.repartitionByRange("contig").sortWithinPartitions("contig", "tile").select(F.concat(head, lines)).write.text(path)
+    return path
+
+
 @query("src_reference_tiles", "maf ref_contig", """
-SELECT event_id, rpad(substr(repeat('N',64)||seq, pos-30+64, 10+event_id%150), CAST(10+event_id%150 AS INT),'N') AS bases
+SELECT event_id, rpad(substr(repeat('N',64)||seq, pos-30+64, 10+event_id%600), CAST(10+event_id%600 AS INT),'N') AS bases
 FROM maf JOIN ref_contig ON contig=CAST(substr(chromosome,4) AS BIGINT)""")
 def src_reference_tiles(t):
-    from varloom.sources.reference import fetch_windows
-
+    reference = land(pieces_of_fasta(t.spark, _fasta(t)))
     spans = t.maf_records().select(
-        "event_id", F.substring("chromosome", 4, 9).cast("long").alias("c"), (F.col("pos") - 30).alias("start"),
-        (10 + F.col("event_id") % 150).alias("size"),
+        "event_id", F.col("chromosome").alias("c"), (F.col("pos") - 30).alias("start"), (10 + F.col("event_id") % 600).alias("size"),
     )
-    return fetch_windows(spans, t.ref_contig(), contig="c", start="start", length="size", out="bases").select("event_id", "bases")
+    return fetch_windows(spans, reference, contig="c", start="start", length="size", out="bases").select("event_id", "bases")
 
 
 @query("src_scenarios", "profile_rec", """

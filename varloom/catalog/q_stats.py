@@ -132,26 +132,29 @@ def st_delong(t):
     return stats.delong(t.preds(), ["lang"], "y", "a", "b").filter("auc_a IS NOT NULL")
 
 
-def _boot_sql(strat: bool, seed: str) -> str:
-    part = "PARTITION BY y " if strat else ""
-    h = lambda s: f"CAST(('0x'||substr(sha256({s}),1,13)) AS BIGINT)"
-    on = "AND r.y=d.y" if strat else ""
-    grp = "y, " if strat else ""
-    auc = lambda c: f"(SELECT sum(wp*(bn+wn/2.0))/(sum(wp)*sum(wn)) FROM (SELECT wp, wn, coalesce(sum(wn) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS bn FROM (SELECT {c} AS s, sum(mult) FILTER (y=1) AS p0, coalesce(sum(mult) FILTER (y=1),0) AS wp, coalesce(sum(mult) FILTER (y=0),0) AS wn FROM m WHERE m.replicate=x.replicate GROUP BY {c})))"
-    return f"""r AS (SELECT *, row_number() OVER ({part}ORDER BY {h(f"'{seed}|'||doc_id")})-1 AS idx, count(*) OVER ({part}) AS n FROM preds),
-d AS (SELECT {grp}replicate, {h(f"'{seed}|'||replicate||'|'||doc_id")} % n AS idx, count(*) AS mult FROM r, (SELECT unnest(range(1,21)) AS replicate) GROUP BY ALL),
-m AS (SELECT r.*, d.replicate, d.mult FROM r JOIN d ON r.idx=d.idx {on}), dl AS (SELECT replicate, {auc('a')}-{auc('b')} AS delta FROM (SELECT DISTINCT replicate FROM d) x)"""
-
-
-@query("st_bootstrap", "preds", f"WITH {_boot_sql(True, 'boot')} SELECT round(least(1.0,2.0*least((count(*) FILTER (delta<=0)+1.0)/(count(*)+1.0),(count(*) FILTER (delta>=0)+1.0)/(count(*)+1.0))),6) AS p_value, count(*) AS n_resamples, round(quantile_cont(delta,0.025),6) AS ci_low, round(quantile_cont(delta,0.975),6) AS ci_high FROM dl WHERE delta IS NOT NULL")
+#: Bootstrap replicates (fixed value).
+REPLICATES = 500
+
+
+def _boot_sql(seed: str) -> str:
+    word = lambda i: f"CAST('0x'||substr(h,{7 * i + 1},7) AS BIGINT)"
+    v = f"(({word(0)}+r*{word(1)}+r*r*{word(2)}+r*r*r*{word(3)})%{stats.MODULUS})"
+    times = f"len(list_filter([{','.join(map(str, stats.POISSON))}], lambda c: c<=v))"
+    auc = lambda c: f"""(SELECT r, sum(wp*(bn+wn/2.0))/nullif(sum(wp)*sum(wn),0) AS auc FROM (SELECT r, wp, wn, coalesce(sum(wn) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS bn
+ FROM (SELECT r, {c} AS s, coalesce(sum(mult) FILTER (y=1),0) AS wp, coalesce(sum(mult) FILTER (y=0),0) AS wn FROM m GROUP BY r, {c})) GROUP BY r)"""
+    return f"""v AS (SELECT y, a, b, r, {v} AS v FROM (SELECT *, sha256('{seed}|'||doc_id) AS h FROM preds), (SELECT unnest(range(1,{REPLICATES + 1})) AS r)),
+m AS (SELECT y, a, b, r, {times} AS mult FROM v), dl AS (SELECT x.auc-z.auc AS delta FROM {auc('a')} x JOIN {auc('b')} z USING (r))"""
+
+
+@query("st_bootstrap", "preds", f"WITH {_boot_sql('boot')} SELECT round(least(1.0,2.0*least((count(*) FILTER (delta<=0)+1.0)/(count(*)+1.0),(count(*) FILTER (delta>=0)+1.0)/(count(*)+1.0))),6) AS p_value, count(*) AS n_resamples, round(quantile_cont(delta,0.025),6) AS ci_low, round(quantile_cont(delta,0.975),6) AS ci_high FROM dl WHERE delta IS NOT NULL")
 def st_bootstrap(t):
-    d = stats.replicate_deltas(t.preds(), "y", "a", "b", "doc_id", replicates=20, seed="boot", stratify=True)
+    d = stats.replicate_deltas(t.preds(), "y", "a", "b", "doc_id", replicates=REPLICATES, seed="boot")
     return stats.delta_summary(d, [], "delta", smoothed=True)
 
 
-@query("st_bootstrap_unsmoothed", "preds", f"WITH {_boot_sql(False, 'plain')} SELECT round(least(1.0,2.0*least(count(*) FILTER (delta<=0)/CAST(count(*) AS DOUBLE),count(*) FILTER (delta>=0)/CAST(count(*) AS DOUBLE))),6) AS p_value, count(*) AS n_resamples, round(quantile_cont(delta,0.025),6) AS ci_low, round(quantile_cont(delta,0.975),6) AS ci_high FROM dl WHERE delta IS NOT NULL")
+@query("st_bootstrap_unsmoothed", "preds", f"WITH {_boot_sql('plain')} SELECT round(least(1.0,2.0*least(count(*) FILTER (delta<=0)/CAST(count(*) AS DOUBLE),count(*) FILTER (delta>=0)/CAST(count(*) AS DOUBLE))),6) AS p_value, count(*) AS n_resamples, round(quantile_cont(delta,0.025),6) AS ci_low, round(quantile_cont(delta,0.975),6) AS ci_high FROM dl WHERE delta IS NOT NULL")
 def st_bootstrap_unsmoothed(t):
-    d = stats.replicate_deltas(t.preds(), "y", "a", "b", "doc_id", replicates=20, seed="plain", stratify=False)
+    d = stats.replicate_deltas(t.preds(), "y", "a", "b", "doc_id", replicates=REPLICATES, seed="plain")
     return stats.delta_summary(d, [], "delta", smoothed=False)
 
 

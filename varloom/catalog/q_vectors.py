@@ -44,7 +44,7 @@ def vec_bits(t):
 
 
 def flanks(t):
-    return encode.attach_flanks(encode.classify(t.events_maf()), t.ref_contig(), 12)
+    return encode.attach_flanks(encode.classify(t.events_maf()), t.reference(), 12)
 
 
 @query("vec_context", "flanked", f"SELECT event_id, {xb('reverse(lf)', 10)}||{yb('reverse(lf)', 10)}||{xb('rf', 10)}||{yb('rf', 10)} AS ctx FROM flanked")
@@ -136,7 +136,7 @@ p AS (SELECT channel, ctx, left(r1,length(r1)-s) AS r, left(a1,length(a1)-s) AS
 f AS (SELECT channel, ctx IS NOT NULL AS encoded, CASE WHEN ctx IS NULL THEN [0.0::DOUBLE for x in range(24)] ELSE list_concat(list_concat(ctx[1:6], list_transform(string_split({pay('r', 2, 'masked')},''), lambda b: CAST(b AS DOUBLE))), list_concat(ctx[7:12], list_transform(string_split({pay('a', 2, 'masked')},''), lambda b: CAST(b AS DOUBLE)))) END AS v FROM p)
 SELECT channel, encoded, dim-1 AS dim, round(value,6) AS value FROM (SELECT channel, encoded, unnest(v) AS value, generate_subscripts(v,1) AS dim FROM f)""")
 def vec_channel_basis(t):
-    table = bas.channel_basis(channels_seen(t), ft.census(t.ref_contig(), 3), d=3, dp=2)
+    table = bas.channel_basis(channels_seen(t), ft.census(t.reference(), 3), d=3, dp=2)
     return table.select("channel", "encoded", F.posexplode("vec").alias("dim", "value"))
 
 
@@ -374,7 +374,7 @@ def prj_random_directions(t):
 @query("mat_svd")
 def mat_svd(t):
     n = ft.n_by(t.maf_records(), "patient", F.col("gene").alias("feature"))
-    return reduction.truncated_svd(ft.keep_top(n, ft.top_variance(n, t.cohort().agg(F.count(F.lit(1)).alias("N")), 128)), "patient", 8)
+    return reduction.truncated_svd(ft.keep_top(n, ft.top_variance(n, t.cohort().agg(F.count(F.lit(1)).alias("N")), 512)), "patient", [16, 32, 64])
 
 
 @query("mat_pca2")
@@ -401,13 +401,13 @@ def trf_counts(t):
 
 
 @query("trf_interactions", "maf sets", """
-WITH p AS (SELECT DISTINCT patient, gene_set FROM maf JOIN sets USING (gene) WHERE pos<40), i AS (SELECT DISTINCT patient, impact FROM maf WHERE pos<30), g AS (SELECT DISTINCT patient, gene FROM maf WHERE pos<20), v AS (SELECT patient, avg(t_alt_count/CAST(t_depth AS DOUBLE)) AS m FROM maf WHERE t_depth<>0 GROUP BY ALL)
+WITH p AS (SELECT DISTINCT patient, gene_set FROM maf JOIN sets USING (gene)), i AS (SELECT DISTINCT patient, impact FROM maf), g AS (SELECT DISTINCT patient, gene FROM maf), v AS (SELECT patient, avg(t_alt_count/CAST(t_depth AS DOUBLE)) AS m FROM maf WHERE t_depth<>0 GROUP BY ALL)
 SELECT patient, 'pathway_x_impact__'||gene_set||'__'||impact AS feature, 1.0::DOUBLE AS value FROM p JOIN i USING (patient) UNION ALL SELECT patient, 'gene_presence_x_vaf_mean__'||gene, round(m,6) FROM g JOIN v USING (patient)""")
 def trf_interactions(t):
     ev = t.maf_records()
-    p = joins.expand_sets(ev.filter("pos < 40"), joins.hinted(t.sets())).select("patient", "gene_set").distinct()
-    i = ev.filter("pos < 30").select("patient", "impact").distinct()
-    g = ev.filter("pos < 20").select("patient", "gene").distinct()
+    p = joins.expand_sets(ev, joins.hinted(t.sets())).select("patient", "gene_set").distinct()
+    i = ev.select("patient", "impact").distinct()
+    g = ev.select("patient", "gene").distinct()
     v = ev.groupBy("patient").agg(F.avg(lab.vaf(F.col("t_alt_count"), F.col("t_depth"))).alias("m"))
     return tr.presence_product(p, i, "gene_set", "impact", "pathway_x_impact").unionByName(tr.presence_times(g, v, "gene", "m", "gene_presence_x_vaf_mean"))
 
@@ -441,8 +441,17 @@ def trf_standardise(t):
 
 
 @query("trf_downsample", "sample_counts", """
-WITH u AS (SELECT patient, channel, unnest(range(1,n+1)) AS unit FROM sample_counts WHERE patient IN (SELECT patient FROM sample_counts GROUP BY patient HAVING sum(n)>=100)),
-h AS (SELECT *, row_number() OVER (PARTITION BY patient, replicate ORDER BY sha256('down|'||replicate||'|'||patient||'|'||channel||'|'||unit)) AS k FROM u, (SELECT unnest([1,2]) AS replicate))
-SELECT patient, CAST(replicate AS BIGINT) AS replicate, channel, count(*) AS n FROM h WHERE k<=100 GROUP BY ALL""")
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY channel) AS nr, sum(n) OVER (PARTITION BY patient) AS t FROM sample_counts),
+draws AS (
+  SELECT patient, replicate, CAST(0 AS BIGINT) AS nr, '' AS channel, CAST(t AS BIGINT) AS total, CAST(100 AS BIGINT) AS budget, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT patient, t FROM c WHERE t>=100), (SELECT unnest([1,2]) AS replicate)
+  UNION ALL
+  SELECT patient, replicate, nr, channel, total-m, budget-x, x FROM (
+    SELECT *, lo+len(list_filter(w, lambda v: v<u*w[-1])) AS x FROM (
+      SELECT *, list_transform(range(1,len(p)+1), lambda i: list_sum(p[1:i])) AS w FROM (
+        SELECT *, list_transform(range(lo,hi+1), lambda k: exp(lgamma(m+1)-lgamma(k+1)-lgamma(m-k+1)+lgamma(total-m+1)-lgamma(budget-k+1)-lgamma(total-m-budget+k+1)-(lgamma(total+1)-lgamma(budget+1)-lgamma(total-budget+1)))) AS p FROM (
+          SELECT d.patient, d.replicate, c.nr, c.channel, c.n AS m, d.total, d.budget, greatest(0,d.budget-(d.total-c.n)) AS lo, least(c.n,d.budget) AS hi,
+            CAST('0x'||substr(sha256('down|'||d.replicate||'|'||d.patient||'|'||c.channel),1,13) AS BIGINT)/CAST(pow(16,13) AS DOUBLE) AS u
+          FROM draws AS d JOIN c ON c.patient=d.patient AND c.nr=d.nr+1)))))
+SELECT patient, CAST(replicate AS BIGINT) AS replicate, channel, n FROM draws WHERE nr>0 AND n>0""")
 def trf_downsample(t):
     return win.downsample(t.sample_counts(), 100, 2, "down")

@@ -7,9 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.session import settle
-
-BINS = 64
+from varloom.session import parallel_width, settle
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]):
@@ -26,7 +24,7 @@ def value_runs(df: DataFrame, keys: list[str], value: str, aggs: dict[str, Colum
     return df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def running_totals(runs: DataFrame, keys: list[str], value: str, cols: list[str], bins: int = BINS) -> DataFrame:
+def running_totals(runs: DataFrame, keys: list[str], value: str, cols: list[str], bins: int | None = None) -> DataFrame:
     """Adds ``before_<c>`` (sum of ``c`` over smaller values of the key) and ``all_<c>``.
 
     A single ordered window per key would put a whole key into one task. Here the runs are stored once, so that none of the
@@ -49,13 +47,13 @@ def running_totals(runs: DataFrame, keys: list[str], value: str, cols: list[str]
     return out.drop("_bin", *[f"_o_{c}" for c in cols])
 
 
-def _binned(df: DataFrame, keys: list[str], value: str, bins: int, aggs: list[Column]) -> DataFrame:
+def _binned(df: DataFrame, keys: list[str], value: str, bins: int | None, aggs: list[Column]) -> DataFrame:
     """``df`` with ``aggs`` of its key and ``_bin``, the number of the key's cut points below the value.
 
     ``df`` must be stored: the cut points come from a reading of their own. Cut points are stored with it, so a retried task
     cuts in the same way.
     """
-    v = F.col(value).cast("double")
+    v, bins = F.col(value).cast("double"), bins or parallel_width(df.sparkSession)
     cuts = F.array_distinct(F.percentile_approx(v, [i / bins for i in range(1, bins)], 4 * bins)).alias("_cuts")
     span = settle(df.groupBy(*keys).agg(cuts, *aggs), "cuts")
     below = F.size(F.filter("_cuts", lambda c: c < v))
@@ -89,7 +87,7 @@ def midranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     )
 
 
-def suffix_minimum(df: DataFrame, keys: list[str], value: str, col: str, out: str, bins: int = BINS) -> DataFrame:
+def suffix_minimum(df: DataFrame, keys: list[str], value: str, col: str, out: str, bins: int | None = None) -> DataFrame:
     """Minimum of ``col`` over rows with a value at least as large, per key, stored and cut into bins like
     ``running_totals``."""
     df = settle(df, "values")

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.evaluation import metrics as met
 from varloom.evaluation.quantiles import join_keys, midranks, quantiles, running_totals, suffix_minimum, value_runs
+from varloom.session import parallel_width, settle
+
+#: Rows whose replicates are added up at once.
+SLICE = 4096
 
 # Coefficients of the rational Chebyshev fit of erfc (relative error below 1.2e-7).
 ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
@@ -82,26 +88,79 @@ def numbered(preds: DataFrame, groups: list[str], identity: str, seed: str) -> D
     return h.join(ranked, [*groups, "_h"]).drop("_h")
 
 
-def resampled(preds: DataFrame, identity: str, *, replicates: int, seed: str, strata: list[str]) -> DataFrame:
-    """Bootstrap multiplicities: ``(replicate, row..., mult)``.
+#: Modulus of the replicate numbers; how often a row is drawn is looked up among these parts of it: the distribution of a Poisson count of mean 1.
+MODULUS = 2**31 - 1
+POISSON = [math.floor(MODULUS * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(13)]
+
+
+def hash_words(text: Column) -> Column:
+    """Four whole numbers below 2**28 from one SHA-256."""
+    h = F.sha2(text, 256)
+    return F.array(*[F.conv(F.substring(h, 7 * i + 1, 7), 16, 10).cast("long") for i in range(4)])
+
 
-    Every sample draws one index per replicate by hash within its stratum, the draws are counted and
-    joined to the numbered samples; rows not drawn are absent.
+def multiplicities(words: np.ndarray, replicates: int) -> np.ndarray:
+    """Rows x replicates: how often each row is drawn; replicate r reads its number from a cubic polynomial in r."""
+    r = np.arange(1, replicates + 1, dtype=np.int64)
+    v = (words[:, 0:1] + r * words[:, 1:2] + r**2 * words[:, 2:3] + r**3 * words[:, 3:4]) % MODULUS
+    return np.searchsorted(np.array(POISSON), v.ravel(), side="right").reshape(v.shape)
+
+
+def replicate_areas(preds: DataFrame, y: str, score: str, words: str, replicates: int) -> DataFrame:
+    """(replicate, auroc) of a weighted bootstrap, without a row for each replicate.
+
+    Rows are cut into bins of the score. A cut point's own value is a bin of one run of ties, whose rows may be dealt to any
+    number of tasks; between two cut points lie about equally many rows, which are put in order and added up in slices. Every
+    group keeps arrays with one number a replicate: positives, negatives and pairs won inside it. Bins then meet by replicate.
+    """
+    wide = parallel_width(preds.sparkSession)
+    rows = preds.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).select(F.col(score).cast("double").alias("s"), (F.col(y) == 1).alias("pos"), F.col(words).alias("h"))
+    cuts = settle(rows.agg(F.array_distinct(F.percentile_approx("s", [i / wide for i in range(1, wide)], 4 * wide)).alias("cuts")), "score-cuts")
+    below, at = F.size(F.filter("cuts", lambda c: c < F.col("s"))), F.array_contains("cuts", F.col("s"))
+    rows = rows.join(F.broadcast(cuts)).select("s", "pos", "h", (2 * below + at.cast("int")).alias("bin"), F.when(at, F.pmod(F.xxhash64("h"), F.lit(wide))).otherwise(0).alias("salt"))
+
+    def area(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("s", kind="stable")
+        score, pos, words = pdf["s"].to_numpy(), pdf["pos"].to_numpy(), np.array(pdf["h"].tolist(), dtype=np.int64)
+        before, won, positives = (np.zeros(replicates, dtype=np.int64) for _ in range(3))
+        open_pos, open_neg = (np.zeros(replicates, dtype=np.int64) for _ in range(2))
+        for i in range(0, len(score), SLICE):
+            m = multiplicities(words[i : i + SLICE], replicates)
+            part, p = score[i : i + SLICE], pos[i : i + SLICE, None]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            up, down = np.add.reduceat(m * p, first), np.add.reduceat(m * ~p, first)
+            if i and score[i] != score[i - 1]:  # the run left open ends here
+                won, before = won + open_pos * (2 * before + open_neg), before + open_neg
+                open_pos, open_neg = 0 * open_pos, 0 * open_neg
+            up[0] += open_pos
+            down[0] += open_neg
+            start = before + np.concatenate([np.zeros((1, replicates), dtype=np.int64), np.cumsum(down, axis=0)[:-1]])
+            won = won + (up[:-1] * (2 * start[:-1] + down[:-1])).sum(axis=0)
+            before, open_pos, open_neg = start[-1], up[-1], down[-1]
+            positives = positives + (m * p).sum(axis=0)
+        won, before = won + open_pos * (2 * before + open_neg), before + open_neg
+        return pd.DataFrame({"bin": [pdf["bin"].iloc[0]], "pos": [positives], "neg": [before], "won": [won]})
+
+    parts = rows.groupBy("bin", "salt").applyInPandas(area, "bin int, pos array<long>, neg array<long>, won array<long>")
+    each = parts.select("bin", F.posexplode(F.arrays_zip("pos", "neg", "won")).alias("replicate", "x"))
+    each = each.groupBy("replicate", "bin").agg(*[F.sum(f"x.{c}").alias(c) for c in ("pos", "neg", "won")])
+    lower = Window.partitionBy("replicate").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    # pairs are counted twice, ties once; salted parts of a run of ties are put together first
+    inside = F.when(F.col("bin") % 2 == 1, F.col("pos") * F.col("neg")).otherwise(F.col("won"))
+    pairs = (inside + 2 * F.col("pos") * F.coalesce(F.sum("neg").over(lower), F.lit(0))).alias("pairs")
+    return each.select("replicate", "pos", "neg", pairs).groupBy("replicate").agg(
+        F.try_divide(F.sum("pairs") / 2.0, F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
+
+
+def replicate_deltas(preds: DataFrame, y: str, a: str, b: str, identity: str, *, replicates: int, seed: str) -> DataFrame:
+    """AUROC(a) - AUROC(b) of every bootstrap replicate; both scores of a row are drawn alike.
+
+    A row is drawn a Poisson number of times, which a hash of seed and identity gives, so rows need no numbers and nothing
+    is dealt out by replicate. AUROC divides by the drawn positives and negatives, so the classes need no strata.
     """
-    rows = numbered(preds, strata, identity, seed)
-    draw = rows.select(*strata, "n", identity, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    text = F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col(identity).cast("string"))
-    drawn = draw.withColumn("idx", hash_number(text) % F.col("n")).groupBy(*strata, "replicate", "idx").agg(F.count(F.lit(1)).alias("mult"))
-    return rows.join(drawn, [*strata, "idx"]).drop("idx", "n")
-
-
-def replicate_deltas(preds: DataFrame, y: str, a: str, b: str, identity: str, *, replicates: int, seed: str, stratify: bool) -> DataFrame:
-    r = resampled(preds, identity, replicates=replicates, seed=seed, strata=[y] if stratify else [])
-    entry = lambda name, c: F.struct(F.lit(name).alias("model"), F.col(c).cast("double").alias("score"))
-    long = r.select("replicate", y, "mult", F.inline(F.array(entry("a", a), entry("b", b))))
-    scores = met.auroc(long, ["replicate", "model"], y, "score", weight="mult")
-    side = lambda m: F.max(F.when(F.col("model") == m, F.col("auroc")))
-    return scores.groupBy("replicate").agg((side("a") - side("b")).alias("delta"))
+    rows = settle(preds.select(y, a, b, hash_words(F.concat_ws("|", F.lit(seed), F.col(identity).cast("string"))).alias("_h")), "scores")
+    sides = [replicate_areas(rows, y, s, "_h", replicates).withColumnRenamed("auroc", n) for s, n in ((a, "_a"), (b, "_b"))]
+    return sides[0].join(sides[1], "replicate").select((F.col("replicate") + 1).alias("replicate"), (F.col("_a") - F.col("_b")).alias("delta"))
 
 
 def delta_summary(deltas: DataFrame, keys: list[str], delta: str, *, smoothed: bool) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions import catalogues, sequence
-from varloom.sources.reference import fetch_windows
+from varloom.sources.reference import Reference, fetch_windows
 
 REJECT_REASONS = [
     "invalid_or_other",
@@ -52,7 +52,7 @@ def classify(events: DataFrame) -> DataFrame:
     )
 
 
-def attach_flanks(events: DataFrame, contigs: DataFrame, d_context: int) -> DataFrame:
+def attach_flanks(events: DataFrame, reference: Reference, d_context: int) -> DataFrame:
     """``left``/``right`` flanks of ``d_context`` bases, the observed reference and whether it matches.
 
     A pure insertion has no reference base: its window is ``pos-d+1 .. pos+d`` and it always matches.
@@ -69,7 +69,7 @@ def attach_flanks(events: DataFrame, contigs: DataFrame, d_context: int) -> Data
     )
     # cleaning an allele only shortens it
     bound = F.greatest(F.lit(1), F.length("ref")) + 2 * d
-    found = fetch_windows(located, contigs, contig="_contig", start="_start", length="_length", bound=bound)
+    found = fetch_windows(located, reference, contig="_contig", start="_start", length="_length", bound=bound)
     observed = F.when(pure, F.lit("")).otherwise(F.substring("window", F.lit(d + 1), span))
     return (
         found.withColumns(
@@ -110,9 +110,9 @@ def channel_label() -> Column:
     ).otherwise(F.col("body"))
 
 
-def encode_events(events: DataFrame, contigs: DataFrame, *, d_context: int = 12) -> DataFrame:
+def encode_events(events: DataFrame, reference: Reference, *, d_context: int = 12) -> DataFrame:
     """All events with ``reject_reason`` and, for accepted ones, canonical flanks, alleles and channel."""
-    flanked = attach_flanks(classify(events), contigs, d_context)
+    flanked = attach_flanks(classify(events), reference, d_context)
     strand = lambda a, b: F.when(F.col("flip"), sequence.revcomp(F.col(a))).otherwise(F.col(b))
     return flanked.withColumns(
         {"reject_reason": reject_reason(), "cleft": strand("right", "left"), "cright": strand("left", "right")}

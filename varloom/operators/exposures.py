@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from varloom.evaluation.metrics import pearson
 from varloom.evaluation.quantiles import quantiles
 from varloom.operators import features as ft
+from varloom.session import settle
 
 MAX_REFERENCE_VALUES = 4_000_000
 
@@ -59,18 +60,14 @@ def fit(profiles: DataFrame, reference: DataFrame, *, groups: dict[str, str] | N
     Empty and non-finite profiles give zero weights.
     """
     channels, signatures, a = reference_matrix(reference)
-    position = F.create_map(*[x for i, c in enumerate(channels) for x in (F.lit(c), F.lit(i))])
-    entries = profiles.select("patient", F.try_element_at(position, "channel").alias("i"), "p").filter("i IS NOT NULL")
-    packed = entries.groupBy("patient").agg(F.collect_list(F.struct("i", "p")).alias("e"))
+    numbers = profiles.sparkSession.createDataFrame(list(zip(channels, range(len(channels)), strict=True)), "channel string, i int")
+    packed = packed_profiles(profiles, numbers)
     gram = a.T @ a
     group_of = np.array([0 if groups is None else sorted(set(groups.values())).index(groups[s]) for s in signatures])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            b = np.zeros((len(pdf), a.shape[0]))
-            for r, entry in enumerate(pdf["e"]):
-                for x in entry:
-                    b[r, x["i"]] += x["p"]
+            b = dense_rows(pdf, a.shape[0])
             usable = np.isfinite(b).all(1) & (b.sum(1) > 1e-15)
             w = np.zeros((len(pdf), a.shape[1]))
             if usable.any():
@@ -129,34 +126,98 @@ def bridge(weights: DataFrame, mapping: DataFrame) -> DataFrame:
     return ft.shares(moved, "sample", "w").select("sample", "process", F.col("p").alias("w"))
 
 
-def factorise(counts: DataFrame, reference: DataFrame, rank: int, seeds: list[int]) -> DataFrame:
-    """Non-negative factorisation by ALS on the densified table, best of several seeds, components
-    matched to reference signatures by mutually best cosine.
+def packed_profiles(profiles: DataFrame, channels: DataFrame) -> DataFrame:
+    """(patient, i, p): the numbers of a sample's channels and their shares; channels must be a bounded set (channel, i)."""
+    entries = profiles.join(channels, "channel").select("patient", F.struct("i", "p").alias("e"))
+    return entries.groupBy("patient").agg(F.collect_list("e").alias("e")).select("patient", F.col("e.i").alias("i"), F.col("e.p").alias("p"))
 
-    Only channel factors (channels x rank) are compared on the way out.
+
+def dense_rows(pdf: pd.DataFrame, width: int) -> np.ndarray:
+    """The packed rows of a batch as a matrix; repeated channels add up."""
+    size = pdf["i"].map(len).to_numpy()
+    out = np.zeros((len(pdf), width))
+    if size.sum():
+        np.add.at(out, (np.repeat(np.arange(len(pdf)), size), np.concatenate(pdf["i"].to_numpy()).astype(int)), np.concatenate(pdf["p"].to_numpy()))
+    return out
+
+
+def factor_pass(rows: DataFrame, h: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Per start: W'X, W'W and the squared error, W being the best non-negative weights of every row for that start's factors.
+
+    W is solved where the rows are and not kept. Each task sends one row of (channels + rank) x rank + 1 numbers a start.
+    """
+    rank, width = next(iter(h.values())).shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {s: np.zeros(rank * width + rank * rank + 1) for s in h}
+        for pdf in batches:
+            x = dense_rows(pdf, width)
+            for s, factors in h.items():
+                gram, xh = factors @ factors.T, x @ factors.T
+                w = coordinate_descent(gram, xh, tol=1e-10, rounds=2000)
+                error = (x * x).sum() - 2 * (w * xh).sum() + (w.T @ w * gram).sum()
+                sums[s] += np.concatenate([(w.T @ x).ravel(), (w.T @ w).ravel(), [error]])
+        yield pd.DataFrame({"start": list(sums), "v": list(sums.values())})
+
+    each = rows.select("i", "p").mapInPandas(run, "start int, v array<double>").select("start", F.posexplode("v").alias("at", "v"))
+    got = each.groupBy("start", "at").agg(F.sum("v").alias("v")).toPandas()  # starts x ((channels + rank) x rank + 1) numbers
+    out = {}
+    for s, part in got.groupby("start"):
+        v = part.sort_values("at")["v"].to_numpy()
+        out[int(s)] = v[: rank * width].reshape(rank, width), v[rank * width : -1].reshape(rank, rank), float(v[-1])
+    return out
+
+
+def factors(rows: DataFrame, width: int, rank: int, seeds: list[int], *, rounds: int = 1000, tol: float = 1e-5) -> tuple[np.ndarray, dict]:
+    """Channel factors (rank x channels) with the least squared error over several starts, by alternating non-negative least squares.
+
+    All starts share the passes over ``rows``; each goes on until its error falls by less than ``tol`` of its first error. Only
+    factors, whose size is checked, are on the driver.
     """
-    from pyspark.ml.recommendation import ALS
+    if len(seeds) * rank * (rank + width) > MAX_REFERENCE_VALUES:
+        raise ValueError(f"{len(seeds)} starts of {rank} factors over {width} channels are too large to ship to every task")
+    going = {s: np.random.default_rng(s).random((rank, width)) + 1e-3 for s in seeds}
+    first, last, done = {}, {s: np.inf for s in seeds}, {}
+    for turn in range(1, rounds + 1):
+        for s, (wx, ww, error) in factor_pass(rows, going).items():
+            first.setdefault(s, error)
+            converged = last[s] - error <= tol * first[s]
+            if converged or turn == rounds:
+                done[s] = {"seed": s, "error": error, "rounds": turn, "converged": converged, "factors": going.pop(s)}
+                continue
+            last[s] = error
+            h = coordinate_descent(ww, wx.T, tol=1e-10, rounds=2000).T
+            scale = np.linalg.norm(h, axis=1, keepdims=True)
+            # an empty factor starts anew instead of staying empty
+            going[s] = np.where(scale > 1e-12, h / np.maximum(scale, 1e-12), np.random.default_rng(s + turn).random((rank, width)))
+        if not going:
+            break
+    best = min(done.values(), key=lambda d: (d["error"], d["seed"]))
+    return best["factors"], best
 
+
+def factorise(counts: DataFrame, reference: DataFrame, rank: int, seeds: list[int], **stop) -> DataFrame:
+    """Non-negative factorisation of the samples' channel shares, components matched to reference signatures by mutually best cosine.
+
+    One row a component, with the seed, the squared error and the rounds of the best start.
+    """
     spark = counts.sparkSession
-    names = [r[0] for r in counts.select("channel").distinct().orderBy("channel").collect()]
-    channels = spark.createDataFrame([(c, i) for i, c in enumerate(names)], "channel string, item int")
-    people = counts.select("patient").distinct().withColumn("user", F.pmod(F.xxhash64("patient"), F.lit(2147483647)).cast("int"))
-    spread = people.withColumn("item", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-    shares = ft.shares(counts).join(F.broadcast(channels), "channel").select("patient", "item", "p")
-    dense = spread.join(shares, ["patient", "item"], "left").select("user", "item", F.coalesce("p", F.lit(0.0)).alias("rating")).persist()
-    best = None
-    for seed in seeds:
-        model = ALS(rank=rank, nonnegative=True, maxIter=8, regParam=1e-4, seed=seed, userCol="user", itemCol="item", ratingCol="rating").fit(dense)
-        err = model.transform(dense).agg(F.avg((F.col("rating") - F.col("prediction")) ** 2).alias("e")).first().e
-        if best is None or err < best[0]:
-            best = (err, seed, model)
-    dense.unpersist()
-    parts = best[2].itemFactors.join(F.broadcast(channels), F.col("id") == F.col("item")).select("channel", F.posexplode("features").alias("component", "v"))
-    pairs = parts.join(reference, "channel")
-    dot = pairs.groupBy("component", "signature").agg(F.sum(F.col("v") * F.col("p")).alias("dot"))
+    seen = counts.select("channel").distinct()
+    width = seen.count()
+    if width * rank > MAX_REFERENCE_VALUES:
+        raise ValueError(f"{rank} factors over {width} channels are too large to ship to every task")
+    names = [r[0] for r in seen.orderBy("channel").collect()]  # its number was checked
+    channels = spark.createDataFrame(list(zip(names, range(width), strict=True)), "channel string, i int")
+    rows = settle(packed_profiles(ft.shares(counts).select("patient", "channel", "p"), channels), "packed-profiles")
+    h, best = factors(rows, width, rank, seeds, **stop)
+    parts = spark.createDataFrame([(names[i], j, float(h[j, i])) for j in range(rank) for i in range(width)], "channel string, component int, v double")
+    dot = parts.join(reference, "channel").groupBy("component", "signature").agg(F.sum(F.col("v") * F.col("p")).alias("dot"))
     na = parts.groupBy("component").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("na"))
     nb = reference.groupBy("signature").agg(F.sqrt(F.sum(F.col("p") ** 2)).alias("nb"))
-    cos = dot.join(na, "component").join(nb, "signature").select("component", "signature", _ratio(F.col("dot"), F.col("na") * F.col("nb")).alias("cosine"))
-    mine = cos.groupBy("component").agg(F.max_by("signature", "cosine").alias("signature"), F.max("cosine").alias("cosine"))
-    theirs = cos.groupBy("signature").agg(F.max_by("component", "cosine").alias("back"))
-    return mine.join(theirs, "signature").select("component", "signature", "cosine", (F.col("component") == F.col("back")).alias("mutual"), F.lit(best[1]).alias("seed"))
+    cos = settle(dot.join(na, "component").join(nb, "signature").select("component", "signature", _ratio(F.col("dot"), F.col("na") * F.col("nb")).alias("cosine")), "factor-cosines")
+    mine = cos.groupBy("component").agg(F.max_by("signature", F.struct("cosine", "signature")).alias("signature"), F.max("cosine").alias("cosine"))
+    theirs = cos.groupBy("signature").agg(F.max_by("component", F.struct("cosine", "component")).alias("back"))
+    return mine.join(theirs, "signature").select(
+        "component", "signature", "cosine", (F.col("component") == F.col("back")).alias("mutual"),
+        F.lit(best["seed"]).alias("seed"), F.lit(best["error"]).alias("error"), F.lit(best["rounds"]).alias("rounds"), F.lit(best["converged"]).alias("converged"),
+    )

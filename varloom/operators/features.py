@@ -11,6 +11,8 @@ from varloom.evaluation.quantiles import quantiles
 from varloom.functions import catalogues as cat
 from varloom.functions import labels as lab
 from varloom.functions import sequence as seq
+from varloom.sources.reference import Reference, window_counts
+
 
 def rows() -> Column:
     return F.count(F.lit(1))
@@ -211,20 +213,15 @@ def motif_ratios(channel_counts: DataFrame) -> DataFrame:
     return ratio.unionByName(cross)
 
 
-def census(contigs: DataFrame, d: int, tile: int = 64) -> DataFrame:
+def census(reference: Reference, d: int) -> DataFrame:
     """Mean flanking-base bits around every canonical trinucleotide, both strands.
 
-    Windows of ``2d+1`` bases are read from tile pairs; identical windows are counted before anything
-    is spread over offsets. ``tile`` must be at least ``2d``.
+    Words of ``2d+1`` bases are counted where the tiles are; strands are folded on the distinct words only.
     """
-    from varloom.sources.reference import tile_pairs
-
-    size = 2 * d + 1
-    starts = tile_pairs(contigs, tile).select("wide", F.explode(F.sequence(F.lit(1), F.lit(tile))).alias("j"))
-    windows = starts.select(F.substring("wide", F.col("j"), F.lit(size)).alias("w")).filter(~F.col("w").contains("N"))
+    windows = window_counts(reference, 2 * d + 1)
     centre = F.substring("w", d + 1, 1)
     canon = F.when(centre.isin("C", "T"), F.col("w")).otherwise(seq.revcomp(F.col("w")))
-    counted = windows.groupBy(canon.alias("w")).agg(rows().alias("n"))
+    counted = windows.groupBy(canon.alias("w")).agg(F.sum("n").alias("n"))
     key = F.substring("w", d, 3).alias("key")
     offsets = F.explode(F.sequence(F.lit(1), F.lit(d))).alias("offset")
     spread = counted.select(key, "n", "w", offsets).select(

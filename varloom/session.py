@@ -24,6 +24,11 @@ def local_session(cpus: int | str = 8, app: str = "varloom") -> SparkSession:
     )
 
 
+def parallel_width(spark: SparkSession) -> int:
+    """Into how many parts a hot key is cut: as many as the session's shuffles have, 64 at least."""
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``varloom.scratch`` or ``spark.checkpoint.dir`` of the session.
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.sources.reference import fetch_windows, tile_sequences
+from varloom.session import settle
+from varloom.sources.reference import Reference, fetch_windows, land, pieces_of_text
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES26 = "ACGTACGTACGTACGTACGTACGTAC"
+#: Longest allele of the event view.
+ALLELE = 6
 
 
 class Tables:
@@ -17,6 +20,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._reference: Reference | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -24,35 +28,39 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     # -- reference sequence ------------------------------------------------------------
-    def ref_contig(self) -> DataFrame:
-        return self._sequences(self.documents)
+    def reference(self) -> Reference:
+        """The letters of all documents as bases, landed once as stored tiles for this object's queries."""
+        if self._reference is None:
+            bases = dict(zip(LETTERS + LETTERS.lower(), 2 * BASES26, strict=True))
+            self._reference = land(pieces_of_text(self.documents, "doc_id", "text", bases), aligned=True)
+        return self._reference
 
     def contig_sizes(self) -> DataFrame:
-        """(contig, size): number of bases of every contig."""
+        """(contig, size): number of bases of every contig, where no sequence is needed."""
         return self.documents.select(F.col("doc_id").alias("contig"), F.length(F.regexp_replace("text", "[^A-Za-z]+", "")).cast("long").alias("size"))
 
-    def on_contigs(self, rows: DataFrame) -> DataFrame:
+    def on_contigs(self, rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
         """Add ``contig``: parts are dealt to all contigs by the remainder of their key. One broadcast row."""
-        n = self.documents.agg((F.max("doc_id") + 1).alias("_contigs"))
-        return rows.crossJoin(F.broadcast(n)).withColumn("contig", F.col("l_partkey") % F.col("_contigs")).drop("_contigs")
+        last = self.documents.agg(F.max("doc_id").alias("_contigs")) if sizes is None else sizes.agg(F.max("contig").alias("_contigs"))
+        return rows.crossJoin(F.broadcast(last)).withColumn("contig", F.col("l_partkey") % (F.col("_contigs") + 1)).drop("_contigs")
 
-    @staticmethod
-    def _sequences(documents: DataFrame) -> DataFrame:
-        letters = F.upper(F.regexp_replace("text", "[^A-Za-z]+", ""))
-        return documents.select(F.col("doc_id").alias("contig"), F.translate(letters, LETTERS, BASES26).alias("seq"))
+    def located(self, sizes: DataFrame) -> DataFrame:
+        """Line items with contig and position: anywhere on the contig, 15 bases from its ends if it has that many."""
+        place = F.lit(15) + F.round(F.col("l_extendedprice") * 100).cast("long") % F.greatest(F.lit(1), F.col("size") - 30)
+        return self.on_contigs(self.lineitem, sizes).join(sizes, "contig").withColumn("pos", place)
 
     def ref_tiles(self, tile: int = 64) -> DataFrame:
-        return tile_sequences(self.ref_contig(), tile)
+        return self.reference().cut(tile)
 
     # -- mutation events ---------------------------------------------------------------
     def events_maf(self) -> DataFrame:
-        base = self.on_contigs(self.lineitem).join(self.contig_sizes(), "contig").select(
+        """Events with alleles, stored as a table of events would be: expressions over alleles do not repeat how they were made."""
+        base = self.located(self.reference().sizes()).select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
             F.concat(F.lit("TCGA-"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0")).alias("patient"),
             F.when(F.col("l_linenumber") % 5 == 0, "-11A").otherwise("-01A").alias("suffix"),
             "contig",
-            # anywhere on the contig, 15 bases from its ends if it has that many
-            (F.lit(15) + F.round(F.col("l_extendedprice") * 100).cast("long") % F.greatest(F.lit(1), F.col("size") - 30)).alias("pos"),
+            "pos",
             F.col("l_quantity").cast("int").alias("q"),
             F.col("l_partkey").alias("pk"),
             F.col("l_linenumber").alias("ln"),
@@ -65,14 +73,12 @@ class Tables:
                     "CASE q % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DNP' ELSE 'SNP' END"
                 ),
                 "len": F.floor(F.col("q") / 10).cast("int") + 1,
-                "span": F.lit(6),
+                "span": F.lit(ALLELE),
             }
         )
-        # six bases from the position on, looked up by tile: the contig's text itself can be very long
-        typed = fetch_windows(
-            base, self.ref_contig(), contig="contig", start="pos", length="span"
-        ).withColumn("seq", F.rtrim("window", F.lit("N")))
-        return typed.select(
+        typed = fetch_windows(base, self.reference(), contig="contig", start="pos", length="span")
+        typed = typed.withColumn("seq", F.rtrim("window", F.lit("N")))
+        events = typed.select(
             "event_id",
             "patient",
             F.concat("patient", "suffix").alias("barcode"),
@@ -100,15 +106,16 @@ class Tables:
             (F.col("q") + 10 * (F.col("ln") % 3)).cast("long").alias("t_depth"),
             F.col("disc").cast("long").alias("t_alt_count"),
         )
+        return settle(events, "events")
 
     def maf_records(self) -> DataFrame:
         """The same events without sequence-derived columns: no reference join in the plan."""
-        return self.on_contigs(self.lineitem).select(
+        return self.located(self.contig_sizes()).select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
             F.concat(F.lit("TCGA-"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0")).alias("patient"),
             F.when(F.col("l_linenumber") % 5 == 0, "-11A").otherwise("-01A").alias("suffix"),
             F.concat(F.lit("chr"), F.col("contig").cast("string")).alias("chromosome"),
-            (F.lit(15) + F.round(F.col("l_extendedprice") * 100).cast("long") % 170).alias("pos"),
+            "pos",
             F.expr(
                 "CASE cast(l_quantity as int) % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' "
                 "WHEN 2 THEN 'DNP' ELSE 'SNP' END"
