@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from varloom.catalog import q_joins  # noqa: F401  (the results view)
@@ -28,8 +29,8 @@ def met_auroc(t):
     p = t.preds()
     one = met.auroc(p, ["lang"], "y", "a").filter("auroc IS NOT NULL").select("lang", F.lit("binary").alias("kind"), "auroc")
     classes = p.select(F.col("source").alias("class")).distinct()
-    k = classes.join(classes.withColumnRenamed("class", "o"), F.col("o") <= F.col("class")).groupBy("class").agg((F.count(F.lit(1)) + 10).alias("k"))
-    proba = p.select("doc_id", F.col("source").alias("y"), F.lit(1).alias("j")).join(F.broadcast(k.withColumn("j", F.lit(1))), "j")
+    k = classes.select("class", (F.row_number().over(Window.orderBy("class")) + 10).alias("k"))  # one row a class
+    proba = p.select("doc_id", F.col("source").alias("y")).crossJoin(k)
     proba = proba.select("y", "class", (((F.col("doc_id") * F.col("k")) % 97) / 96.0).alias("p"), F.lit("all").alias("lang"))
     macro = met.macro_auroc(proba, ["lang"]).select("lang", F.lit("macro").alias("kind"), F.col("macro_auroc").alias("auroc"))
     return one.unionByName(macro)

@@ -233,7 +233,11 @@ def normal_interval(deltas: DataFrame, keys: list[str], d: str) -> DataFrame:
 
 
 def bh(tests: DataFrame, groups: list[str], p: str, out: str = "q_value") -> DataFrame:
-    """Benjamini-Hochberg per group, nulls kept null. Tied p-values share the largest rank."""
+    """Benjamini-Hochberg per group, nulls kept null. Tied p-values share the largest rank.
+
+    The tests are stored first: p-values computed again, from sums in another order, may differ in the last digit and find no rank.
+    """
+    tests = settle(tests, "tests")
     runs = value_runs(tests.filter(F.col(p).isNotNull()), groups, p, {"n": F.count(F.lit(1))})
     ranked = running_totals(runs, groups, p, ["n"])
     adj = ranked.withColumn("_adj", F.col(p) * F.col("all_n") / (F.col("before_n") + F.col("n")))

@@ -53,9 +53,8 @@ def missing_slots(expected: DataFrame, observed: DataFrame, keys: list[str]) ->
 
 
 def grid(*dims: DataFrame) -> DataFrame:
-    """All combinations of small dimension tables (configuration, never events)."""
-    keyed = [d.distinct().withColumn("_g", F.lit(1)) for d in dims]
-    return reduce(lambda a, b: a.join(b, "_g"), keyed).drop("_g")
+    """All combinations of small dimension tables (configuration, never events); the product is made where the parts are."""
+    return reduce(lambda a, b: a.crossJoin(b), [d.distinct() for d in dims])
 
 
 def overlap_sizes(tables: dict[str, DataFrame], key: str) -> DataFrame:

@@ -78,10 +78,8 @@ def truth_shares(wide: DataFrame, signatures: DataFrame, *, prefix: str) -> Data
     long = unpivot_wide(wide, prefix=prefix, name="sample", value="n").select(
         F.split_part("key", F.lit(" "), F.lit(1)).alias("signature"), "sample", "n"
     )
-    spine = long.select("sample").distinct().select("sample", F.lit(1).alias("j"))
-    listed = signatures.select("signature").distinct()
-    grid = listed.select("signature", F.lit(1).alias("j")).join(spine, "j")
-    full = grid.select("signature", "sample").join(long, ["signature", "sample"], "left").fillna(0, ["n"])
+    grid = signatures.select("signature").distinct().crossJoin(long.select("sample").distinct())
+    full = grid.join(long, ["signature", "sample"], "left").fillna(0, ["n"])
     return normalised(full.withColumn("n", F.col("n").cast("double")), "sample", "n")
 
 
