@@ -2,19 +2,20 @@
 
 A stripe is a prefix of 0 to 4 words with a counter of the words that follow it; an entry without a word counts the
 occurrences of the prefix that nothing countable follows. Workers count stripes in parts of a partition; Spark deals them
-out by prefix, sorted, and a second pass merges the counters of equal prefixes element by element, holding one stripe at a
-time. From a merged stripe follow the counts of its extensions, the total of its prefix (the sum of the counter) and the
-largest count of an extension, which tells whether a longer phrase subsumes the prefix.
+out by prefix and merges the counters of equal prefixes element by element. From a merged stripe follow the counts of its
+extensions, the total of its prefix (the sum of the counter) and the largest count of an extension, which tells whether a
+longer phrase subsumes the prefix.
 
-Lengths are done one after the other: a phrase can be as frequent as asked only if both phrases it has with one word less
-are, so only those are counted. A bitmap of bounded size (``store.bitmap``) tells workers which these may be; what it lets
-through besides is counted and then found too rare. A prefix with a ``HEAVY``-th of all words has a stripe that may be too
-large for one task; there are at most ``HEAVY`` of them, and their stripes are cut by a hash of the next word.
+Lengths are done one after the other. All pairs of words are counted; a longer phrase can be as frequent as asked only if both
+phrases it has with one word less are, so only those are counted. A bitmap of bounded size (``store.bitmap``) tells workers
+which these may be; what it lets through besides is counted and then found too rare. A prefix with a ``HEAVY``-th of all
+words has a stripe that may be too large for one task; there are at most ``HEAVY`` of them, and their stripes are cut by
+the next word.
 
 The counts of all first and last parts of a phrase are carried along as the lengths grow, so a candidate meets them in one
-join on its prefix and one on its last words. Words are told apart inside a worker by 64-bit hashes and across workers as
-strings. Null texts have no words, a null language is ``und``. Repeated rows count each for itself, ties rank by the bytes
-of the phrase. An empty table gives no rows. Other columns, whatever their names, are ignored.
+join on its prefix and one on its last words. Words of a language are known by 64-bit hashes, phrases by hashes of these; equal
+hashes count as equal. Null texts have no words, a null language is ``und``. Repeated rows count each for itself, ties rank by
+the bytes of the phrase. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,19 +27,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varloom.llm.registry import query, table
-from varloom.llm.scan import ODD, buffers, chunks, mix, rolling
+from varloom.llm.scan import ODD, chunks, mix, rolling
 from varloom.llm.store import bitmap, bits_for, in_bitmap, materialise, partitions
 
 #: Least count of a phrase, most words of a phrase, ranks of a language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: A prefix with this part of all words is split.
 HEAVY = 1000
+#: Tasks that merge stripes for each shuffle partition: an entry takes about six times as much memory there as on its way.
+SPREAD = 4
 #: Bytes of text counted at once, and entries that a worker gathers before it sends them on.
-CHUNK, ENTRIES = 1 << 22, 400_000
+CHUNK, ENTRIES = 1 << 19, 300_000
 
 _byte = np.arange(256)
 _fold = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte).astype(np.uint8)
@@ -46,31 +49,29 @@ _fold = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte).astype(np.uin
 _break = np.isin(_byte, list(b".,;:!?\n\x0b\x0c\r"))
 _word = ~(_break | np.isin(_byte, list(b" \t")))
 _value = mix(_fold.astype(np.uint64) * np.uint64(ODD) + np.uint64(ODD))
-_STRIPE = "lang string, prefix string, part int, words array<string>, counts array<long>"
-_MERGED = "lang string, prefix string, part int, total long, words array<string>, counts array<long>, hashes array<long>"
 
 
 @dataclass
 class Pieces:
-    """Words of several texts: hashes, the document and the piece of each, and their folded bytes with one blank between."""
+    """Words of several texts: hashes, the document and the piece of each, and their folded bytes."""
 
     hashes: np.ndarray
     doc: np.ndarray
     piece: np.ndarray
-    flat: np.ndarray
+    data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
 
-    def strings(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
-        """The phrases from word ``first[i]`` to word ``last[i]``."""
-        a, n = self.starts[first], self.ends[last] - self.starts[first]
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """The words ``at``."""
+        a, n = self.starts[at], self.ends[at] - self.starts[at]
         ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(ends[-1]) - np.repeat(ends[:-1] - a, n)
-        return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(ends), pa.py_buffer(self.flat[at])).cast(pa.string())
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1] - a, n)
+        return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(ends), pa.py_buffer(_fold[self.data[place]])).cast(pa.string())
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> Pieces:
-    """Words and pieces of the texts ``data[offsets[i]:offsets[i + 1]]``."""
+def pieces(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> Pieces:
+    """Words and pieces of the texts ``data[offsets[i]:offsets[i + 1]]`` of the languages with hashes ``langs``."""
     w = _word[data]
     before, after = np.zeros(len(w), dtype=bool), np.zeros(len(w), dtype=bool)
     before[1:], after[:-1] = w[:-1], w[1:]
@@ -78,205 +79,180 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Pieces:
     before[edges], after[edges - 1] = False, False
     starts, ends = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
-    length = ends - starts
-    flat = np.full(int(length.sum()) + len(length), 32, dtype=np.uint8)
-    flat[np.arange(int(length.sum())) + np.repeat(np.arange(len(length)), length)] = _fold[data[w]]
-    flat_ends = np.cumsum(length + 1) - 1
-    piece = np.cumsum(_break[data])[starts] + doc if len(starts) else doc
-    return Pieces(rolling(_value[data], starts, ends), doc, piece, flat, flat_ends - length, flat_ends)
-
-
-def phrase_hashes(phrases: pa.Array, size: int) -> np.ndarray:
-    """Hashes of phrases of ``size`` words joined by a blank, as ``entries`` computes them."""
-    data, offsets = buffers(phrases)
-    p = pieces(data[offsets[0] : offsets[-1]], offsets - offsets[0])
-    first = np.arange(len(phrases)) * size
-    return rolling(p.hashes, first, first + size)
+    piece = np.cumsum(_break[data], dtype=np.int64)[starts] + doc if len(starts) else doc
+    return Pieces(mix(rolling(_value[data], starts, ends) ^ langs[doc]), doc, piece, data, starts, ends)
 
 
 def lang_hash(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def entries(p: Pieces, size: int, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first words, prefix hashes, phrase hashes) of all occurrences of countable prefixes; phrase hash 0: nothing follows."""
-    n = len(p.hashes)
-    if size == 1:
-        return np.arange(n), np.zeros(n, dtype=np.uint64), p.hashes
-    at = np.flatnonzero(p.piece[: max(0, n - size + 2)] == p.piece[size - 2 :])
-    prefix = rolling(p.hashes, at, at + size - 1)
-    known = in_bitmap(bits, prefix)
-    at, prefix = at[known], prefix[known]
-    countable = np.zeros(n + 1, dtype=bool)
-    countable[at] = True
-    end = np.minimum(at + size - 1, n - 1)
-    follows = countable[at + 1] & (at + size - 1 < n) & (p.piece[end] == p.piece[at])
-    phrase = np.zeros(len(at), dtype=np.uint64)
-    phrase[follows] = rolling(p.hashes, at[follows], at[follows] + size)
-    return at, prefix, phrase
+def extended(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from those of all but its last word and of its last word."""
+    return mix(prefix + word * np.uint64(ODD))
+
+
+def phrases(p: Pieces, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words from each word on, those over the end of a piece included."""
+    out = p.hashes
+    for i in range(1, size):
+        out = extended(out[:-1], p.hashes[i:]) if len(out) else out
+    return out
+
 
+def entries(p: Pieces, size: int, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix hashes, next words) of all occurrences of countable prefixes of ``size - 1`` words; next word 0: nothing follows."""
+    prefix = phrases(p, size - 1)
+    n = len(prefix)
+    known = p.piece[:n] == p.piece[size - 2 :] if n else np.zeros(0, dtype=bool)
+    if bits is not None:
+        known &= in_bitmap(bits, prefix)
+    at = np.flatnonzero(known)
+    follows = at[at + 1 < n]
+    follows = follows[known[follows + 1] & (p.piece[follows] == p.piece[follows + size - 1])]
+    word = np.zeros(n, dtype=np.uint64)
+    word[follows] = p.hashes[follows + size - 1]
+    return prefix[at], word[at]
 
-class Counter:
-    """Distinct (language, prefix, next word) with counts, of many chunks."""
 
-    names = ["lang", "prefix", "word"]
+class Stripes:
+    """Distinct (prefix, next word) with counts, of many chunks."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, p: Pieces, size: int, langs: pa.Array, codes: np.ndarray, bits: np.ndarray | None) -> None:
-        at, prefix, phrase = entries(p, size, bits)
-        if not len(at):
+    def add(self, prefix: np.ndarray, word: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if not len(prefix):
             return
-        of_lang = codes[p.doc[at]]
-        group = mix(prefix ^ of_lang)
-        key = mix(group + phrase * np.uint64(ODD))
-        key, first, counts = np.unique(key, return_index=True, return_counts=True)
-        at = at[first]
-        words = p.strings(np.minimum(at + size - 1, len(p.hashes) - 1), np.minimum(at + size - 1, len(p.hashes) - 1))
-        words = pc.if_else(pa.array(phrase[first] == 0) if size > 1 else pa.scalar(False), "", words)
-        prefixes = p.strings(at, at + size - 2) if size > 1 else pa.array([""] * len(at), pa.string())
-        strings = pa.table([langs.take(pa.array(p.doc[at])), prefixes, words], names=self.names)
-        self.parts.append((key, group[first], prefix[first], phrase[first], counts, strings))
+        key, first, inverse, n = np.unique(extended(prefix, word), return_index=True, return_inverse=True, return_counts=True)
+        if counts is not None:
+            n = np.zeros(len(key), dtype=np.int64)
+            np.add.at(n, inverse, counts)
+        self.parts.append((prefix[first], word[first], n))
         self.size += len(key)
 
     def combine(self) -> None:
-        if len(self.parts) < 2:
-            return
-        key, group, prefix, phrase, counts = (np.concatenate(x) for x in list(zip(*self.parts, strict=True))[:5])
-        key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        total = np.zeros(len(key), dtype=np.int64)
-        np.add.at(total, inverse, counts)
-        strings = pa.concat_tables([x[5] for x in self.parts]).take(pa.array(first))
-        self.parts, self.size = [(key, group[first], prefix[first], phrase[first], total, strings)], len(key)
-
-    def stripes(self, heavy: np.ndarray, cuts: int) -> Iterator[pa.RecordBatch]:
-        """All that was counted, as stripes; then start anew."""
+        parts, self.parts, self.size = self.parts, [], 0
+        if parts:
+            self.add(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def blocks(self, heavy: np.ndarray, cuts: int) -> Iterator[pa.RecordBatch]:
+        """All that was counted, one row a part, its stripes one after the other; then start anew."""
         self.combine()
-        for _, group, prefix, phrase, counts, strings in self.parts:
-            part = np.where(np.isin(prefix, heavy), (phrase >> np.uint64(8)) % np.uint64(cuts), 0).astype(np.int32)
-            order = np.lexsort((part, group))
-            group, part = group[order], part[order]
-            new = np.concatenate([[True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])])
-            first = np.flatnonzero(new)
+        for prefix, word, counts in self.parts:
+            spread = np.where(np.isin(prefix, heavy), extended(prefix, word), prefix)
+            part = ((spread >> np.uint64(16)) % np.uint64(cuts)).astype(np.int32)
+            order = np.lexsort((prefix, part))
+            first = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
             ends = pa.array(np.append(first, len(order)), pa.int32())
-            strings = strings.take(pa.array(order)).combine_chunks()
-            column = lambda name: strings.column(name).combine_chunks()  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [column("lang").take(pa.array(first)), column("prefix").take(pa.array(first)), pa.array(part[first]), pa.ListArray.from_arrays(ends, column("word")), pa.ListArray.from_arrays(ends, pa.array(counts[order], pa.int64()))],
-                names=["lang", "prefix", "part", "words", "counts"],
-            )
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (prefix[order].view(np.int64), word[order].view(np.int64), counts[order].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(part[order][first]), *lists], names=["part", "prefix", "word", "n"])
         self.parts, self.size = [], 0
 
 
-def local_stripes(docs: DataFrame, size: int, bits: np.ndarray | None, heavy: np.ndarray, cuts: int) -> DataFrame:
-    """Stripes of prefixes of ``size - 1`` words, counted over parts of a partition."""
+def each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pieces, pa.Array]]:
+    """Words of successive runs of texts, and their languages."""
+    for batch in batches:
+        langs = batch.column("lang").cast(pa.string())
+        codes = {x: lang_hash(x) for x in pc.unique(langs).to_pylist()}
+        codes = np.array([codes[x] for x in langs.to_pylist()], dtype=np.uint64)
+        for i, j, data, offsets in chunks(batch.column("text"), CHUNK):
+            yield pieces(data, offsets, codes[i:j]), langs.slice(i, j - i)
+        pa.default_memory_pool().release_unused()
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, phrase, hash, n): the stripe of the empty prefix of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
-        for batch in batches:
-            langs = batch.column("lang").cast(pa.string())
-            codes = {x: lang_hash(x) for x in pc.unique(langs).to_pylist()}
-            codes = np.array([codes[x] for x in langs.to_pylist()], dtype=np.uint64)
-            for i, j, data, offsets in chunks(batch.column("text"), CHUNK):
-                counter.add(pieces(data, offsets), size, langs.slice(i, j - i), codes[i:j], bits)
-                if counter.size > ENTRIES:
-                    counter.combine()
-                if counter.size > ENTRIES // 2:
-                    yield from counter.stripes(heavy, cuts)
-        yield from counter.stripes(heavy, cuts)
-
-    return docs.mapInArrow(run, _STRIPE)
-
-
-def merge(stripes: DataFrame, size: int, least: int) -> DataFrame:
-    """Equal prefixes merged: total of the counter and its entries of ``least`` and more, with the hashes of the phrases."""
-
-    def merged(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
-        """One row a key of the sorted rows; counters added element by element, entries sorted by row."""
-        lang, prefix, part = (rows.column(c).combine_chunks() for c in ("lang", "prefix", "part"))
-        same = [pc.equal(c.slice(1), c.slice(0, len(c) - 1)) for c in (lang, prefix, part)]
-        new = np.concatenate([[True], ~np.asarray(pc.and_(pc.and_(same[0], same[1]), same[2]))]) if len(lang) > 1 else np.ones(len(lang), dtype=bool)
-        words, counts = rows.column("words").combine_chunks(), rows.column("counts").combine_chunks()
-        group = np.repeat(np.cumsum(new) - 1, np.asarray(pc.list_value_length(words)))
-        flat = pa.table({"group": group, "word": words.flatten(), "n": counts.flatten()})
-        flat = flat.group_by(["group", "word"], use_threads=False).aggregate([("n", "sum")]).sort_by("group")
-        first = pa.array(np.flatnonzero(new))
-        ends = np.searchsorted(flat.column("group").to_numpy(), np.arange(len(first) + 1))
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.column(c).combine_chunks()) for c in ("word", "n_sum")]
-        return pa.table([lang.take(first), prefix.take(first), part.take(first), *lists], names=rows.column_names), ends
-
-    def finish(rows: pa.Table) -> pa.RecordBatch:
-        words, counts = rows.column("words").combine_chunks(), rows.column("counts").combine_chunks()
-        length = np.asarray(pc.list_value_length(words))
-        row, n, word = np.repeat(np.arange(len(length)), length), counts.flatten().to_numpy(), words.flatten()
-        total = np.zeros(len(length), dtype=np.int64)
-        np.add.at(total, row, n)
-        keep = (n >= least) & np.asarray(pc.not_equal(word, ""))
-        row, n, word = row[keep], n[keep], word.filter(pa.array(keep))
-        prefix = rows.column("prefix").combine_chunks()
-        phrases = pc.binary_join_element_wise(prefix.take(pa.array(row)), word, " ") if size > 1 else word
-        ends = pa.array(np.searchsorted(row, np.arange(len(length) + 1)), pa.int32())
-        hashes = pa.array(phrase_hashes(phrases, size).view(np.int64), pa.int64()) if len(row) else pa.array([], pa.int64())
-        lists = [pa.ListArray.from_arrays(ends, x) for x in (word, pa.array(n, pa.int64()), hashes)]
-        return pa.RecordBatch.from_arrays(
-            [rows.column("lang").combine_chunks(), prefix, rows.column("part").combine_chunks(), pa.array(total), *lists],
-            names=["lang", "prefix", "part", "total", "words", "counts", "hashes"],
-        )
+        held: list[pa.Table] = []
+
+        def combined() -> pa.Table:
+            return pa.concat_tables(held).group_by(["hash", "lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["hash", "lang", "phrase", "n"])
+
+        for p, langs in each_chunk(batches):
+            key, first, n = np.unique(p.hashes, return_index=True, return_counts=True)
+            held.append(pa.table({"hash": key.view(np.int64), "lang": langs.take(pa.array(p.doc[first])), "phrase": p.strings(first), "n": n}))
+            if sum(map(len, held)) > ENTRIES:
+                held = [combined()]
+                if len(held[0]) > ENTRIES // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from combined().to_batches()
+
+    rows = docs.mapInArrow(run, "hash long, lang string, phrase string, n long")
+    return rows.groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
+
+
+def merged_stripes(docs: DataFrame, size: int, bits: np.ndarray | None, heavy: np.ndarray, cuts: int, least: int) -> DataFrame:
+    """(prefix, part, total, extensions) of the prefixes of ``size - 1`` words: extensions are the next words with counts of
+    ``least`` and more; a heavy prefix has several parts, each with its share of the total."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_row = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows, _ = merged(rows if open_row is None else pa.concat_tables([open_row, rows.cast(open_row.schema)]))
-            if len(rows) > 1:
-                yield finish(rows.slice(0, len(rows) - 1))
-            open_row = rows.slice(len(rows) - 1)
-        if open_row is not None:
-            yield finish(open_row)
+        stripes = Stripes()
+        for p, _ in each_chunk(batches):
+            stripes.add(*entries(p, size, bits))
+            if stripes.size > ENTRIES:
+                stripes.combine()
+                if stripes.size > ENTRIES // 2:
+                    yield from stripes.blocks(heavy, cuts)
+        yield from stripes.blocks(heavy, cuts)
+
+    blocks = docs.mapInArrow(run, "part int, prefix array<long>, word array<long>, n array<int>").repartition(cuts, "part")
+    each = blocks.select("part", F.explode(F.arrays_zip("prefix", "word", "n")).alias("x")).select("part", "x.prefix", "x.word", "x.n")
+    each = each.groupBy("part", "prefix", "word").agg(F.sum("n").alias("n"))
+    extension = F.when((F.col("n") >= least) & (F.col("word") != 0), F.struct("word", "n"))
+    return each.groupBy("part", "prefix").agg(F.sum("n").alias("total"), F.collect_list(extension).alias("extensions"))
+
 
-    keys = ["lang", "prefix", "part"]
-    return stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _MERGED)
+def with_hashes(rows: DataFrame) -> DataFrame:
+    """``rows`` (prefix, word, n) with the hash of the phrase."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("prefix", "word"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(extended(prefix, word).view(np.int64))], names=["prefix", "word", "a", "hash"])
 
-def tail(phrase: str) -> Column:
-    """The phrase without its first word."""
-    return F.expr(f"substring({phrase}, instr({phrase}, ' ') + 1)")
+    return rows.mapInArrow(run, "prefix long, word long, a long, hash long")
 
 
 def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
-    """Words a language; per length (from 1) the frequent phrases (lang, phrase, a, hash, lefts, rights, last: the phrase without
-    its first word); per length (from 2) the prefixes (lang, prefix, total, widest extension).
+    """Words a language; per length (from 1) the frequent phrases (hash, lang, phrase, a, lefts, rights, last: the hash of the phrase
+    without its first word); per length (from 2) the prefixes (prefix, total, widest extension).
 
     ``lefts`` and ``rights``: the counts of the first k words and of the rest, k from 1.
     """
-    spark, cuts = docs.sparkSession, partitions(docs.sparkSession)
+    cuts = SPREAD * partitions(docs.sparkSession)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    stripes = materialise(merge(local_stripes(docs, 1, None, np.zeros(1, dtype=np.uint64), cuts), 1, least), "stripes-1")
-    sizes = materialise(stripes.groupBy("lang").agg(F.sum("total").alias("n")), "words")
-    n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = materialise(word_counts(docs), "words")
+    sizes = materialise(words.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     none = F.expr("cast(array() AS array<long>)")
-    word = stripes.select("lang", F.explode(F.arrays_zip("words", "counts", "hashes")).alias("x"))
-    levels = [materialise(word.select("lang", F.col("x.words").alias("phrase"), F.col("x.counts").alias("a"), F.col("x.hashes").alias("hash"), none.alias("lefts"), none.alias("rights"), F.lit("").alias("last")), "phrases-1")]
-    heads = []
+    words = words.where(F.col("n") >= least).select("hash", "lang", "phrase", F.col("n").alias("a"), none.alias("lefts"), none.alias("rights"), F.expr("0L").alias("last"))
+    levels, heads, bits = [materialise(words, "phrases-1")], [], None
     for size in range(2, longest + 1):
         shorter = levels[-1]
         known = shorter.count()
         if not known:
             break
-        bits = bitmap(shorter, F.col("hash"), bits_for(known))
-        heavy = shorter.where(F.col("a") * HEAVY >= n).select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64)  # at most HEAVY
-        stripes = materialise(merge(local_stripes(docs, size, bits, heavy, cuts), size, least), f"stripes-{size}")
-        head = stripes.groupBy("lang", "prefix").agg(F.sum("total").alias("total"), F.max(F.array_max("counts")).alias("widest"))
-        head = materialise(head.where(F.col("widest").isNotNull()), f"prefixes-{size}")
-        left = head.join(shorter.select("lang", F.col("phrase").alias("prefix"), "lefts"), ["lang", "prefix"]).select("lang", "prefix", F.concat("lefts", F.array("total")).alias("lefts"))
-        rows = stripes.where(F.size("words") > 0).join(left, ["lang", "prefix"]).select("lang", "prefix", "lefts", F.explode(F.arrays_zip("words", "counts", "hashes")).alias("x"))
-        rows = rows.select("lang", "lefts", F.concat_ws(" ", "prefix", "x.words").alias("phrase"), F.col("x.counts").alias("a"), F.col("x.hashes").alias("hash")).withColumn("last", tail("phrase"))
-        right = shorter.select("lang", F.col("phrase").alias("last"), F.concat(F.array("a"), "rights").alias("rights"))
-        levels.append(materialise(rows.join(right, ["lang", "last"]).select("lang", "phrase", "a", "hash", "lefts", "rights", "last"), f"phrases-{size}"))
+        if size > 2:
+            bits = bitmap(shorter, F.col("hash"), bits_for(known))
+        heavy = shorter.where(F.col("a") * HEAVY >= total).select("hash").toArrow().column("hash").to_numpy().view(np.uint64)  # at most HEAVY
+        # all parts of a heavy prefix count towards its total
+        kept = (F.size("extensions") > 0) | F.col("prefix").isin(heavy.view(np.int64).tolist())
+        stripes = materialise(merged_stripes(docs, size, bits, heavy, cuts, least).where(kept), f"stripes-{size}")
+        head = stripes.groupBy("prefix").agg(F.sum("total").alias("total"), F.max(F.array_max(F.transform("extensions", lambda x: x["n"]))).alias("widest"))
+        head = head.where(F.col("widest").isNotNull()).join(shorter.select(F.col("hash").alias("prefix"), "lang", "phrase", "lefts"), "prefix")
+        head = materialise(head, f"prefixes-{size}")
+        found = materialise(with_hashes(stripes.select("prefix", F.explode("extensions").alias("x")).select("prefix", "x.word", "x.n")), f"found-{size}")
+        left = head.select("prefix", "lang", F.col("phrase").alias("before"), F.concat("lefts", F.array("total")).alias("lefts"))
+        rows = found.join(left, "prefix").join(levels[0].select(F.col("hash").alias("word"), F.col("phrase").alias("next")), "word")
+        rows = materialise(rows.select("hash", "lang", F.concat_ws(" ", "before", "next").alias("phrase"), "a", "lefts"), f"named-{size}")
+        # the last words, as a phrase of one word less
+        right = shorter.select("lang", F.col("phrase").alias("end"), F.col("hash").alias("last"), F.concat(F.array("a"), "rights").alias("rights"))
+        rows = rows.withColumn("end", F.expr("substring(phrase, instr(phrase, ' ') + 1)")).join(right, ["lang", "end"])
+        levels.append(materialise(rows.select("hash", "lang", "phrase", "a", "lefts", "rights", "last"), f"phrases-{size}"))
         heads.append(head)
     return sizes, levels, heads
 
@@ -287,10 +263,10 @@ def unsubsumed(levels: list[DataFrame], heads: list[DataFrame]) -> DataFrame:
     for at in range(1, len(levels)):
         rows = levels[at]
         if at + 1 < len(levels):
-            right = heads[at].select("lang", F.col("prefix").alias("phrase"), F.col("widest").alias("longer"))
-            left = levels[at + 1].groupBy("lang", F.col("last").alias("phrase")).agg(F.max("a").alias("longer"))
-            longer = right.unionByName(left).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-            rows = rows.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") < F.col("a")))
+            right = heads[at].select(F.col("prefix").alias("hash"), F.col("widest").alias("longer"))
+            left = levels[at + 1].groupBy(F.col("last").alias("hash")).agg(F.max("a").alias("longer"))
+            longer = right.unionByName(left).groupBy("hash").agg(F.max("longer").alias("longer"))
+            rows = rows.join(longer, "hash", "left").where(F.col("longer").isNull() | (F.col("longer") < F.col("a")))
         rows = rows.select("lang", "phrase", "a", "lefts", "rights")
         out = rows if out is None else out.unionByName(rows)
     return out
