@@ -251,6 +251,23 @@ def test_op7_ids_of_odd_texts():
     assert list(token_bytes(pa.array(texts), vocabulary())) == want
 
 
+def test_op7_three_million_words():
+    """A text with more distinct words than the table of words has slots at first."""
+    import numpy as np
+    import pyarrow as pa
+
+    from varloom.llm.op7_packing import WordIds, token_bytes, tokenizer, vocabulary
+
+    known, rng = WordIds(), np.random.default_rng(1)
+    hashes = np.unique(rng.integers(1, 2**63, 3_000_000, dtype=np.uint64))
+    known.add(hashes, np.arange(len(hashes), dtype="<u4"), np.arange(1, len(hashes) + 1))
+    assert (known.find(hashes) == np.arange(1, len(hashes) + 1)).all() and not known.find(hashes + np.uint64(1)).any()
+    text = " ".join(f"{i:x}" for i in range(16**5, 16**5 + 3_000_000))
+    got = next(iter(token_bytes(pa.array([text]), vocabulary())))
+    part = text[: text.index(" ", 70_000)]
+    assert got.startswith(np.asarray(tokenizer(vocabulary()).encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes())
+
+
 def test_op9(spark, awkward, rows):
     found = QUERIES["op9_language"](spark, awkward).collect()
     assert by_none((r["doc_id"], r["held_out"]) for r in found) == by_none((d, plain.remainder(d, 5) == 0) for d, _ in rows)

@@ -74,19 +74,23 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n"
 
 
 class WordIds:
-    """Token ids of the words met so far by a worker, found by the words' hashes; whole arrays of words at once."""
+    """Token ids of the words met so far by a worker, found by the words' hashes; whole arrays of words at once.
+
+    The table doubles before it is half full, so a text may bring any number of words.
+    """
 
     BITS = 21
 
     def __init__(self) -> None:
-        self.keys = np.zeros(1 << self.BITS, dtype=np.uint64)
-        self.index = np.zeros(1 << self.BITS, dtype=np.int32)
+        self.bits = self.BITS
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.index = np.zeros(1 << self.bits, dtype=np.int64)
         self.start, self.count, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word, 0 if it is not known."""
         out, rest = np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes))
-        slot = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        slot = self.place(hashes)
         while len(rest):
             key = self.keys[slot]
             hit = key == hashes[rest]
@@ -102,15 +106,33 @@ class WordIds:
         self.start = np.concatenate([self.start, begin + len(self.ids)])
         self.count = np.concatenate([self.count, ends - begin])
         self.ids = np.concatenate([self.ids, ids])
-        rest = np.arange(len(hashes))
-        slot = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        if 2 * len(self.start) > len(self.keys):
+            self.grow(len(self.start))
+        self.put(hashes, first + np.arange(len(hashes)))
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """The first slot to look in."""
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        rest, slot = np.arange(len(hashes)), self.place(hashes)
         while len(rest):
             free = self.keys[slot] == 0
             self.keys[slot[free]] = hashes[rest[free]]
             mine = self.keys[slot] == hashes[rest]
-            self.index[slot[mine]] = first + rest[mine]
+            self.index[slot[mine]] = numbers[rest[mine]]
             rest, slot = rest[~mine], (slot[~mine] + 1) % len(self.keys)
 
+    def grow(self, words: int) -> None:
+        """A table of at least twice as many slots as ``words``, with all that is in the old one."""
+        held = np.flatnonzero(self.keys)
+        keys, numbers = self.keys[held], self.index[held]
+        while 2 * words > 1 << self.bits:
+            self.bits += 1
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.index = np.zeros(1 << self.bits, dtype=np.int64)
+        self.put(keys, numbers)
+
 
 def token_bytes(column: pa.Array, path: str) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text, without special tokens.
