@@ -1,19 +1,22 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model has n-grams of up to three tokens, smoothed by interpolated absolute discounting: an n-gram of two or three tokens
-with ``LEAST`` and more occurrences in the training texts has log10((c - D) / c(context) + lambda * p(word | shorter context)),
-all other words of a context share its rest lambda by the shorter context; single tokens have (c + 1) / (N + V + 1), unseen ones
-included, so every context's probabilities add up to 1. Counts are taken over all training texts and whole texts.
+The model has n-grams of up to three tokens, smoothed by interpolated absolute discounting. Single tokens have (c + 1) / (N + V + 1),
+unseen ones included. Longer n-grams have (c - D) / c(context) + lambda * p(word | shorter context); all other words of a context
+share its rest lambda by the shorter context, so every context's probabilities add up to 1. A pair or triple is in the model where
+it occurs ``LEAST`` times and more and lifts the training texts' log10 probability by ``GAIN`` against the shorter context, a triple
+only if its two pairs are; both limits are on the evidence for one n-gram, whatever the corpus. Counts are taken over all
+training texts and whole texts.
 
 As an automaton: the root, each token and each pair of tokens with continuations are states; an n-gram is an arc from the state
 of its context with its log-probability to the state of its longest known ending; a failure arc leads from a state to the one of
 the shorter context with log10(lambda). A text is one walk from left to right that carries a state: take the arc of the next token or
 else fail and look again; the weights passed add up to the text's log-probability. A worker walks many texts side by side.
 
-Counting goes by length: a pair is counted only where both tokens, a triple only where both pairs are frequent enough, by
-a bitmap of bounded size (``store.bitmap``) that only saves work. The model is as large as the corpus makes it and never held
+Counting goes by length: a pair is counted only where both tokens are frequent enough, a triple only where both pairs are in the
+model, by a bitmap of bounded size (``store.bitmap``) that only saves work. The model is as large as the corpus makes it and never held
 in one place: texts are dealt into blocks of about ``BLOCK`` bytes, each block asks for the n-grams it holds, a join answers, and
-the block's part of the automaton is compiled where its texts are. Tokens and n-grams are known by 64-bit hashes.
+the block's part of the automaton is compiled where its texts are. A token of a training text that no bitmap of repeated tokens
+holds occurs once in training and is not asked for. Tokens and n-grams are known by 64-bit hashes.
 
 Null texts are empty: one end token. Without training rows every token has probability 1. Repeated rows count and are scored
 each for itself; a null id counts as an empty one. An empty table gives no rows. Other columns, whatever their names, are ignored.
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm.registry import query, table
@@ -33,12 +36,16 @@ from varloom.llm.sampling import remainder
 from varloom.llm.scan import ODD, chunks, mix, words
 from varloom.llm.store import bitmap, bits_for, in_bitmap, materialise, partitions
 
-#: Least count of a pair or triple of tokens, and what is taken off it.
-LEAST, DISCOUNT = 8, 0.75
+#: Least count of a pair or triple of tokens, what is taken off it, and what it must add to the log10 probability.
+LEAST, DISCOUNT, GAIN = 16, 0.75, 10.0
 #: Bytes of text of a block; bytes counted at once; entries that a worker gathers before it sends them on.
-BLOCK, CHUNK, ENTRIES = 1 << 25, 1 << 22, 1_000_000
+BLOCK, CHUNK, ENTRIES = 1 << 25, 1 << 19, 400_000
 #: A context with this part of all tokens is split.
 HEAVY = 1000
+#: Tasks that add up counts for each shuffle partition: an entry takes about six times as much memory there as on its way.
+SPREAD = 4
+#: Largest bitmap: two of 4 MB are with each worker.
+BITS = 25
 #: Fewer texts than this are walked one by one.
 TOGETHER = 12
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -130,10 +137,11 @@ def counted(docs: DataFrame, size: int, bits: np.ndarray, heavy: np.ndarray, cut
                     tally.add([pair[at], t[at + 1], t[at + 2]])
                 if tally.full():
                     yield from send()
+            pa.default_memory_pool().release_unused()
         yield from send()
 
     rows = docs.select("text").mapInArrow(gather, "part int, " + "".join(f"{x} array<long>, " for x in names) + "n array<int>")
-    each = rows.repartition("part").select("part", F.explode(F.arrays_zip(*names, "n")).alias("x")).select("part", *[f"x.{x}" for x in [*names, "n"]])
+    each = rows.repartition(cuts, "part").select("part", F.explode(F.arrays_zip(*names, "n")).alias("x")).select("part", *[f"x.{x}" for x in [*names, "n"]])
     sums = each.groupBy("part", *names).agg(F.sum("n").alias("n")).drop("part")
     return sums if size == 1 else sums.where(F.col("n") >= least)
 
@@ -151,34 +159,36 @@ def with_keys(rows: DataFrame, suffix: bool) -> DataFrame:
     return rows.mapInArrow(run, "key long, context long, shorter long, n long")
 
 
-def arcs(longer: DataFrame, shorter: DataFrame, discount: float) -> tuple[DataFrame, DataFrame]:
+def arcs(longer: DataFrame, shorter: DataFrame, discount: float, gain: float, name: str) -> tuple[DataFrame, DataFrame]:
     """(n-grams with their probabilities, rest of each context) from ``longer`` (key, context, shorter, n) and ``shorter`` (key, n, p)."""
-    rest = longer.groupBy("context").agg(F.sum(F.col("n") - discount).alias("mass")).join(shorter.select(F.col("key").alias("context"), F.col("n").alias("of")), "context")
-    rest = materialise(rest.select("context", "of", (1 - F.col("mass") / F.col("of")).alias("rest")), "rests")
-    rows = longer.join(rest, "context").join(shorter.select(F.col("key").alias("shorter"), F.col("p").alias("below")), "shorter")
-    return rows.select("key", "n", ((F.col("n") - discount) / F.col("of") + F.col("rest") * F.col("below")).alias("p")), rest.select(F.col("context").alias("key"), "rest")
+    rows = longer.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("of")), "context")
+    rows = rows.join(shorter.select(F.col("key").alias("shorter"), F.col("p").alias("below")), "shorter")
+    rows = rows.where(F.col("n") * F.log10(F.col("n") / F.col("of") / F.col("below")) >= gain).select("key", "context", "n", "of", "below")
+    rows = materialise(rows, f"kept-{name}")
+    rest = rows.groupBy("context", "of").agg(F.sum(F.col("n") - discount).alias("mass")).select("context", (1 - F.col("mass") / F.col("of")).alias("rest"))
+    rest = materialise(rest, f"rests-{name}")
+    out = rows.join(rest, "context").select("key", "n", ((F.col("n") - discount) / F.col("of") + F.col("rest") * F.col("below")).alias("p"))
+    return materialise(out, f"arcs-{name}"), rest.select(F.col("context").alias("key"), "rest")
 
 
-def automaton(training: DataFrame, least: int, discount: float) -> tuple[DataFrame, int, int]:
+def automaton(training: DataFrame, least: int, discount: float, gain: float) -> tuple[DataFrame, int, int]:
     """((key, n, arc, back) of all n-grams, tokens, distinct tokens). n: of single tokens; arc: log-probability of longer ones; back:
     weight of the failure arc where the n-gram is a state."""
-    cuts = partitions(training.sparkSession)
+    cuts = SPREAD * partitions(training.sparkSession)
     single = materialise(counted(training, 1, _NONE, _NONE, cuts, ["key"], 1), "tokens")
     total, distinct, often = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") >= least, 1))).first()
 
     def filters(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         heavy = rows.where(F.col("n") * HEAVY >= total).select("key").toArrow().column("key").to_numpy().view(np.uint64)  # at most HEAVY
-        return bitmap(rows, F.col("key"), bits_for(n)), heavy
+        return bitmap(rows, F.col("key"), min(BITS, bits_for(n))), heavy
 
     bits, heavy = filters(single.where(F.col("n") >= least), often)
-    pairs = materialise(with_keys(counted(training, 2, bits, heavy, cuts, ["context", "word"], least), False), "pairs")
-    bits, heavy = filters(pairs, pairs.count())
-    triples = materialise(with_keys(counted(training, 3, bits, heavy, cuts, ["context", "suffix", "word"], least), True), "triples")
-
     single = single.withColumn("p", (F.col("n") + 1) / F.lit(float(total + distinct + 1)))
-    pair_arcs, token_rest = arcs(pairs, single, discount)
-    pair_arcs = materialise(pair_arcs, "pair-arcs")
-    triple_arcs, pair_rest = arcs(triples, pair_arcs, discount)
+    pairs = with_keys(counted(training, 2, bits, heavy, cuts, ["context", "word"], least), False)
+    pair_arcs, token_rest = arcs(pairs, single, discount, gain, "pairs")
+    bits, heavy = filters(pair_arcs, pair_arcs.count())
+    triples = with_keys(counted(training, 3, bits, heavy, cuts, ["context", "suffix", "word"], least), True)
+    triple_arcs, pair_rest = arcs(triples, pair_arcs, discount, gain, "triples")
     no = F.lit(None).cast("double")
     model = single.join(token_rest, "key", "left").select("key", "n", no.alias("arc"), F.log10("rest").alias("back"))
     model = model.unionByName(pair_arcs.join(pair_rest, "key", "left").select("key", "n", F.log10("p").alias("arc"), F.log10("rest").alias("back")))
@@ -186,35 +196,39 @@ def automaton(training: DataFrame, least: int, discount: float) -> tuple[DataFra
     return materialise(model, "automaton"), int(total), int(distinct)
 
 
-def asked(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def asked(docs: DataFrame, bits: np.ndarray, repeated: np.ndarray) -> DataFrame:
     """(block, key) of the n-grams of each block that the model may have; ``docs`` is dealt by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        held: dict[int, list[np.ndarray]] = {}  # keys of a block, at most about one for each of its tokens
 
-        def send() -> Iterator[pa.RecordBatch]:
-            tally.combine()
-            for _, (block, key), _ in tally.parts:
-                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(key.view(np.int64))], names=["block", "key"])
-            tally.parts, tally.size = [], 0
+        def add(block: np.ndarray, key: np.ndarray) -> None:
+            for b in np.unique(block).tolist():
+                mine = held.setdefault(b, [])
+                mine.append(np.unique(key[block == b]))
+                if len(mine) > 32:
+                    held[b] = [np.unique(np.concatenate(mine))]
 
         for batch in batches:
-            block = batch.column("block").to_numpy().astype(np.uint64)
+            block = batch.column("block").to_numpy()
+            held_out = batch.column("held_out").to_numpy(zero_copy_only=False)
             for i, j, data, offsets in chunks(batch.column("text"), CHUNK):
                 t, first = tokens(data, offsets)
                 pair, left = grams(t, first)
                 of = np.repeat(block[i:j], np.diff(first))
+                single = in_bitmap(repeated, t) | np.repeat(held_out[i:j], np.diff(first))
                 known = in_bitmap(bits, pair)
                 two = np.flatnonzero(known & (left[: len(pair)] > 1))
                 three = np.flatnonzero(known[:-1] & known[1:] & (left[: max(0, len(pair) - 1)] > 2)) if len(pair) > 1 else two[:0]
                 triple = fold(pair[three], t[three + 2])
                 inside = in_bitmap(bits, triple)
-                tally.add([of, t])
-                tally.add([of[two], pair[two]])
-                tally.add([of[three][inside], triple[inside]])
-                if tally.full():
-                    yield from send()
-        yield from send()
+                add(np.concatenate([of[single], of[two], of[three][inside]]), np.concatenate([t[single], pair[two], triple[inside]]))
+            pa.default_memory_pool().release_unused()
+        for b, parts in held.items():
+            key = np.unique(np.concatenate(parts))
+            for i in range(0, len(key), ENTRIES):
+                part = key[i : i + ENTRIES]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, dtype=np.int32)), pa.array(part.view(np.int64))], names=["block", "key"])
 
     return docs.mapInArrow(run, "block int, key long")
 
@@ -225,12 +239,14 @@ class Walk:
     State 0 is the root, state 1 + i the i-th distinct token, later ones are pairs. Arcs are sorted by state and token.
     """
 
-    def __init__(self, t: np.ndarray, first: np.ndarray, key: np.ndarray, n: np.ndarray, arc: np.ndarray, back: np.ndarray, total: int, distinct: int):
+    def __init__(self, t: np.ndarray, first: np.ndarray, key: np.ndarray, n: np.ndarray, arc: np.ndarray, back: np.ndarray, learnt: np.ndarray, total: int, distinct: int):
         self.first = first
         vocabulary, self.t = np.unique(t, return_inverse=True)
         self.width = len(vocabulary)
         at, found = self.find(key, vocabulary)
-        self.count = np.where(found, n[at], 0) if len(key) else np.zeros(self.width, dtype=np.int64)
+        once = np.zeros(self.width, dtype=np.int64)  # tokens of training texts that were not asked for
+        once[self.t[np.repeat(learnt, np.diff(first))]] = 1
+        self.count = np.where(found, n[at], once) if len(key) else once
         self.unigram = np.log10((self.count + 1) / (total + distinct + 1))
         token_back = np.where(found, back[at], np.nan) if len(key) else np.full(self.width, np.nan)
         token_state = np.where(np.isnan(token_back), 0, np.arange(self.width) + 1)
@@ -337,8 +353,9 @@ def score_texts(docs: DataFrame, model: DataFrame, total: int, distinct: int) ->
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     dealt = docs.withColumn("block", block).repartition(max(blocks, 2), "block")
     longer = model.where(F.col("arc").isNotNull())
-    bits = bitmap(longer, F.col("key"), bits_for(longer.count()))
-    answers = asked(dealt, bits).distinct().join(model, "key").select("block", "key", "n", "arc", "back")
+    repeated = model.where(F.col("arc").isNull() & (F.col("n") > 1))
+    bits, repeated = (bitmap(x, F.col("key"), min(BITS, bits_for(x.count()))) for x in (longer, repeated))
+    answers = asked(dealt, bits, repeated).join(model, "key").select("block", "key", "n", "arc", "back")
 
     def run(texts: pa.Table, part: pa.Table) -> pa.Table:
         numbers = lambda c, kind: part.column(c).combine_chunks().fill_null(np.nan if kind is float else 0).to_numpy(zero_copy_only=False) if len(part) else np.zeros(0, kind)
@@ -346,10 +363,10 @@ def score_texts(docs: DataFrame, model: DataFrame, total: int, distinct: int) ->
         order = np.argsort(key)
         key, n, arc, back = key[order], numbers("n", np.int64)[order], numbers("arc", float)[order], numbers("back", float)[order]
         known, base, score, size = [], [], [], []
-        column = texts.column("text").combine_chunks()
-        for _, _, data, offsets in chunks(column, 4 * CHUNK):
+        column, learnt = texts.column("text").combine_chunks(), ~texts.column("held_out").to_numpy()
+        for i, j, data, offsets in chunks(column, 2 * CHUNK):
             t, first = tokens(data, offsets)
-            walk = Walk(t, first, key, n, arc, back, total, distinct)
+            walk = Walk(t, first, key, n, arc, back, learnt[i:j], total, distinct)
             size.append(np.diff(first))
             known.append(np.add.reduceat((walk.count > 0)[walk.t].astype(np.int64), first[:-1]))
             base.append(np.add.reduceat(walk.unigram[walk.t], first[:-1]))
@@ -361,10 +378,10 @@ def score_texts(docs: DataFrame, model: DataFrame, total: int, distinct: int) ->
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame, held_out, least: int = LEAST, discount: float = DISCOUNT) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, least: int = LEAST, discount: float = DISCOUNT, gain: float = GAIN) -> DataFrame:
     """Scores of all texts by a model of those for which ``held_out`` is false."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    model, total, distinct = automaton(plain.where(~F.col("held_out")), least, discount)
+    model, total, distinct = automaton(plain.where(~F.col("held_out")), least, discount, gain)
     return score_texts(plain, model, total, distinct).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
