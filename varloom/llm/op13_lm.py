@@ -39,7 +39,7 @@ from varloom.llm.store import bitmap, bits_for, in_bitmap, materialise, partitio
 #: Least count of a pair or triple of tokens, what is taken off it, and what it must add to the log10 probability.
 LEAST, DISCOUNT, GAIN = 16, 0.75, 10.0
 #: Bytes of text of a block; bytes counted at once; entries that a worker gathers before it sends them on.
-BLOCK, CHUNK, ENTRIES = 1 << 25, 1 << 19, 400_000
+BLOCK, CHUNK, ENTRIES = 1 << 24, 1 << 19, 400_000
 #: A context with this part of all tokens is split.
 HEAVY = 1000
 #: Tasks that add up counts for each shuffle partition: an entry takes about six times as much memory there as on its way.
