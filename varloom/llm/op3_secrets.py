@@ -41,8 +41,6 @@ ENCODINGS = [
     ("^[A-Za-z]+$", 52), ("^[A-Za-z0-9]+$", 62), ("^[A-Za-z0-9+/]+$", 64), ("^[A-Za-z0-9_-]+$", 64), ("^", 66),
 ]
 
-#: Documents, about, whose words the model of ordinary text is learnt from, and characters of each; chosen by a hash of the text.
-SAMPLE, LONGEST = 4000, 20_000
 #: Words that any model knows, so that tables of few words have one: common words of some languages, names, numbers.
 WORDS = (
     "the of and to in is that for it as was with be by on not he this are or his from at which but have an had they you were their one all we can her has there been if more when will would who so no "
@@ -124,10 +122,8 @@ def chain(pairs: dict[str, float]) -> tuple[np.ndarray, float]:
 
 
 def ordinary(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """``chain`` of the words of ``docs`` that are too short to be runs; a word counts by the root of its frequency."""
-    share = int(1_000_000 * min(1, SAMPLE / max(1, docs.count()))) + 1
-    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select(F.substring("text", 1, LONGEST).alias("text"))
-    words = texts.select(F.explode(F.split("text", "[^A-Za-z0-9+/_-]+")).alias("w")).where(F.length("w").between(1, LEAST - 1)).groupBy("w").agg(F.sqrt(F.count("*").cast("double")).alias("weight"))
+    """``chain`` of the words of all of ``docs`` that are too short to be runs; a word counts by the root of its frequency."""
+    words = docs.select(F.explode(F.split("text", "[^A-Za-z0-9+/_-]+")).alias("w")).where(F.length("w").between(1, LEAST - 1)).groupBy("w").agg(F.sqrt(F.count("*").cast("double")).alias("weight"))
     around = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(around, i, F.lit(2)))).alias("pair"), "weight")
     return chain({r["pair"]: r["weight"] for r in pairs.groupBy("pair").agg(F.sum("weight").alias("weight")).orderBy("pair").collect()})  # at most 67 x 67 rows
