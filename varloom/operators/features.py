@@ -235,6 +235,18 @@ def census(reference: Reference, d: int) -> DataFrame:
     )
 
 
+#: Vectors up to this many are broadcast.
+BROADCAST_VECTORS = 200_000
+
+
+def with_vectors(rows: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
+    """``rows`` with the vectors of their ``vec_id``, dealt by ``key``: sums per key and dimension are made without moving the
+    rows of single dimensions. ``rows`` has a key's vectors once each."""
+    if vectors.limit(BROADCAST_VECTORS + 1).count() <= BROADCAST_VECTORS:
+        return rows.repartition(key).join(F.broadcast(vectors), "vec_id")
+    return rows.join(vectors, "vec_id").repartition(key)
+
+
 def vector_sums(data: DataFrame, keys: list[str], vec: str, weight: str) -> DataFrame:
     """Σ weight·vec and Σ weight per key in long form ``(keys, dim, s, w)``; summed map-side per dimension."""
     return (
@@ -250,17 +262,19 @@ def weighted_mean(data: DataFrame, keys: list[str], vec: str, weight: str) -> Da
 
 
 def standardised_basis(basis: DataFrame) -> DataFrame:
-    """Long basis ``(vec_id, dim, z)``, population standard deviation, constant columns left at zero."""
+    """Basis ``(vec_id, z)``, one array a vector, population standard deviation, constant columns left at zero."""
     long = basis.select("vec_id", F.posexplode("embedding").alias("dim", "v"))
     s = long.groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
-    z = (F.col("v") - F.col("m")) / F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0)
-    return long.join(F.broadcast(s), "dim").select("vec_id", "dim", z.alias("z"))
+    s = s.agg(F.array_sort(F.collect_list(F.struct("dim", "m", "sd"))).alias("_s"))  # one row, as wide as a vector
+    at = lambda i: F.get("_s", i)
+    z = F.transform("embedding", lambda v, i: (v - at(i)["m"]) / F.when(at(i)["sd"] > 1e-12, at(i)["sd"]).otherwise(1.0))
+    return basis.crossJoin(F.broadcast(s)).select("vec_id", z.alias("z"))
 
 
 def moments(counts: DataFrame, basis: DataFrame) -> DataFrame:
     """Weighted mean, variance and third central moment per (sample, dim). ``counts``: sample, vec_id, n."""
-    p = shares(counts, "sample")
-    m = p.join(standardised_basis(basis), "vec_id").groupBy("sample", "dim").agg(
+    placed = with_vectors(shares(counts, "sample").select("sample", "vec_id", "p"), "sample", standardised_basis(basis))
+    m = placed.select("sample", "p", F.posexplode("z").alias("dim", "z")).groupBy("sample", "dim").agg(
         F.sum(F.col("p") * F.col("z")).alias("mean"), F.sum(F.col("p") * F.col("z") ** 2).alias("s2"),
         F.sum(F.col("p") * F.col("z") ** 3).alias("s3"),
     )
