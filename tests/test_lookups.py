@@ -58,3 +58,18 @@ def test_density_is_never_broadcast_and_counts_the_rows_named(spark):
     twice = attach_density(events, ["p", "bin"], "n", of=events.unionAll(events))
     assert rows_of(twice.select("id", "n")) == [(1, 4), (2, 4), (3, 2)]
     assert "BroadcastHashJoin" not in twice._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_generated_methods_stay_compilable(spark):
+    """A session that names no limit gets one; a limit of its own stays."""
+    from varloom.sources.tables import Tables
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    other = spark.newSession()
+    other.conf.unset(key)
+    other.conf.set(key, "9000")
+    Tables(other, "/nowhere")
+    assert other.conf.get(key) == "9000"
+    other.conf.unset(key)
+    Tables(other, "/nowhere")
+    assert other.conf.get(key) == "8000"

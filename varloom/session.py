@@ -7,6 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of generated code a method may have. The JVM never compiles longer methods but interprets them, several times slower;
+#: with this limit Spark generates such a stage operator by operator instead.
+METHOD_LIMIT = "8000"
+
+
+def compilable(spark: SparkSession) -> None:
+    """Keep generated methods short enough for the JVM's compiler, unless the session names a limit of its own."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", None) is None:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_LIMIT)
+
+
 def local_session(cpus: int | str = 8, app: str = "varloom") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     return (
@@ -17,8 +28,7 @@ def local_session(cpus: int | str = 8, app: str = "varloom") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
-        # longer generated methods are never compiled by the JVM; such a stage is generated operator by operator instead
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.sql.codegen.hugeMethodLimit", METHOD_LIMIT)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.session import settle
+from varloom.session import compilable, settle
 from varloom.sources.reference import Reference, fetch_windows, land, pieces_of_text
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,6 +18,7 @@ class Tables:
     """The parquet tables of one folder, plus views that stand in for mutation data."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        compilable(spark)
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._reference: Reference | None = None
