@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from varloom.operators import encode
 from varloom.operators.density import attach_density
 from varloom.sources import reference as ref
 
@@ -60,16 +61,13 @@ def test_density_is_never_broadcast_and_counts_the_rows_named(spark):
     assert "BroadcastHashJoin" not in twice._jdf.queryExecution().sparkPlan().toString()
 
 
-def test_generated_methods_stay_compilable(spark):
-    """A session that names no limit gets one; a limit of its own stays."""
-    from varloom.sources.tables import Tables
-
-    key = "spark.sql.codegen.hugeMethodLimit"
-    other = spark.newSession()
-    other.conf.unset(key)
-    other.conf.set(key, "9000")
-    Tables(other, "/nowhere")
-    assert other.conf.get(key) == "9000"
-    other.conf.unset(key)
-    Tables(other, "/nowhere")
-    assert other.conf.get(key) == "8000"
+def test_filters_on_the_verdict_do_not_repeat_the_lookup(spark, stored):
+    rows = [(1, "chr1", 40, "SNP", "T", "G"), (2, "chr1", 40, "SNP", "A", "G"), (3, "chr1", 1, "SNP", "A", "G"), (4, "chr1", 41, "INS", "-", "CC"), (5, None, 41, "SNP", "A", "G")]
+    events = spark.createDataFrame(rows, "event_id long, chromosome string, pos long, variant_type string, ref string, alt string")
+    encoded = encode.encode_events(events, stored)
+    assert encoded.columns[-4:] == ["reject_reason", "cleft", "cright", "channel"]
+    found = {r["event_id"]: (r["reject_reason"], r["channel"]) for r in encoded.collect()}
+    assert found[1] == (None, "SBS96:T[T>G]A") and found[4][0] is None and found[4][1].startswith("ID83:")
+    assert [found[i] for i in (2, 3, 5)] == [("fasta_ref_mismatch", None), ("unresolved_context", None), ("fasta_ref_mismatch", None)]
+    plan = encode.accepted(encoded).filter("channel IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and ("wide#" in line or "window#" in line)]
