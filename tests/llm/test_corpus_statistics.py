@@ -119,3 +119,22 @@ def test_op13_long_text(spark):
     docs = spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), text.alias("text"))
     r = op13_lm.score_documents(docs, F.lit(False)).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (2_000_001, 2_000_001, 2_000_001) and r["score"] <= 0
+
+
+def test_op13_lookups_do_not_grow_with_the_texts(monkeypatch):
+    """Arcs of many tokens are looked up at once; cut into runs of a few tokens they give the same sums."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.sort(rng.integers(1, 2**63, 8).astype(np.uint64))
+    texts = [np.append(rng.choice(vocabulary, 200), op13_lm.END) for _ in range(20)]
+    t, first = np.concatenate(texts), np.arange(21) * 201
+    pairs = np.unique(op13_lm.fold(t[:-1], t[1:])[: 100])
+    single = vocabulary, np.arange(8) + 20, np.linspace(-1, -0.1, 8)
+    longer = pairs, np.linspace(-0.5, -0.2, len(pairs)), np.full(len(pairs), np.nan)
+    calls = []
+    find = op13_lm.Walk.find
+    monkeypatch.setattr(op13_lm.Walk, "find", staticmethod(lambda *a: calls.append(1) or find(*a)))
+    walk = op13_lm.Walk(t, first, single, longer, np.ones(20, dtype=bool), 4000, 9)
+    whole = walk.scores()
+    assert len(calls) < 10
+    monkeypatch.setattr(op13_lm, "TOGETHER", 7)
+    assert np.array_equal(whole, walk.scores()) and (whole < 0).all()

@@ -9,8 +9,9 @@ training texts and whole texts.
 
 As an automaton: the root, each token and each pair of tokens with continuations are states; an n-gram is an arc from the state
 of its context with its log-probability to the state of its longest known ending; a failure arc leads from a state to the one of
-the shorter context with log10(lambda). A text is one walk from left to right that carries a state: take the arc of the next token or
-else fail and look again; the weights passed add up to the text's log-probability. A worker walks many texts side by side.
+the shorter context with log10(lambda). A text is one walk from left to right: from the state that the tokens before lead to, take the arc
+of the next token or else fail and look again; the weights passed add up to the text's log-probability. A worker takes the arcs of many
+tokens side by side.
 
 Counting goes by length: a pair is counted only where both tokens are frequent enough, a triple only where both pairs are in the
 model, by a bitmap of bounded size (``store.bitmap``) that only saves work. The model is as large as the corpus makes it and never held
@@ -46,8 +47,8 @@ HEAVY = 1000
 SPREAD = 4
 #: Largest bitmap: two of 4 MB are with each worker.
 BITS = 25
-#: Fewer texts than this are walked one by one.
-TOGETHER = 12
+#: Tokens whose arcs are taken side by side.
+TOGETHER = 1 << 17
 END = np.uint64(0x5BD1E9955BD1E995)
 _NONE = np.zeros(0, dtype=np.uint64)
 
@@ -234,56 +235,23 @@ def asked(docs: DataFrame, bits: np.ndarray, repeated: np.ndarray) -> DataFrame:
 
 
 class Walk:
-    """The part of the automaton that some texts need, compiled to arrays, and the walk over them.
+    """The part of the automaton that some texts need, and the walk over it.
 
-    State 0 is the root, state 1 + i the i-th distinct token, later ones are pairs. Arcs are sorted by state and token.
+    The state after a token follows from the last two tokens: their pair if that is a state, else the token if that is one, else the root.
+    So the arcs of many tokens are taken side by side, each from the state that the tokens before it lead to.
     """
 
-    def __init__(self, t: np.ndarray, first: np.ndarray, key: np.ndarray, n: np.ndarray, arc: np.ndarray, back: np.ndarray, learnt: np.ndarray, total: int, distinct: int):
-        self.first = first
+    def __init__(self, t: np.ndarray, first: np.ndarray, single: tuple[np.ndarray, ...], longer: tuple[np.ndarray, ...], learnt: np.ndarray, total: int, distinct: int):
+        """``single`` (key, n, back) and ``longer`` (key, arc, back) are sorted by key."""
+        self.token, self.first, self.longer = t, first, longer
+        key, n, back = single
         vocabulary, self.t = np.unique(t, return_inverse=True)
-        self.width = len(vocabulary)
         at, found = self.find(key, vocabulary)
-        once = np.zeros(self.width, dtype=np.int64)  # tokens of training texts that were not asked for
+        once = np.zeros(len(vocabulary), dtype=np.int64)  # tokens of training texts that were not asked for
         once[self.t[np.repeat(learnt, np.diff(first))]] = 1
         self.count = np.where(found, n[at], once) if len(key) else once
         self.unigram = np.log10((self.count + 1) / (total + distinct + 1))
-        token_back = np.where(found, back[at], np.nan) if len(key) else np.full(self.width, np.nan)
-        token_state = np.where(np.isnan(token_back), 0, np.arange(self.width) + 1)
-
-        pair, left = grams(t, first)
-        two = np.flatnonzero(left[: len(pair)] > 1)
-        at, found = self.find(key, pair[two])
-        two, at = two[found], at[found]
-        at, one = np.unique(at, return_index=True)  # one place for each distinct pair of the model
-        place = two[one]
-        pair_back = back[at]
-        is_state = ~np.isnan(pair_back)
-        pair_state = np.where(is_state, self.width + np.cumsum(is_state), token_state[self.t[place + 1]])
-        state_of_key = (key[at], pair_state, is_state)
-        arcs = [((self.t[place] + 1) * self.width + self.t[place + 1], arc[at], pair_state)]
-        self.back = np.concatenate([[0.0], np.nan_to_num(token_back), pair_back[is_state]])
-        self.fail = np.concatenate([np.zeros(self.width + 1, dtype=np.int64), token_state[self.t[place[is_state] + 1]]])
-
-        three = np.flatnonzero(left[: max(0, len(pair) - 1)] > 2)
-        known, held = self.find(state_of_key[0], pair[three])
-        three, known = three[held & self.at(is_state, known)], known[held & self.at(is_state, known)]
-        triple = fold(pair[three], t[three + 2])
-        at, found = self.find(key, triple)
-        three, known, at = three[found], known[found], at[found]
-        at, one = np.unique(at, return_index=True)
-        three, known = three[one], known[one]
-        ending, _ = self.find(state_of_key[0], pair[three + 1])
-        arcs.append((pair_state[known] * self.width + self.t[three + 2], arc[at], self.at(pair_state, ending)))
-        arcs = [np.concatenate(x) for x in zip(*arcs, strict=True)]
-        order = np.argsort(arcs[0], kind="stable")
-        self.arc, self.weight, self.next = (x[order] for x in arcs)
-        self.token_state = token_state
-        self.lookup: dict[int, tuple[float, int]] | None = None
-
-    @staticmethod
-    def at(values: np.ndarray, index: np.ndarray) -> np.ndarray:
-        return values[index] if len(values) else np.zeros(len(index), dtype=values.dtype)
+        self.back = np.where(found, back[at], np.nan) if len(key) else np.full(len(vocabulary), np.nan)  # of the tokens that are states
 
     @staticmethod
     def find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,55 +263,37 @@ class Walk:
 
     def scores(self) -> np.ndarray:
         """log10 probability of each text."""
-        length = np.diff(self.first)
-        order = np.argsort(-length, kind="stable")
-        start, length = self.first[:-1][order], length[order]
-        score, state = np.zeros(len(order)), np.zeros(len(order), dtype=np.int64)
-        active, step = len(order), 0
-        while True:
-            active = int(np.searchsorted(-length[:active], -step))  # texts longer than ``step``
-            if active < TOGETHER:
-                break
-            token = self.t[start[:active] + step]
-            todo = np.arange(active)
-            while len(todo):
-                s, w = state[todo], token[todo]
-                root = s == 0
-                at_root = todo[root]
-                score[at_root] += self.unigram[w[root]]
-                state[at_root] = self.token_state[w[root]]
-                todo, s, w = todo[~root], s[~root], w[~root]
-                at, hit = self.find(self.arc, s * self.width + w)
-                score[todo[hit]] += self.weight[at[hit]]
-                state[todo[hit]] = self.next[at[hit]]
-                todo, s = todo[~hit], s[~hit]
-                score[todo] += self.back[s]
-                state[todo] = self.fail[s]
-            step += 1
-        for i in range(active):
-            score[i], _ = self.alone(score[i], int(state[i]), self.t[start[i] + step : start[i] + length[i]].tolist())
-        out = np.zeros(len(order))
-        out[order] = score
-        return out
-
-    def alone(self, score: float, state: int, rest: list[int]) -> tuple[float, int]:
-        """The walk of one text over the tokens ``rest``."""
-        if self.lookup is None:
-            self.lookup = dict(zip(self.arc.tolist(), zip(self.weight.tolist(), self.next.tolist(), strict=True), strict=True))
-        lookup, back, fail, width = self.lookup, self.back, self.fail, self.width
-        for w in rest:
-            while state:
-                hit = lookup.get(state * width + w)
-                if hit:
-                    score += hit[0]
-                    state = hit[1]
-                    break
-                score += back[state]
-                state = int(fail[state])
-            else:
-                score += self.unigram[w]
-                state = int(self.token_state[w])
-        return float(score), state
+        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        score = np.zeros(len(self.first) - 1)
+        for i in range(0, len(text), TOGETHER):
+            np.add.at(score, np.repeat(text[i : i + TOGETHER], 3), self.weights(i, min(i + TOGETHER, len(text)), text).ravel())
+        return score
+
+    def weights(self, i: int, j: int, text: np.ndarray) -> np.ndarray:
+        """What the walk adds at each token from ``i`` to before ``j``: failing from a pair, failing from a token, and the arc taken."""
+        start = max(0, i - 2)
+        t, word, inside = self.token[start:j], self.t[start:j], text[start : j - 1] == text[start + 1 : j]
+        key, arc, back = self.longer
+        pair = fold(t[:-1], t[1:])
+        two = np.flatnonzero(inside & ~np.isnan(self.back[word[:-1]]))
+        at, found = self.find(key, pair[two])
+        two, at = two[found], at[found]
+        from_token, from_pair, pair_back, token_back = (np.full(len(t), np.nan) for _ in range(4))  # each at the token that is read
+        from_token[two + 1] = arc[at]
+        states = ~np.isnan(back[at]) & (two + 2 < len(t))
+        two, at = two[states], at[states]
+        going_on = inside[two + 1]
+        two, at = two[going_on], at[going_on]
+        pair_back[two + 2] = back[at]
+        at, found = self.find(key, fold(pair[two], t[two + 2]))
+        from_pair[two[found] + 2] = arc[at[found]]
+        token_back[1:][inside] = self.back[word[:-1]][inside]
+        triple, known = ~np.isnan(from_pair), ~np.isnan(from_token)
+        out = np.zeros((len(t), 3))
+        out[:, 0] = np.where(triple, 0.0, np.nan_to_num(pair_back))
+        out[:, 1] = np.where(triple | known, 0.0, np.nan_to_num(token_back))
+        out[:, 2] = np.where(triple, from_pair, np.where(known, from_token, self.unigram[word]))
+        return out[i - start :]
 
 
 def score_texts(docs: DataFrame, model: DataFrame, total: int, distinct: int) -> DataFrame:
@@ -362,11 +312,13 @@ def score_texts(docs: DataFrame, model: DataFrame, total: int, distinct: int) ->
         key = numbers("key", np.int64).astype(np.int64).view(np.uint64)
         order = np.argsort(key)
         key, n, arc, back = key[order], numbers("n", np.int64)[order], numbers("arc", float)[order], numbers("back", float)[order]
+        alone = np.isnan(arc)
+        single, longer = (key[alone], n[alone], back[alone]), (key[~alone], arc[~alone], back[~alone])
         known, base, score, size = [], [], [], []
         column, learnt = texts.column("text").combine_chunks(), ~texts.column("held_out").to_numpy()
         for i, j, data, offsets in chunks(column, 2 * CHUNK):
             t, first = tokens(data, offsets)
-            walk = Walk(t, first, key, n, arc, back, learnt[i:j], total, distinct)
+            walk = Walk(t, first, single, longer, learnt[i:j], total, distinct)
             size.append(np.diff(first))
             known.append(np.add.reduceat((walk.count > 0)[walk.t].astype(np.int64), first[:-1]))
             base.append(np.add.reduceat(walk.unigram[walk.t], first[:-1]))
