@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from varloom.functions import sequence
 from varloom.operators import encode
 from varloom.operators.density import attach_density
 from varloom.sources import reference as ref
@@ -71,3 +74,28 @@ def test_filters_on_the_verdict_do_not_repeat_the_lookup(spark, stored):
     assert [found[i] for i in (2, 3, 5)] == [("fasta_ref_mismatch", None), ("unresolved_context", None), ("fasta_ref_mismatch", None)]
     plan = encode.accepted(encoded).filter("channel IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and ("wide#" in line or "window#" in line)]
+
+
+def test_encoding_fits_a_compiled_method(spark, stored):
+    """The JVM only interprets methods of more than 8000 bytes; all stages that encode events stay below."""
+    columns = "patient string, chromosome string, pos long, ref string, alt string, variant_type string"
+    events = spark.createDataFrame([("p", "chr1", 20, "A", "C", "SNP"), ("q", "chr1", 21, "C", "NAN", None)], columns).repartition(2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counted = encode.accepted(encode.encode_events(events, stored)).groupBy("patient", "channel").count()
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        text = counted._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_short_forms_of_alleles_and_labels(spark):
+    """Tokens for no allele, letters that are no bases, and indel labels without bases."""
+    alleles = {"NAN": "", " nan ": "", "NANA": "AA", "NAN\n": "A", "none": "", "-": "", ".": "", "acgtn": "ACGT", None: ""}
+    df = spark.createDataFrame([(a,) for a in alleles], "a string")
+    assert {r[0]: r[1] for r in df.select("a", sequence.clean_allele(F.col("a"))).collect()} == alleles
+    labels = {"G|": "1:Del:C:0", "|A": "1:Ins:T:0", "ACGTAC|": "5:Del:R:0", "A|CG": "2:Ins:R:0", "A|C": None, "|": None, None: None}
+    df = spark.createDataFrame([(p,) for p in labels], "p string")
+    assert {r[0]: r[1] for r in df.select("p", sequence.id83_plain(F.col("p"))).collect()} == labels
