@@ -64,6 +64,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(w.hashes, w.first[1:], END), w.first + np.arange(len(w.first))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values, by a sort: ``np.unique`` puts them through a table of single nodes, which takes many times as long."""
+    s = np.sort(values)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
 def grams(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the pairs and triples that begin at each token, and how many tokens its text has from there on."""
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(t))
@@ -84,11 +90,12 @@ class Tally:
         key = columns[-1]
         for c in columns[:-1]:
             key = fold(key, c)
-        key, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        if counts is not None:
-            n = np.zeros(len(key), dtype=np.int64)
-            np.add.at(n, inverse, counts)
-        self.parts.append((key, [c[first] for c in columns], n))
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(first, len(key))) if counts is None else np.add.reduceat(counts[order], first)
+        key, at = key[first], order[first]
+        self.parts.append((key, [c[at] for c in columns], n))
         self.size += len(key)
 
     def combine(self) -> None:
@@ -204,11 +211,11 @@ def asked(docs: DataFrame, bits: np.ndarray, repeated: np.ndarray) -> DataFrame:
         held: dict[int, list[np.ndarray]] = {}  # keys of a block, at most about one for each of its tokens
 
         def add(block: np.ndarray, key: np.ndarray) -> None:
-            for b in np.unique(block).tolist():
+            for b in distinct(block).tolist():
                 mine = held.setdefault(b, [])
-                mine.append(np.unique(key[block == b]))
+                mine.append(distinct(key[block == b]))
                 if len(mine) > 32:
-                    held[b] = [np.unique(np.concatenate(mine))]
+                    held[b] = [distinct(np.concatenate(mine))]
 
         for batch in batches:
             block = batch.column("block").to_numpy()
@@ -226,7 +233,7 @@ def asked(docs: DataFrame, bits: np.ndarray, repeated: np.ndarray) -> DataFrame:
                 add(np.concatenate([of[single], of[two], of[three][inside]]), np.concatenate([t[single], pair[two], triple[inside]]))
             pa.default_memory_pool().release_unused()
         for b, parts in held.items():
-            key = np.unique(np.concatenate(parts))
+            key = distinct(np.concatenate(parts))
             for i in range(0, len(key), ENTRIES):
                 part = key[i : i + ENTRIES]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, dtype=np.int32)), pa.array(part.view(np.int64))], names=["block", "key"])
