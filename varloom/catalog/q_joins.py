@@ -9,6 +9,7 @@ from varloom.evaluation import results as res
 from varloom.operators import encode, joins
 from varloom.operators.density import attach_density
 from varloom.sources.readers import first_per_key, union_results
+from varloom.sources.tables import ALLELE
 
 
 @query("join_cohort_left", "maf", """
@@ -57,7 +58,7 @@ def join_pathway(t):
 
 @query("join_context", "flanked", "SELECT event_id, lf AS left_flank, rf AS right_flank, ref_ok FROM flanked")
 def join_context(t):
-    ev = encode.attach_flanks(encode.classify(t.events_maf()), t.reference(), 12)
+    ev = encode.attach_flanks(encode.classify(t.events_maf()), t.reference(), 12, longest=ALLELE)
     return ev.select("event_id", F.col("left").alias("left_flank"), F.col("right").alias("right_flank"), "ref_ok")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.session import settle
+from varloom.operators.joins import hinted
 from varloom.sources.reference import Reference, fetch_windows, land, pieces_of_text
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -53,51 +53,71 @@ class Tables:
         return self.reference().cut(tile)
 
     # -- mutation events ---------------------------------------------------------------
+    def located_events(self) -> DataFrame:
+        """The line items that are events, with contig and position."""
+        return self.located(self.reference().sizes())
+
+    def event_places(self) -> DataFrame:
+        """(patient, chromosome, pos) of ``events_maf`` without a lookup, where the reference has each tile once."""
+        return self.located_events().select(
+            F.concat(F.lit("TCGA-"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0")).alias("patient"),
+            F.concat(F.lit("chr"), F.col("contig").cast("string")).alias("chromosome"), F.col("pos").cast("long").alias("pos"),
+        )
+
     def events_maf(self) -> DataFrame:
-        """Events with alleles, stored as a table of events would be: expressions over alleles do not repeat how they were made."""
-        base = self.located(self.reference().sizes()).select(
+        """Events with alleles of at most ``ALLELE`` bases. Nothing is stored: alleles are generated rows, so expressions over
+        them do not repeat how they were made, and a filter on them stays above the lookup."""
+        base = self.located_events().select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
-            F.concat(F.lit("TCGA-"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0")).alias("patient"),
-            F.when(F.col("l_linenumber") % 5 == 0, "-11A").otherwise("-01A").alias("suffix"),
+            "l_suppkey",
             "contig",
             "pos",
             F.col("l_quantity").cast("int").alias("q"),
             F.col("l_partkey").alias("pk"),
             F.col("l_linenumber").alias("ln"),
             F.round(F.col("l_discount") * 100).cast("int").alias("disc"),
-            F.concat("l_returnflag", "l_linestatus").alias("variant_class"),
+            "l_returnflag",
+            "l_linestatus",
+            F.lit(ALLELE).alias("span"),
         )
-        base = base.withColumns(
+        typed = fetch_windows(base, self.reference(), contig="contig", start="pos", length="span", longest=ALLELE)
+        typed = typed.withColumns(
             {
-                "variant_type": F.expr(
+                "patient": F.concat(F.lit("TCGA-"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0")),
+                "variant_class": F.concat("l_returnflag", "l_linestatus"),
+                "kind": F.expr(
                     "CASE q % 10 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DNP' ELSE 'SNP' END"
                 ),
                 "len": F.floor(F.col("q") / 10).cast("int") + 1,
-                "span": F.lit(ALLELE),
+                "seq": F.rtrim("window", F.lit("N")),
             }
         )
-        typed = fetch_windows(base, self.reference(), contig="contig", start="pos", length="span")
-        typed = typed.withColumn("seq", F.rtrim("window", F.lit("N")))
-        events = typed.select(
-            "event_id",
-            "patient",
-            F.concat("patient", "suffix").alias("barcode"),
-            F.concat(F.lit("chr"), F.col("contig").cast("string")).alias("chromosome"),
-            F.col("pos").cast("long").alias("pos"),
-            "variant_type",
+        alleles = F.struct(
+            F.col("kind").alias("variant_type"),
             F.expr(
-                "CASE WHEN ln = 7 THEN 'A' WHEN variant_type = 'INS' THEN '-' "
-                "WHEN variant_type = 'DEL' THEN substr(seq, 1, len) "
-                "WHEN variant_type = 'DNP' THEN substr(seq, 1, 2) ELSE substr(seq, 1, 1) END"
+                "CASE WHEN ln = 7 THEN 'A' WHEN kind = 'INS' THEN '-' "
+                "WHEN kind = 'DEL' THEN substr(seq, 1, len) "
+                "WHEN kind = 'DNP' THEN substr(seq, 1, 2) ELSE substr(seq, 1, 1) END"
             ).alias("ref"),
             F.expr(
-                "CASE WHEN variant_type = 'DEL' THEN '-' "
-                "WHEN variant_type = 'INS' THEN substr('ACGTTGCA', cast(pk % 3 as int) + 1, len) "
-                "WHEN variant_type = 'DNP' THEN translate(substr(seq, 1, 2), 'ACGT', 'CATG') "
+                "CASE WHEN kind = 'DEL' THEN '-' "
+                "WHEN kind = 'INS' THEN substr('ACGTTGCA', cast(pk % 3 as int) + 1, len) "
+                "WHEN kind = 'DNP' THEN translate(substr(seq, 1, 2), 'ACGT', 'CATG') "
                 "WHEN pk % 3 = 0 THEN translate(substr(seq, 1, 1), 'ACGT', 'CGTA') "
                 "WHEN pk % 3 = 1 THEN translate(substr(seq, 1, 1), 'ACGT', 'GTAC') "
                 "ELSE translate(substr(seq, 1, 1), 'ACGT', 'TACG') END"
             ).alias("alt"),
+        )
+        typed = typed.select("event_id", "patient", "contig", "pos", "variant_class", "q", "ln", "disc", F.inline(F.array(alleles)))
+        return typed.select(
+            "event_id",
+            "patient",
+            F.concat("patient", F.when(F.col("ln") % 5 == 0, "-11A").otherwise("-01A")).alias("barcode"),
+            F.concat(F.lit("chr"), F.col("contig").cast("string")).alias("chromosome"),
+            F.col("pos").cast("long").alias("pos"),
+            "variant_type",
+            "ref",
+            "alt",
             F.concat(F.lit("G"), F.col("contig").cast("string")).alias("gene"),
             "variant_class",
             F.expr(
@@ -106,11 +126,10 @@ class Tables:
             (F.col("q") + 10 * (F.col("ln") % 3)).cast("long").alias("t_depth"),
             F.col("disc").cast("long").alias("t_alt_count"),
         )
-        return settle(events, "events")
 
     def maf_records(self) -> DataFrame:
         """The same events without sequence-derived columns: no reference join in the plan."""
-        return self.located(self.contig_sizes()).select(
+        return self.located(hinted(self.contig_sizes())).select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
             F.concat(F.lit("TCGA-"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0")).alias("patient"),
             F.when(F.col("l_linenumber") % 5 == 0, "-11A").otherwise("-01A").alias("suffix"),
