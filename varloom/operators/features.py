@@ -11,6 +11,7 @@ from varloom.evaluation.quantiles import quantiles
 from varloom.functions import catalogues as cat
 from varloom.functions import labels as lab
 from varloom.functions import sequence as seq
+from varloom.session import settle
 from varloom.sources.reference import Reference, window_counts
 
 
@@ -190,19 +191,24 @@ def biology_table(spark) -> DataFrame:
     return spark.createDataFrame(pairs, "channel string, feature string")
 
 
-def biology_sums(channel_counts: DataFrame) -> DataFrame:
-    """Sums of channels by biology class; the dimension has under 1,500 rows."""
-    dim = F.broadcast(biology_table(channel_counts.sparkSession))
+def biology_sums(channel_counts: DataFrame, totals: bool = False) -> DataFrame:
+    """Sums of channels by biology class; the dimension has under 2,000 rows. ``totals``: also those of each kind, as ``total_`` and its name."""
+    dim = biology_table(channel_counts.sparkSession)
+    if totals:
+        dim = dim.unionByName(dim.select("channel").distinct().withColumn("feature", F.concat(F.lit("total_"), F.split_part("channel", F.lit(":"), F.lit(1)))))
+    dim = F.broadcast(dim)
     return channel_counts.join(dim, "channel").groupBy("patient", "feature").agg(F.sum("n").alias("value"))
 
 
 def motif_ratios(channel_counts: DataFrame) -> DataFrame:
-    """Parent sums over the modality's total, and two cross ratios smoothed by one."""
-    one = channel_counts.withColumn("kind", F.split_part("channel", F.lit(":"), F.lit(1)))
-    total = one.groupBy("patient", "kind").agg(F.sum("n").alias("t"))
-    sums = biology_sums(channel_counts)
-    kind = F.when(F.col("feature").startswith("sbs_"), "SBS96").otherwise("ID83")
-    ratio = sums.withColumn("kind", kind).join(total, ["patient", "kind"]).select(
+    """Parent sums over the modality's total, and two cross ratios smoothed by one.
+
+    Counts are stored once and dealt by patient, who has at most one row a channel; sums and totals are made there.
+    """
+    sums = biology_sums(settle(channel_counts, "channel-counts").repartition("patient"), totals=True)
+    kind = F.when(F.col("feature").startswith("sbs_"), "SBS96").when(F.col("feature").startswith("id_"), "ID83").otherwise(F.substring("feature", 7, 20))
+    total = F.max(F.when(F.col("feature").startswith("total_"), F.col("value"))).over(Window.partitionBy("patient", "kind"))
+    ratio = sums.filter(F.col("patient").isNotNull()).withColumn("kind", kind).withColumn("t", total).filter(~F.col("feature").startswith("total_")).select(
         "patient", F.concat(F.lit("ratio_"), "feature").alias("feature"), (F.col("value") / F.col("t")).alias("value")
     )
     of = lambda f: F.coalesce(F.sum(F.when(F.col("feature") == f, F.col("value"))), F.lit(0)) + 1
